@@ -48,7 +48,6 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
     is a conversation of its own. Other columns are ignored.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id")
     conv = Window.partitionBy("conv_id")
     ordered = conv.orderBy("turn", "role", "text")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))

@@ -193,10 +193,9 @@ def page_digest(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures."""
     fields = F.map_from_entries(F.col("metadata")[0]["fields"])
     return captures.select(
-        F.expr("try_cast(metadata[0].fields is not null as boolean)").alias("known"),
         F.nullif(fields["pageid"], F.lit("")).cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         F.nullif(fields["referstopageid"], F.lit("")).cast("long").alias("refers_to"),
-    ).drop("known")
+    )

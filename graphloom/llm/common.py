@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,53 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import Workspace, prepare, shared_dir  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-class Workspace:
-    """A folder of written tables below shared_dir; they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.clear)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        with contextlib.suppress(Exception):
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def clear(self) -> None:
-        self.drop("")
-
-
-def sized(column: pa.Array, rows: int) -> Iterator[slice]:
-    """Slices of at most rows rows."""
-    for at in range(0, len(column), rows):
-        yield slice(at, at + rows)
-
-
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over batches, each giving one batch, several or none."""
 
@@ -76,26 +31,23 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
-class IdBitmap:
-    """A fixed-size bitmap of hashed 64-bit ids: a superset test whose size never depends on the data.
+class HashBitmap:
+    """A fixed-size bitmap of uniformly hashed 64-bit keys: a superset test whose size never depends on the data.
 
     It is built by a distributed bit_or over words of 64 bits, so the driver gets at
-    most bits / 64 rows. A test may say yes to an id outside the set (the callers
-    check again by an exact join), never no to one inside it.
+    most bits / 64 rows. A test may say yes to a key outside the set (callers check
+    again by an exact join), never no to one inside it; a fuller bitmap only says yes more often.
     """
 
-    def __init__(self, df: DataFrame, column: str, bits: int = 1 << 23) -> None:
+    def __init__(self, df: DataFrame, key: F.Column, bits: int = 1 << 23) -> None:
         self.bits = bits
-        slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
-        words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()
+        slots = df.select(key.bitwiseAND(F.lit(bits - 1)).alias("slot"))
+        words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()
         table_ = np.zeros(bits // 64, dtype=np.int64)
         table_[words["word"].to_numpy()] = words["mask"].to_numpy()
         self.shared = df.sparkSession.sparkContext.broadcast(table_.view(np.uint8))
 
-    def column(self, column: str) -> F.Column:
-        """The slot of an id, for test() in Python."""
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
-
-
-def bitmap_test(shared: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (shared[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        """For each key (uint64 or int64) whether it may be in the set; for use in Python workers."""
+        slots = keys.view(np.int64) & np.int64(self.bits - 1)
+        return (self.shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

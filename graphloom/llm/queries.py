@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, warc
+from . import bpe, chat, ngram_join, packing, warc
 from .common import Workspace, table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digest(warc.assemble(warc.read_records(spark, archives, payload=False)))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"), k=4, threshold=ngram_join.Threshold(85, 100))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_power_of_two(table(spark, sf_dir, "documents")))
 
@@ -32,7 +36,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op3_packing": op3_packing, "op6_bpe": op6_bpe}
+    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ngram_join, packing, warc
+from . import bpe, chat, ngram_join, packing, repeats, warc
 from .common import Workspace, table
 
 
@@ -35,8 +35,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op6_bpe": op6_bpe}
+    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ngram_join, packing, repeats, warc
+from . import bpe, chat, ngram_join, packing, pii, repeats, warc
 from .common import Workspace, table
 
 
@@ -31,6 +31,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(control)))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents"), texts=False))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op10_repeats": op10_repeats}
+    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ngram_join, packing, pii, repeats, warc
+from . import bpe, chat, ngram_join, packing, pii, quality, repeats, warc
 from .common import Workspace, table
 
 
@@ -39,12 +39,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op10_repeats": op10_repeats}
+    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mtree, ngram_join, packing, pii, quality, repeats, warc
+from . import bpe, chat, flatgraph, mtree, ngram_join, packing, pii, quality, repeats, warc
 from .common import Workspace, table
 
 
@@ -47,12 +47,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op9_flatgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_topk": op8_topk, "op10_repeats": op10_repeats}
+    return {"op1_warc": op1_warc, "op4_chat": op4_chat, "op2_ngram_join": op2_ngram_join, "op3_packing": op3_packing, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_flatgraph": op9_flatgraph, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:

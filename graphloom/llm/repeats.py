@@ -6,7 +6,7 @@ A window is a run of consecutive words of one document. To find the windows that
    Whichever documents share a window therefore pick a phrase in it in common. Phrases picked in
    two documents are confirmed as recurring by a distributed count.
 2. The confirmed phrases are dealt out to shards of bounded size. Each shard is compiled on the workers into an
-   Aho-Corasick automaton over word numbers, and all documents are streamed through it; every window around an
+   Aho-Corasick automaton over symbols of words, and all documents are streamed through it; every window around an
    occurrence is a candidate.
 3. Candidate windows are compared by 64-bit hashes of their words: the least document of each, then the windows of
    later documents.
@@ -31,15 +31,15 @@ from .common import HashBitmap, Workspace, prepare
 from .wordhash import hashed_words, mix, windows
 
 PHRASE = 8
-#: Phrases of one automaton: some 50 MB on a worker.
-SHARD_PHRASES = 150_000
-#: Automata a pass; their phrases (32 bytes each) are what is broadcast at once.
-SHARDS_A_PASS = 4
+#: Phrases of one automaton: some 60 MB on a worker.
+SHARD_PHRASES = 250_000
+#: Automata a pass; their phrases (8 bytes each) are what is broadcast at once.
+SHARDS_A_PASS = 3
 
 
-def _numbers(hashes: np.ndarray) -> np.ndarray:
-    """32-bit numbers of words for the automaton; a clash only makes more candidates."""
-    return (hashes >> np.uint64(33)).astype(np.uint32)
+def _symbols(hashes: np.ndarray) -> np.ndarray:
+    """One byte for each word: the alphabet of the automata, small as their nodes search their children one by one. Clashes only make more candidates."""
+    return (hashes >> np.uint64(56)).astype(np.uint8)
 
 
 def _picked(phrases: np.ndarray, stretch: int) -> np.ndarray:
@@ -74,30 +74,24 @@ def _within(phrases: np.ndarray, least: np.ndarray, stretch: int) -> np.ndarray:
     return most == phrases
 
 
-_PICKED = "p0 long, p1 long, p2 long, p3 long, doc_id long"
-
-
 def picked_phrases(docs: DataFrame, words: int) -> DataFrame:
-    """The phrases that winnowing picks in each document: PHRASE word numbers, packed in four longs, and doc_id."""
+    """(phrase, doc_id): the phrases that winnowing picks in each document, as PHRASE symbols packed in a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, hashes, limits in hashed_words(batch.column(1), lower=False):
-                numbers, phrases = _numbers(hashes), windows(hashes, PHRASE)
+                symbols, phrases = _symbols(hashes), windows(hashes, PHRASE)
                 rows, owners = [], []
                 for i in np.flatnonzero(np.diff(limits) >= words):
-                    at = _picked(phrases[limits[i] : limits[i + 1] - PHRASE + 1], words - PHRASE + 1)
-                    if len(at):
-                        at = at[np.unique(phrases[limits[i] + at], return_index=True)[1]] + limits[i]
-                        rows.append(at)
-                        owners.append(np.full(len(at), ids[first + i], np.int64))
+                    at = _picked(phrases[limits[i] : limits[i + 1] - PHRASE + 1], words - PHRASE + 1) + limits[i]
+                    packed = np.unique(symbols[at[:, None] + np.arange(PHRASE)].view(np.int64)[:, 0])
+                    rows.append(packed)
+                    owners.append(np.full(len(packed), ids[first + i], np.int64))
                 if rows:
-                    at = np.concatenate(rows)
-                    packed = numbers[at[:, None] + np.arange(PHRASE)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(packed[:, c]) for c in range(PHRASE // 2)), pa.array(np.concatenate(owners))], ["p0", "p1", "p2", "p3", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(owners))], ["phrase", "doc_id"])
 
-    return docs.mapInArrow(run, _PICKED)
+    return docs.mapInArrow(run, "phrase long, doc_id long")
 
 
 class _Automata:
@@ -111,10 +105,10 @@ class _Automata:
         if cls.made is None or cls.made[0] != key:
             cls.made = None
             out = []
-            for phrases in shards:
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-                for phrase in np.frombuffer(phrases, np.uint32).reshape(-1, PHRASE).tolist():
-                    automaton.add_word(tuple(phrase))
+            for phrases in filter(None, shards):
+                automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+                for at in range(0, len(phrases), PHRASE):
+                    automaton.add_word(phrases[at : at + PHRASE].decode("latin-1"))
                 automaton.make_automaton()
                 out.append(automaton)
             cls.made = key, out
@@ -131,7 +125,7 @@ def candidate_windows(docs: DataFrame, shared, words: int) -> DataFrame:
             for first, hashes, limits in hashed_words(batch.column(1), lower=False):
                 if len(hashes) < words:
                     continue
-                sequence = tuple(_numbers(hashes).tolist())
+                sequence = _symbols(hashes).tobytes().decode("latin-1")
                 ends = [end for automaton in automata for end, _ in automaton.iter(sequence)]
                 if not ends:
                     continue
@@ -166,18 +160,16 @@ def _tags(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def repeated_windows(docs: DataFrame, words: int, work: Workspace, name: str = "") -> DataFrame:
     """(doc_id, tag, at): each window that also begins in a document of smaller doc_id, by doc_id and text (docs: doc_id, text; no null ids)."""
     spark = docs.sparkSession
-    phrase = ["p0", "p1", "p2", "p3"]
-    confirmed = picked_phrases(docs, words).groupBy(*phrase).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*phrase)
-    confirmed = work.write(confirmed.withColumn("deal", F.xxhash64(*phrase)), name + "phrases")
+    confirmed = picked_phrases(docs, words).groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("phrase")
+    confirmed = work.write(confirmed, name + "phrases")
     shards = max(1, -(-confirmed.count() // SHARD_PHRASES))
     found = []
     for at in range(0, shards, SHARDS_A_PASS):
         group = range(at, min(shards, at + SHARDS_A_PASS))
-        dealt = confirmed.withColumn("shard", F.pmod("deal", F.lit(shards)))
+        dealt = confirmed.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)))
         parts = []
         for shard in group:  # one bounded shard at a time
-            table_ = dealt.filter(F.col("shard") == shard).select(*phrase).toArrow()
-            parts.append(np.stack([table_.column(c).to_numpy() for c in phrase], axis=1).tobytes() if table_.num_rows else b"")
+            parts.append(dealt.filter(F.col("shard") == shard).select("phrase").toArrow().column(0).to_numpy().tobytes())
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, parts))
         found.append(work.write(candidate_windows(docs, shared, words), f"{name}windows-{at}"))
         shared.destroy()

@@ -32,6 +32,10 @@ SKETCH_PARTS = 64
 #: Documents of a column that are multiplied at once; a column of more is dealt out in pairs of blocks.
 BLOCK = 2048
 PARITY_WORDS = 8
+#: Columns of up to so many documents are multiplied without parity bits.
+SMALL = 64
+#: A pair is compared by way of a leader if it meets in one column for each so many shingles of the overlap it needs.
+STAR_COLUMNS = 100
 
 
 @dataclass(frozen=True)
@@ -203,9 +207,10 @@ class Incidence:
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the (a, b) that link, by their whole sets."""
         threshold = self.threshold
-        right = self.sets(HashBitmap(pairs, F.col("b"))).toDF("b", "right")
-        left = self.sets(HashBitmap(pairs, F.col("a"))).toDF("a", "left")
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        if pairs.isEmpty():
+            return self.work.write(pairs.select("a", "b"), name)
+        sets = self.work.write(self.sets(HashBitmap(pairs.select("a").union(pairs.select("b")), F.col("a"))), name + "-sets")
+        both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a").select("a", "b", "left", "right")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,7 +224,14 @@ class Incidence:
                     keep.append(threshold.den * shared >= threshold.num * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-        return self.work.write(both.mapInArrow(run, "a long, b long").distinct(), name)
+        links = self.work.write(both.mapInArrow(run, "a long, b long").distinct(), name)
+        self.work.drop(name + "-sets")
+        return links
+
+
+def _need(threshold: Threshold, a: F.Column, b: F.Column) -> F.Column:
+    """The overlap that sets of a and b need."""
+    return F.ceil(F.lit(threshold.num) * (a + b) / (threshold.num + threshold.den))
 
 
 def _sizes_fit(threshold: Threshold, a: str, b: str) -> F.Column:
@@ -260,7 +272,8 @@ def _products(blocks: DataFrame, threshold: Threshold) -> DataFrame:
 
         def flush(table_: pa.Table) -> Iterator[pa.RecordBatch]:
             h, i, j, f, n, comp, side = (table_.column(c).to_numpy() for c in ("h", "i", "j", "f", "n", "comp", "side"))
-            bits = np.frombuffer(b"".join(table_.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+            blank = bytes(8 * PARITY_WORDS)
+            bits = np.frombuffer(b"".join([x or blank for x in table_.column("bits").to_pylist()]), np.uint64).reshape(-1, PARITY_WORDS)
             cut = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]]), strict=True):
                 if b - a > 1:
@@ -302,14 +315,23 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     cells = work.write(matrix.prefixes(HashBitmap(shared, F.col("h"), 1 << 24)).join(shared, "h"), "cells")
     leaders = cells.groupBy("h").agg(F.max(F.struct("c", "f", "n")).alias("lead"))
     stars = cells.join(leaders, "h").filter("f <> lead.f").filter(_sizes_fit(threshold, "n", "lead.n"))
-    stars = work.write(stars.select(F.least("f", "lead.f").alias("a"), F.greatest("f", "lead.f").alias("b")).distinct(), "stars")
+    # a pair that meets in few of its columns by way of a leader waits for the products below, where its overlap is counted in full
+    enough = F.ceil(F.col("need") / STAR_COLUMNS)
+    stars = stars.groupBy(F.least("f", "lead.f").alias("a"), F.greatest("f", "lead.f").alias("b"), _need(threshold, F.col("n"), F.col("lead.n")).alias("need")).agg(F.count("*").alias("seen")).filter(F.col("seen") >= enough)
+    stars = work.write(stars.select("a", "b").distinct(), "stars")
     links = matrix.verified(stars, "links-stars")
     joined = work.write(connected_components(links, "a", "b"), "joined").toDF("f", "comp")
 
     # what several components share is multiplied in full
     of = cells.join(joined, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
-    open_columns = work.write(of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low <> high").select("h", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open")
-    rows = matrix.prefixes(HashBitmap(open_columns, F.col("h"), 1 << 22), parity=True).dropDuplicates(["h", "f"]).join(open_columns, "h").join(joined, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
+    open_columns = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    open_columns = work.write(open_columns.select("h", "m", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open")
+    small, large = open_columns.filter(F.col("m") <= SMALL), open_columns.filter(F.col("m") > SMALL)
+    rows = cells.select("h", "f", "n").distinct().join(small, "h").withColumn("bits", F.lit(None).cast("binary"))
+    if not large.isEmpty():
+        marked = matrix.prefixes(HashBitmap(large, F.col("h"), 1 << 22), parity=True).select("h", "f", "n", "bits").dropDuplicates(["h", "f"])
+        rows = rows.unionByName(marked.join(large, "h"))
+    rows = rows.join(joined, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
     own = F.pmod(F.xxhash64("f"), F.col("blocks"))
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
@@ -319,7 +341,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     counted = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("seen"))
     # an element both share is seen in a column, or lies beyond the prefix of the one whose prefix ends first
     beyond = F.greatest(*(F.ceil(F.lit(threshold.num) * F.col(x) / threshold.den) - 1 for x in ("na", "nb")))
-    need = F.ceil(F.lit(threshold.num) * (F.col("na") + F.col("nb")) / (threshold.num + threshold.den))
+    need = _need(threshold, F.col("na"), F.col("nb"))
     pairs = work.write(counted.filter(F.col("seen") + beyond >= need).select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.union(matrix.verified(pairs, "links-products"))
 

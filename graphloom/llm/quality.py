@@ -205,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     do not; only those not held_out are learnt from. Null or empty texts are scored by zero statistics. Rows are
     scored one by one, repeated and without id too.
     """
-    names = [c for c in columns or [] if c not in ("doc_id", "text")]
+    names = [c for c in columns or [] if c != "doc_id"]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"\x00{c}") for c in names))
     work = Workspace(prepare(docs.sparkSession), "quality")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))

@@ -58,6 +58,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,k,t,block", [(1, 4, Threshold(85, 100), 2048), (2, 5, Threshold(), 8), (3, 3, Threshold(1, 2), 5)])
 def test_against_brute_force(spark, monkeypatch, seed, k, t, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SMALL", min(block, 64))
     rows = corpus(seed)
     docs = spark.createDataFrame([(f, k, n) for n, (k, f) in enumerate(rows)], "text string, doc_id long, n_shingles long").repartition(3)
     got = sorted((tuple(r) for r in ngram_classes(docs, k, t).collect()), key=str)

@@ -1,19 +1,83 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline over documents: quality, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes what the one before kept, read again from Parquet. All but the last return the columns of
+documents: doc_id, text, lang, source, n_chars (of the text as it then is).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import ngram_join, packing, pii, quality, repeats
+from graphloom.llm.common import Workspace, prepare, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows to drop up to which their numbers (8 bytes each) are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents' own columns. What an earlier stage worked with goes: its result has been written by now."""
+    prepare(spark)
+    Workspace.clear_all()
+    return docs.select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier does not reject, unchanged."""
+    docs = _begin(spark, docs)
+    return quality.score_quality(docs, table(spark, sf_dir, "labels"), COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by word shingles (five words, similarity 0.8) the one of least doc_id; of several with it one."""
+    docs = _begin(spark, docs).withColumn("row", F.monotonically_increasing_id())
+    work = Workspace(spark, "survivors")
+    groups = work.write(ngram_join.ngram_classes(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("least")), "groups")
+    several = groups.groupBy("least").agg(F.count("*").alias("size")).filter("size > 1")
+    members = docs.select("row", "doc_id").join(groups.join(several, "least"), "row")
+    first = members.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = work.write(members.join(first, "least").filter("row <> first.row").select("row"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the words of passages (50 words or more) that a document of smaller doc_id has too; all rows stay."""
+    kept = repeats.remove_repeats(_begin(spark, docs), columns=["lang", "source"])
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.coalesce(F.length("kept"), F.lit(0)).cast("long").alias("n_chars"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with placeholders for personal data, and without terms that disclose it."""
+    found = pii.find_personal_data(_begin(spark, docs), columns=["lang", "source"])
+    return found.select("doc_id", F.col("sanitised").alias("text"), "lang", "source", F.coalesce(F.length("sanitised"), F.lit(0)).cast("long").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: pieces of power-of-two length with their token ids (little-endian unsigned 32-bit)."""
+    return packing.pack_power_of_two(_begin(spark, docs))
+
 
-from graphloom.llm.common import Workspace
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express a trained classifier and tokenisers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = work.write(stage(spark, docs, sf_dir), name)
-    return docs
+    """All stages over the documents of sf_dir."""
+    Workspace.clear_all()
+    docs, results = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    Workspace.live.remove(results)  # the stages clear what others have left, but not each other's results
+    for name, stage in STAGES[:-1]:
+        docs = results.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

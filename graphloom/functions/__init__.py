@@ -1,0 +1 @@
+"""Scalar functions: randomness, planning formulas, statistics."""

@@ -36,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """A folder of written tables below shared_dir; they cut lineage and outlive executors."""
 
+    live: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
+        Workspace.live.append(self)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
@@ -54,3 +57,11 @@ class Workspace:
 
     def clear(self) -> None:
         self.drop("")
+        if self in Workspace.live:
+            Workspace.live.remove(self)
+
+    @classmethod
+    def clear_all(cls) -> None:
+        """Delete all work tables; for callers that have written what was made from them."""
+        for work in list(cls.live):
+            work.clear()

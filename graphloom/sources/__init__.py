@@ -1,0 +1 @@
+"""Graph sources and sinks: edge-list files, converters, generators, result tables."""

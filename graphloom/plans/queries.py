@@ -15,6 +15,7 @@ from ..operators import mincut, sampling, traversal
 from ..operators.components import connected_components
 from ..sources import generators as G
 from ..sources import graph_io
+from ..streaming.edges import window_counts
 from . import graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,6 +512,12 @@ def result_lines(spark, d):
     return graph_io.result_line(row, ["input", "seed", "m", "weight", "trials"])
 
 
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as \"day\", event_type, count(*) n, count(distinct user_id) users from events group by 1, 2")
+def event_windows(spark, d):
+    found = window_counts(graphs.table(spark, d, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "users")
+
+
 # traversals
 
 

@@ -36,7 +36,7 @@ def read_edge_list(spark: SparkSession, path: str, check: bool = True) -> tuple[
     n, m = (int(x) for x in rest[0]["line"].split()[:2])
     f = _fields(F.col("line"))
     data = lines.filter((F.col("at") > rest[0]["at"]) & (F.trim("line") != "") & ~F.startswith(F.ltrim("line"), F.lit("#")))
-    edges = data.select(f[0].try_cast("long").alias("src"), f[1].try_cast("long").alias("dst"), F.when(F.size(f) > 2, f[2]).otherwise(F.lit("1")).try_cast("long").alias("weight"))
+    edges = data.select(F.get(f, F.lit(0)).try_cast("long").alias("src"), F.get(f, F.lit(1)).try_cast("long").alias("dst"), F.when(F.size(f) > 2, F.get(f, F.lit(2))).otherwise(F.lit("1")).try_cast("long").alias("weight"))
     if check:
         bad = (F.col("src") < 0) | (F.col("dst") < 0) | (F.greatest("src", "dst") >= n) | F.col("src").isNull() | F.col("dst").isNull() | F.col("weight").isNull()
         found = edges.agg(F.count("*").alias("rows"), F.coalesce(F.sum(bad.cast("int")), F.lit(0)).alias("bad")).first()
@@ -57,7 +57,7 @@ def rebased(lines: DataFrame, prefix: str = "a ") -> DataFrame:
     """Edges of lines (at, line) like 'a u v w' with ids from 1, as ids from 0; lines of another kind (comments, problem line) are skipped."""
     f = _fields(F.substring_index("line", prefix, -1))
     rows = lines.filter(F.startswith("line", F.lit(prefix)))
-    return rows.select((f[0].try_cast("long") - 1).alias("src"), (f[1].try_cast("long") - 1).alias("dst"), f[2].try_cast("long").alias("weight"))
+    return rows.select((F.get(f, F.lit(0)).try_cast("long") - 1).alias("src"), (F.get(f, F.lit(1)).try_cast("long") - 1).alias("dst"), F.get(f, F.lit(2)).try_cast("long").alias("weight"))
 
 
 def read_rebased(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +76,7 @@ def read_snap(spark: SparkSession, path: str, keep_loops: bool = False) -> DataF
     """A pair list with # comments, normalised; ids stay strings until they are numbered, so any length will do."""
     lines = _lines(spark, path).filter((F.trim("line") != "") & ~F.startswith("line", F.lit("#")))
     f = _fields(F.col("line"))
-    return normalised(lines.select(f[0].alias("src"), f[1].alias("dst"), "at"), keep_loops=keep_loops)
+    return normalised(lines.select(F.get(f, F.lit(0)).alias("src"), F.get(f, F.lit(1)).alias("dst"), "at"), keep_loops=keep_loops)
 
 
 def write_adjacency(edges: DataFrame, path: str) -> None:
@@ -120,7 +120,7 @@ def log_records(lines: DataFrame, counters: int = 7) -> DataFrame:
     group = F.max(F.when(result, F.col("at"))).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     marked = kept.withColumn("record", group).filter("record is not null")
     values = F.split("line", ",")
-    most = [F.max(F.when(F.startswith("line", F.lit("PAPI")), values[i + 1].try_cast("double"))).alias(f"c{i}") for i in range(counters)]
+    most = [F.max(F.when(F.startswith("line", F.lit("PAPI")), F.get(values, F.lit(i + 1)).try_cast("double"))).alias(f"c{i}") for i in range(counters)]
     return marked.groupBy("record").agg(F.max(F.when(result, F.col("line"))).alias("line"), *most).withColumnRenamed("record", "at")
 
 
@@ -141,5 +141,5 @@ def harvest(spark: SparkSession, pattern: str, counters: int = 7) -> DataFrame:
     result = F.startswith("line", F.lit("/"))
     lines = lines.withColumn("record", F.max(F.when(result, F.col("at"))).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).filter("record is not null")
     values = F.split("line", ",")
-    most = [F.max(F.when(F.startswith("line", F.lit("PAPI")), values[i + 1].try_cast("double"))).alias(f"c{i}") for i in range(counters)]
+    most = [F.max(F.when(F.startswith("line", F.lit("PAPI")), F.get(values, F.lit(i + 1)).try_cast("double"))).alias(f"c{i}") for i in range(counters)]
     return lines.groupBy("file", "record").agg(F.max(F.when(result, F.col("line"))).alias("line"), *most).drop("record")

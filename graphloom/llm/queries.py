@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, flatgraph, mtree, ngram_join, packing, pii, quality, repeats, warc
+from . import bpe, chat, flatgraph, mtree, ngram_join, oracles, packing, pii, quality, repeats, warc
 from .common import Workspace, table
 
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

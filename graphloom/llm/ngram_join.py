@@ -15,7 +15,7 @@ n-grams are compared by 64-bit hashes, sets by 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,11 +138,13 @@ class Incidence:
         self.reps = HashBitmap(self.classes, F.col("f").bitwiseXOR(F.coalesce("rep", F.lit(0))))
         self.sketch = docs.sparkSession.sparkContext.broadcast(_sketch(self.first))
 
-    def rows(self, keep_class: HashBitmap | None = None) -> callable:
-        """A generator of (f, shingles) of a batch, for representatives (and, if given, classes in keep_class) only."""
+    def rows(self, keep_class: HashBitmap | None = None, keep_doc: HashBitmap | None = None) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
+        """A generator of (f, shingles) of a batch, for representatives (and, if given, classes in keep_class, of documents in keep_doc) only."""
         reps, k = self.reps, self.k
 
         def of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            if keep_doc is not None:
+                batch = batch.filter(pa.array(keep_doc.test(batch.column(2).to_numpy(zero_copy_only=False))))
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, shingles in shingle_sets(batch.column(1), k):
                 if len(shingles):
@@ -152,9 +154,14 @@ class Incidence:
 
         return of
 
-    def prefixes(self, columns: HashBitmap | None = None, parity: bool = False) -> DataFrame:
+    def documents(self, classes: DataFrame) -> HashBitmap:
+        """A test for the documents that represent classes (f), so that the others' texts need not be read into sets again."""
+        reps = self.classes.join(classes.select("f").distinct(), "f", "left_semi")
+        return HashBitmap(reps, F.xxhash64("rep"))
+
+    def prefixes(self, columns: HashBitmap | None = None, parity: bool = False, keep_doc: HashBitmap | None = None) -> DataFrame:
         """(h, f, n, c) for each prefix column h of each row; c: the sketch's count of the row's rarest shingle. columns: only those in the bitmap; parity: bits of the whole set too."""
-        sketch, threshold, of = self.sketch, self.threshold, self.rows()
+        sketch, threshold, of = self.sketch, self.threshold, self.rows(keep_doc=keep_doc)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = sketch.value
@@ -185,9 +192,9 @@ class Incidence:
         names = ["h", "f", "n", "c"] + ["bits"] * parity
         return self.docs.mapInArrow(run, "h long, f long, n long, c long" + ", bits binary" * parity)
 
-    def sets(self, wanted: HashBitmap) -> DataFrame:
-        """(f, shingles as packed 64-bit) of the classes in the bitmap."""
-        of = self.rows(wanted)
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(f, shingles as packed 64-bit) of the classes (f), and of a few others."""
+        of = self.rows(HashBitmap(classes, F.col("f")), self.documents(classes))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,7 +216,7 @@ class Incidence:
         threshold = self.threshold
         if pairs.isEmpty():
             return self.work.write(pairs.select("a", "b"), name)
-        sets = self.work.write(self.sets(HashBitmap(pairs.select("a").union(pairs.select("b")), F.col("a"))), name + "-sets")
+        sets = self.work.write(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()), name + "-sets")
         both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a").select("a", "b", "left", "right")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +274,19 @@ def _products(blocks: DataFrame, threshold: Threshold) -> DataFrame:
             a, b = np.where(swap, j, i), np.where(swap, i, j)
             yield pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
 
+    def pairs_of_small(column, few, f, n, comp) -> Iterator[pa.RecordBatch]:
+        """All pairs of many small columns at once: rows one, two, three and so on apart."""
+        for lag in range(1, SMALL):
+            x = np.flatnonzero((column[:-lag] == column[lag:]) & few[:-lag]) if lag < len(column) else np.zeros(0, np.int64)
+            if not len(x):
+                return
+            y = x + lag
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fine = (comp[x] != comp[y]) & (f[x] != f[y]) & (threshold.den * low >= threshold.num * high)
+            x, y = x[fine], y[fine]
+            a, b = np.where(f[x] < f[y], x, y), np.where(f[x] < f[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -275,7 +295,11 @@ def _products(blocks: DataFrame, threshold: Threshold) -> DataFrame:
             blank = bytes(8 * PARITY_WORDS)
             bits = np.frombuffer(b"".join([x or blank for x in table_.column("bits").to_pylist()]), np.uint64).reshape(-1, PARITY_WORDS)
             cut = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]]), strict=True):
+            begins, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]])
+            column = np.repeat(np.arange(len(begins)), ends - begins)
+            few = (ends - begins <= SMALL) & (side[begins] == 0) & (side[ends - 1] == 0)
+            yield from pairs_of_small(column, few[column], f, n, comp)
+            for a, b in zip(begins[~few], ends[~few], strict=True):
                 if b - a > 1:
                     yield from multiply(f[a:b], n[a:b], comp[a:b], bits[a:b], side[a:b])
 
@@ -307,7 +331,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     part but names no component (null, if no other is reached). Other columns are ignored.
     """
     work = Workspace(prepare(docs.sparkSession), "ngram")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id"))
     matrix = Incidence(source, k, threshold, work)
     # columns that two classes share, and in each the leader: of the rows with the most common content one, so that an original leads its copies
     shared = matrix.prefixes().groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high").select("h")
@@ -329,7 +353,8 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     small, large = open_columns.filter(F.col("m") <= SMALL), open_columns.filter(F.col("m") > SMALL)
     rows = cells.select("h", "f", "n").distinct().join(small, "h").withColumn("bits", F.lit(None).cast("binary"))
     if not large.isEmpty():
-        marked = matrix.prefixes(HashBitmap(large, F.col("h"), 1 << 22), parity=True).select("h", "f", "n", "bits").dropDuplicates(["h", "f"])
+        holders = cells.join(large, "h", "left_semi")
+        marked = matrix.prefixes(HashBitmap(large, F.col("h"), 1 << 22), parity=True, keep_doc=matrix.documents(holders)).select("h", "f", "n", "bits").dropDuplicates(["h", "f"])
         rows = rows.unionByName(marked.join(large, "h"))
     rows = rows.join(joined, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
     own = F.pmod(F.xxhash64("f"), F.col("blocks"))

@@ -176,7 +176,8 @@ def repeated_windows(docs: DataFrame, words: int, work: Workspace, name: str = "
     candidates = found[0]
     for other in found[1:]:
         candidates = candidates.union(other)
-    first = candidates.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "low")
+    # written, so that the join below stands on two plain exchanges and adaptive execution can split a window that a third of all documents share
+    first = work.write(candidates.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "low"), name + "first")
     later = candidates.join(first, "h").filter(F.col("doc_id") > F.col("low"))
     return later.select("doc_id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 

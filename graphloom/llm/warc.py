@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT_BYTES = 100
 #: Groups of equal payloads up to which the table of first captures (about 200 bytes a row) is broadcast.
@@ -48,6 +50,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload")).withColumn("serial", F.monotonically_increasing_id()).withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha2("payload", 256))
     place = F.struct(F.col("page_id").isNull().alias("unnumbered"), "page_id", "url", "serial")
     first = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).select("digest", place.alias("place")).groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    shared_dir(pages.sparkSession)
     first = first.checkpoint()
     if first.count() <= BROADCAST_GROUPS:
         first = F.broadcast(first)

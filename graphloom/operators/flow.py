@@ -76,7 +76,7 @@ def st_min_cut(edges: DataFrame, s: int, t: int) -> DataFrame:
         return pd.DataFrame({"cut_value": [value], "side": [sorted(names[side].tolist())]})
 
     prepare(edges.sparkSession)
-    return edges.select("src", "dst", "weight").groupBy(F.lit(0)).applyInPandas(run, "cut_value long, side array<long>")
+    return edges.select("src", "dst", "weight").groupBy(F.lit(0).alias("all")).applyInPandas(run, "cut_value long, side array<long>")
 
 
 def matching(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:

@@ -67,3 +67,14 @@ def sample_size_weighted(vertices: int, epsilon: float = 0.1) -> int:
 def concurrency(processors: int, trials: int) -> str:
     """low: whole trials on each processor; high: a group of processors for each trial."""
     return "low" if processors < 2 * trials else "high"
+
+
+def group_size(processors: int, trials: int) -> int:
+    """Processors that share a trial at high concurrency: the greatest power of two that fits; 1 at low concurrency."""
+    if concurrency(processors, trials) == "low":
+        return 1
+    return 1 << ((processors // trials).bit_length() - 1)
+
+
+def trials_each(processors: int, trials: int) -> int:
+    return math.ceil(trials / processors)

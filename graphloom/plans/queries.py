@@ -11,7 +11,7 @@ from ..functions import rand, stats, theory
 from ..operators import connectivity as C
 from ..operators import edges as E
 from ..operators import matrix as M
-from ..operators import mincut, sampling, traversal
+from ..operators import convert, flow, mincut, sampling, traversal
 from ..operators.components import connected_components
 from ..sources import generators as G
 from ..sources import graph_io
@@ -338,6 +338,51 @@ def bisection_bound(spark, d):
     return value.join(F.broadcast(exact)).select((F.col("cut_value") >= F.col("exact")).alias("upper_bound"))
 
 
+@query(f"with {RG}, st as (select sum(weight) w from (select unnest(range(1, 16)) mask), rg where (mask & 1) = 1 and ((mask >> 1) & 1) = 0 and ((mask >> src) & 1) <> ((mask >> dst) & 1) group by mask) select min(w)::bigint cut_value from st")
+def region_separation(spark, d):
+    return flow.st_min_cut(_longs(_regions(spark, d)), 0, 1).select("cut_value")
+
+
+@query("select true valid, true covers")
+def matching_valid(spark, d):
+    """No vertex is matched twice, and no edge between unmatched vertices is left."""
+    edges = graphs.order_parts(spark, d)
+    found = flow.bipartite_matching(edges)
+    used = found.select(F.explode(F.array("src", "dst")).alias("vertex"))
+    valid = used.agg((F.count("*") == F.countDistinct("vertex")).alias("valid"))
+    free = edges.join(used, F.col("src") == F.col("vertex"), "left_anti").join(used, F.col("dst") == F.col("vertex"), "left_anti").agg((F.count("*") == 0).alias("covers"))
+    return valid.join(F.broadcast(free))
+
+
+# conversions
+
+
+@query(f"with {NT}, e as (select v, sum(o)::bigint o, sum(i)::bigint i from (select src v, 1 o, 0 i from nt union all select dst, 0, 1 from nt) group by 1) select i as degree, count(*) vertices from e group by 1")
+def in_degree_hist(spark, d):
+    return _longs(convert.directed_histogram(graphs.nation_trade(spark, d)))
+
+
+@query(f"with {NT} select floor(abs(src - dst) / 5)::bigint bucket, count(*) edges from nt group by 1")
+def offset_hist(spark, d):
+    return convert.offset_histogram(graphs.nation_trade(spark, d), 5)
+
+
+@query(f"with {NT} select src::bigint src, dst::bigint dst, weight from nt union all select i, (i + 1) % 25, 1 from (select unnest(range(25)) i)")
+def ring_overlay(spark, d):
+    return convert.with_ring(graphs.nation_trade(spark, d), 25)
+
+
+@query(f"with {NT} select src::bigint src, dst::bigint dst, weight from nt union all select src + 25, dst + 25, weight from nt")
+def graphs_side_by_side(spark, d):
+    g = graphs.nation_trade(spark, d)
+    return convert.disjoint_union([g, g], 25)
+
+
+@query("select input, cores, repetition, place * 3 + repetition seed from (values (0, 'a'), (1, 'b')) t(place, input), (select unnest([1, 8, 64]) cores), (select unnest(range(3))::int repetition)")
+def job_matrix(spark, d):
+    return stats.job_grid(spark, ["a", "b"], [1, 8, 64], 3)
+
+
 # matrices
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rand, theory
 from ..session import Workspace, prepare
 from . import edges as E
-from .components import connected_components
+from .components import small_or_large as connected_components
 from .kernels import component_labels, dense_ids
 
 #: Edges that a round of iterated sampling hands to the driver at most (16 bytes each).

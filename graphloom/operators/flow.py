@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .components import connected_components
+from .components import small_or_large as connected_components
 from .kernels import dense_ids
 
 #: Edges of a graph that is given to one task.

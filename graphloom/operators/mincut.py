@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import rand, theory
 from ..session import Workspace, prepare
 from . import edges as E
-from .components import connected_components
+from .components import small_or_large as connected_components
 from .kernels import component_labels, cut_trial, dense_ids, stoer_wagner, to_matrix
 
 #: Vertices up to which a graph is solved exactly; edges up to which it is broadcast (24 bytes each).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rand
 from ..session import Workspace, prepare
 from . import edges as E
-from .components import connected_components
+from .components import small_or_large as connected_components
 
 
 def bfs_levels(edges: DataFrame, sources: list[int], directed: bool = False, max_rounds: int = 10_000) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import connectivity as C
 from ..operators import edges as E
 from ..operators import matrix as M
 from ..operators import convert, flow, mincut, sampling, traversal
-from ..operators.components import connected_components
+from ..operators.components import small_or_large as connected_components
 from ..sources import generators as G
 from ..sources import graph_io
 from ..streaming.edges import window_counts

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -50,6 +52,10 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
+        if SparkContext._active_spark_context is None or self.spark.sparkContext._jsc is None:  # the session has ended
+            local = self.path.removeprefix("file://").removeprefix("file:")
+            shutil.rmtree(os.path.join(local, name), ignore_errors=True)
+            return
         with contextlib.suppress(Exception):
             jvm = self.spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)

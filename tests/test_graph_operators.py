@@ -68,6 +68,15 @@ def test_sampled_components_equal_star_contraction(spark):
     assert dict(connected_components(again.repartition(7)).collect()) == want
 
 
+def test_components_in_one_task_equal_the_rounds(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(90), rng.randrange(90), 1) for _ in range(70)] + [(95, 95, 1)]
+    g = frame(spark, rows)
+    small = connected_components(g, kernel_edges=1000)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, connected_components(g).collect()))
+    assert connected_components(g.limit(0), kernel_edges=10).collect() == []
+
+
 def test_repair_connects(spark):
     g = frame(spark, [(0, 1, 1), (1, 2, 1), (5, 6, 1), (7, 7, 1)])
     fixed = connectivity.repaired(g, connected_components(g)).collect()

@@ -32,14 +32,17 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
 
 
 class HashBitmap:
-    """A fixed-size bitmap of uniformly hashed 64-bit keys: a superset test whose size never depends on the data.
+    """A bitmap of uniformly hashed 64-bit keys: a superset test of MOST_BITS at most, whatever the number of keys.
 
-    It is built by a distributed bit_or over words of 64 bits, so the driver gets at
-    most bits / 64 rows. A test may say yes to a key outside the set (callers check
+    It has some 16 bits a key up to that bound (16 MB), beyond it fewer. It is built by a distributed
+    bit_or over words of 64 bits, so the driver gets at most bits / 64 rows. A test may say yes to a key outside the set (callers check
     again by an exact join), never no to one inside it; a fuller bitmap only says yes more often.
     """
 
-    def __init__(self, df: DataFrame, key: F.Column, bits: int = 1 << 23) -> None:
+    LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+    def __init__(self, df: DataFrame, key: F.Column) -> None:
+        bits = 1 << min(self.MOST_BITS.bit_length() - 1, max(self.LEAST_BITS.bit_length() - 1, (16 * df.count()).bit_length()))
         self.bits = bits
         slots = df.select(key.bitwiseAND(F.lit(bits - 1)).alias("slot"))
         words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()

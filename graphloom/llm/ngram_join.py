@@ -336,7 +336,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     # columns that two classes share, and in each the leader: of the rows with the most common content one, so that an original leads its copies
     shared = matrix.prefixes().groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high").select("h")
     shared = work.write(shared, "shared")
-    cells = work.write(matrix.prefixes(HashBitmap(shared, F.col("h"), 1 << 24)).join(shared, "h"), "cells")
+    cells = work.write(matrix.prefixes(HashBitmap(shared, F.col("h"))).distinct().join(shared, "h"), "cells")
     leaders = cells.groupBy("h").agg(F.max(F.struct("c", "f", "n")).alias("lead"))
     stars = cells.join(leaders, "h").filter("f <> lead.f").filter(_sizes_fit(threshold, "n", "lead.n"))
     # a pair that meets in few of its columns by way of a leader waits for the products below, where its overlap is counted in full
@@ -351,10 +351,10 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     open_columns = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low <> high")
     open_columns = work.write(open_columns.select("h", "m", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open")
     small, large = open_columns.filter(F.col("m") <= SMALL), open_columns.filter(F.col("m") > SMALL)
-    rows = cells.select("h", "f", "n").distinct().join(small, "h").withColumn("bits", F.lit(None).cast("binary"))
+    rows = cells.select("h", "f", "n").join(small, "h").withColumn("bits", F.lit(None).cast("binary"))
     if not large.isEmpty():
         holders = cells.join(large, "h", "left_semi")
-        marked = matrix.prefixes(HashBitmap(large, F.col("h"), 1 << 22), parity=True, keep_doc=matrix.documents(holders)).select("h", "f", "n", "bits").dropDuplicates(["h", "f"])
+        marked = matrix.prefixes(HashBitmap(large, F.col("h")), parity=True, keep_doc=matrix.documents(holders)).select("h", "f", "n", "bits").dropDuplicates(["h", "f"])
         rows = rows.unionByName(marked.join(large, "h"))
     rows = rows.join(joined, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
     own = F.pmod(F.xxhash64("f"), F.col("blocks"))

@@ -168,7 +168,7 @@ def near_values(docs: DataFrame) -> DataFrame:
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs): how many rows hold each of the terms, over all documents."""
-    wanted = HashBitmap(terms, F.col("term"), 1 << 24)
+    wanted = HashBitmap(terms, F.col("term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +251,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
         return docs.mapInArrow(direct, schema)
 
     # too many terms to broadcast: candidate words go to the terms' partitions, and what is found goes back to the rows
-    test = HashBitmap(told, F.col("term"), 1 << 24)
+    test = HashBitmap(told, F.col("term"))
     numbered = work.write(docs.withColumn("\x00row", F.monotonically_increasing_id()), f"rows-{count}")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import Workspace, prepare
 
 #: Vectors of one tree, of a leaf page, and routing objects of an inner page.
-PART, PAGE, FANOUT = 8192, 512, 16
+PART, PAGE, FANOUT = 8192, 1024, 16
 MAX_PIVOTS = 1024
 #: Queries of a block; blocks that one copy of a tree serves.
 BLOCK, BLOCKS_A_COPY = 256, 32
@@ -106,11 +106,13 @@ def search(root: Node, center: np.ndarray, query: np.ndarray, own: int, k: int,
             break
         gap = np.abs(to_parent - node.parent)  # at least this far, by the stored distance
         if node.children is not None:
-            for i in np.flatnonzero(gap - node.radii <= bound):
-                d = float(_distances(lifted_query, node.vectors[i]))
-                if d - node.radii[i] <= bound:
+            open_ = np.flatnonzero(gap - node.radii <= bound)
+            d = _distances(lifted_query, node.vectors[open_])
+            least_d = np.maximum(d - node.radii[open_] - slack**0.5, 0.0)
+            for i, away, low in zip(open_.tolist(), d.tolist(), least_d.tolist(), strict=True):
+                if low <= bound:
                     serial += 1
-                    heapq.heappush(queue, (max(d - float(node.radii[i]) - slack**0.5, 0.0), serial, node.children[i], d))
+                    heapq.heappush(queue, (low, serial, node.children[i], away))
             continue
         near = gap - slack**0.5 <= bound
         vectors, own_names, own_ids = (node.vectors, node.names, node.ids) if near.all() else (node.vectors[near], node.names[near], node.ids[near])

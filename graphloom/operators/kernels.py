@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 from ..functions.theory import BASE_CASE, contraction_target
@@ -97,6 +99,72 @@ def stoer_wagner(m: np.ndarray) -> tuple[int, np.ndarray]:
     return best, side
 
 
+def _scan_first_search(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, bound: int) -> np.ndarray:
+    """Labels of vertices that no cut below bound separates: in a maximum-adjacency order a vertex is joined to the scanned one once its attachment reaches the bound."""
+    ends, others, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([weight, weight])
+    order = np.argsort(ends, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]).tolist()
+    others, w = others[order].tolist(), w[order].tolist()
+    attached, open_ = [0] * n, [True] * n
+    parent = list(range(n))
+    heap: list[tuple[int, int]] = []
+    for root in range(n):
+        if not open_[root]:
+            continue
+        heap.append((0, root))
+        while heap:
+            _, v = heappop(heap)
+            if not open_[v]:
+                continue
+            open_[v] = False
+            for at in range(first[v], first[v + 1]):
+                u = others[at]
+                if open_[u]:
+                    was = attached[u]
+                    if was >= bound:  # joined, and before all others in the queue, already; this edge joins it too
+                        parent[u] = v
+                        continue
+                    now = attached[u] = was + w[at]
+                    heappush(heap, (-now if now < bound else -bound, u))
+                    if now >= bound:
+                        parent[u] = v
+    # each vertex points to one that was scanned earlier
+    label = np.array(parent)
+    while True:
+        after = label[label]
+        if np.array_equal(after, label):
+            return label
+        label = after
+
+
+def forest_cut(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[int, np.ndarray]:
+    """(value, side) of a minimum cut of a connected graph, exact: phases of maximum-adjacency orders contract what the best cut so far cannot separate (Nagamochi, Ono and Ibaraki)."""
+    labels = np.arange(n)
+    best, side = None, np.zeros(n, bool)
+    while True:
+        low, high = np.minimum(src, dst), np.maximum(src, dst)
+        apart = low != high
+        key, where = np.unique(low[apart] * n + high[apart], return_inverse=True)
+        weight = np.bincount(where, weights=weight[apart], minlength=len(key)).astype(np.int64) if weight.sum() < 2**52 else np.array([weight[apart][where == i].sum() for i in range(len(key))])
+        src, dst = key // n, key % n
+        size = int(labels.max()) + 1
+        degree = np.zeros(size, np.int64)
+        np.add.at(degree, src, weight)
+        np.add.at(degree, dst, weight)
+        weakest = int(np.argmin(degree))
+        if best is None or degree[weakest] < best:
+            best, side = int(degree[weakest]), labels == weakest
+        if size <= 2:
+            return best, side
+        found = _scan_first_search(size, src, dst, weight, best)
+        names, dense = np.unique(found, return_inverse=True)
+        if len(names) < 2:
+            return best, side
+        if len(names) == size:
+            return best, side  # only without edges
+        labels, src, dst = dense[labels], dense[src], dense[dst]
+
+
 def contract_to(m: np.ndarray, target: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(matrix, labels) after random contraction, by weight, to target vertices (more, if the graph has more components).
 

@@ -20,10 +20,10 @@ from ..functions import rand, theory
 from ..session import Workspace, prepare
 from . import edges as E
 from .components import small_or_large as connected_components
-from .kernels import component_labels, cut_trial, dense_ids, stoer_wagner, to_matrix
+from .kernels import component_labels, cut_trial, dense_ids, forest_cut
 
-#: Vertices up to which a graph is solved exactly; edges up to which it is broadcast (24 bytes each).
-EXACT_VERTICES, BROADCAST_EDGES = 512, 2_000_000
+#: Vertices and edges up to which a graph is solved exactly in one task; edges up to which it is broadcast (24 bytes each).
+EXACT_VERTICES, EXACT_EDGES, BROADCAST_EDGES = 500_000, 2_000_000, 2_000_000
 RESULT = "cut_value long, side array<long>, variant string, trials long, probability double"
 
 
@@ -65,25 +65,27 @@ def heavy_contraction(edges: DataFrame, work: Workspace) -> DataFrame | None:
     return mapping if left > 2 else None
 
 
-def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None) -> DataFrame:
+def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None, sides: bool = True) -> DataFrame:
     """One row: cut_value, side (the vertices of the smaller side, by least vertex on ties), variant, trials, probability (that the value is the minimum).
 
     edges (src, dst, weight): undirected, parallel ones add up, loops and weights that are not positive do not count. vertices (vertex) adds isolated
     ones. Of a graph that is not connected the value is 0 and side the component of the least vertex; with fewer than two vertices value and side are null.
-    Results depend on the seed, not on partitions. side lists the vertices of one side and so is only for graphs whose sides fit in a row.
+    Results depend on the seed, not on partitions. side lists the vertices of one side in one row; without sides it is null, which is what large graphs want.
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "mincut")
     graph = _prepared(edges, vertices, work, prune)
     if graph.vertices < 2:
         return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
+    if not graph.connected and not sides:
+        return spark.createDataFrame([(0, None, "disconnected", 0, 1.0)], RESULT)
     if not graph.connected:
         labelled = connected_components(edges.filter("weight > 0"))
         known = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
         whole = known.join(labelled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
         first = whole.agg(F.min("component").alias("component"))
         return whole.join(F.broadcast(first), "component").agg(F.sort_array(F.collect_list("vertex")).alias("side")).select(F.lit(0).cast("long").alias("cut_value"), "side", F.lit("disconnected").alias("variant"), F.lit(0).cast("long").alias("trials"), F.lit(1.0).alias("probability"))
-    if graph.vertices <= exact_vertices:
+    if graph.vertices <= exact_vertices and graph.rows <= EXACT_EDGES:
         result, variant, trials, reached = _exact(graph.edges), "exact", 1, 1.0
     else:
         trials = theory.cut_trials(graph.vertices, graph.rows, success)
@@ -95,6 +97,8 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
             result, variant = _trials(graph.edges, size, trials, seed), "low"
         else:
             result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work), "high"
+    if not sides:
+        return result.agg(F.min("cut_value").alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability"))
     best = result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.side")
     if graph.mapping is not None:
         inner = best.select("cut_value", F.explode("side").alias("new"))
@@ -111,12 +115,12 @@ _TRIAL = "trial long, cut_value long, side array<long>"
 
 def _solved(trial: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
     a, b, names = dense_ids(src, dst)
-    value, side = stoer_wagner(to_matrix(len(names), a, b, weight))
+    value, side = forest_cut(len(names), a, b, weight)
     return pd.DataFrame({"trial": [trial], "cut_value": [value], "side": [sorted(names[side].tolist())]})
 
 
 def _exact(edges: DataFrame) -> DataFrame:
-    """The minimum cut by maximum adjacency search; one task, for graphs of a checked size."""
+    """The minimum cut by maximum-adjacency orders; one task, for graphs of a checked size."""
     return edges.groupBy(F.lit(0).alias("trial")).applyInPandas(lambda pdf: _solved(0, pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy()), _TRIAL)
 
 

@@ -330,6 +330,15 @@ def approx_cut_within_bound(spark, d):
     return near.join(F.broadcast(exact)).select("found", ((F.col("weight") <= 40 * F.col("cut_value")) & (F.col("cut_value") <= 40 * F.col("weight"))).alias("within"))
 
 
+@query("select 32000::bigint vertices, true within_degree_bound, true exact")
+def small_world_min_cut(spark, d):
+    """The exact cut of a small-world graph of 32,000 vertices and some 500,000 edges."""
+    edges = G.small_world(spark, 32_000, 32, 0.3, seed=1)
+    cut = mincut.minimum_cut(edges, sides=False)
+    counts = E.graph_summary(edges).select("vertices")
+    return cut.join(F.broadcast(E.least_degree(edges))).join(F.broadcast(counts)).select("vertices", (F.col("cut_value") <= F.col("bound")).alias("within_degree_bound"), (F.col("variant") == "exact").alias("exact"))
+
+
 @query("select true upper_bound")
 def bisection_bound(spark, d):
     edges = graphs.nation_trade(spark, d)

@@ -37,10 +37,21 @@ def test_stoer_wagner_and_trials_against_all_bipartitions(seed):
     value, side = K.stoer_wagner(K.to_matrix(n, src, dst, weight))
     assert value == want and 0 < side.sum() < n
     assert sum(w for a, b, w in edges if side[a] != side[b]) == want
+    value, side = K.forest_cut(n, src, dst, weight)
+    assert value == want == sum(w for a, b, w in edges if side[a] != side[b]) and 0 < side.sum() < n
     best = min(K.cut_trial(n, *arrays([e for e in edges if e[0] != e[1]]), max(2, n // 2), t, base=4)[0] for t in range(60))
     assert best == want
 
 
+def test_forest_cut_of_larger_graphs():
+    rng = random.Random(1)
+    for n in (2, 40, 90):
+        edges = random_graph(rng, n, 4 * n)
+        src, dst, weight = arrays(edges)
+        value, side = K.forest_cut(n, src, dst, weight)
+        assert value == K.stoer_wagner(K.to_matrix(n, src, dst, weight))[0] == sum(w for a, b, w in edges if side[a] != side[b])
+
+
 def test_shuffled_weights_and_loops_change_nothing():
     rng = random.Random(3)
     edges = random_graph(rng, 9, 20)

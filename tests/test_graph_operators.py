@@ -35,6 +35,7 @@ def test_golden(spark, name, n, rows, components, cut, side):
     if cut:
         assert mincut.minimum_cut(g, exact_vertices=1, prune=False).first().cut_value == cut
         assert mincut.minimum_cut(g, exact_vertices=1, prune=False, broadcast_edges=0).first().cut_value == cut
+    assert tuple(mincut.minimum_cut(g, everyone, sides=False).first())[:2] == (cut, None)
     near = mincut.approximate_cut(g, everyone).first()
     assert near.found and (near.weight == 0) == (cut == 0)
 

@@ -206,23 +206,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     scored one by one, repeated and without id too.
     """
     names = [c for c in columns or [] if c != "doc_id"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"\x00{c}") for c in names))
+    extra = [c for c in names if c != "text"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"\x00{c}") for c in extra))
     work = Workspace(prepare(docs.sparkSession), "quality")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("label"))
     stats = work.write(described(docs.select("doc_id", "text"), ["doc_id"]), "stats")
     labelled = stats.join(known, "doc_id").select("stats", "label", F.xxhash64("doc_id").alias("key"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled))
-    fields = [f"`{c}` {docs.schema[f'\x00{c}'].dataType.simpleString()}" for c in names]
-    n = len(names)
+    n = len(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(n + 2)
-            stats = statistics(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else np.array(values.flatten()).reshape(-1, len(STATISTICS))
+            is_text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+            stats = statistics(values) if is_text else np.array(values.flatten()).reshape(-1, len(STATISTICS))
             score = np.clip(shared.value.score(stats), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[1 : n + 2], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", *names, "held_out", "score", "predicted"])
+            kept = [values if c == "text" else batch.column(1 + extra.index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, batch.column(n + 1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", *names, "held_out", "score", "predicted"])
 
     source = docs if names else stats  # statistics are made again rather than joined to wide rows
-    given = source.select("doc_id", *(f"\x00{c}" for c in names), held_out(F.col("doc_id")).alias("held_out"), "text" if names else "stats")
+    given = source.select("doc_id", *(f"\x00{c}" for c in extra), held_out(F.col("doc_id")).alias("held_out"), "text" if names else "stats")
+    fields = [f"`{c}` {docs.schema[c if c == 'text' else f'\x00{c}'].dataType.simpleString()}" for c in names]
     return given.mapInArrow(run, ", ".join(["doc_id long", *fields, "held_out boolean", "score double", "predicted int"]))

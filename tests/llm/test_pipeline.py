@@ -77,6 +77,9 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_run_is_the_stages_in_turn(spark, tmp_path):
-    spark.createDataFrame(corpus()[:40], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus()[:40]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 40
+    # without labels the classifier rejects nothing, so that one document of each near-duplicate class is left
+    left = {c for _, _, c in brute_classes([r[:2] for r in rows], 5, Threshold())}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == left

@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of a batch that goes to a Python worker, where the session does not say otherwise: long texts come in few rows.
+BATCH, DEFAULT_BATCH = "4m", "67108864b"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put the package's folder on the Python path of workers that start from here on (a no-op where it is installed there)."""
+    """Put the package's folder on the Python path of workers that start from here on (a no-op where it is installed there), and bound the bytes of their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -6,7 +6,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 
-from ..functions.theory import BASE_CASE, contraction_target
+from ..functions.theory import BASE_CASE, contraction_target, recursion_trials
 
 
 def dense_ids(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,3 +206,18 @@ def cut_trial(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, size
     k = int(labels.max()) + 1
     value, side = recursive_cut(to_matrix(k, labels[src], labels[dst], weight), rng, base)
     return value, side[labels]
+
+
+def recursive_cut_once(m: np.ndarray, rng: np.random.Generator, base: int = BASE_CASE) -> tuple[int, np.ndarray]:
+    """As recursive_cut, but contracted once before the two branches."""
+    if len(m) <= base:
+        return stoer_wagner(m)
+    smaller, labels = contract_to(m, max(2, int(np.ceil(len(m) / np.sqrt(2))) + 1), rng)
+    value, side = min((recursive_cut(smaller, rng, base) for _ in range(2)), key=lambda x: x[0])
+    return value, side[labels]
+
+
+def karger_stein(m: np.ndarray, success: float = 0.9, seed: int = 0, base: int = BASE_CASE) -> tuple[int, np.ndarray]:
+    """(value, side) of the best of as many recursive contractions as find a minimum cut with the given probability; success 0 asks for one."""
+    trials = recursion_trials(len(m), success)
+    return min((recursive_cut(m, np.random.default_rng((seed, t)), base) for t in range(trials)), key=lambda x: x[0])

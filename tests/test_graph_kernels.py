@@ -52,6 +52,16 @@ def test_forest_cut_of_larger_graphs():
         assert value == K.stoer_wagner(K.to_matrix(n, src, dst, weight))[0] == sum(w for a, b, w in edges if side[a] != side[b])
 
 
+def test_recursive_contraction_of_a_graph_above_the_base_case():
+    rng = random.Random(7)
+    edges = [(i, j, 50) for part in (range(70), range(70, 140)) for i in part for j in part if i < j and rng.random() < 0.3] + [(3, 90, 7), (5, 120, 8)]
+    edges += [(i, i + 1, 50) for i in range(69)] + [(i, i + 1, 50) for i in range(70, 139)]
+    m = K.to_matrix(140, *arrays(edges))
+    assert K.stoer_wagner(m)[0] == 15
+    assert K.karger_stein(m, 0.95, 1)[0] == 15
+    assert min(K.recursive_cut_once(m, np.random.default_rng(t))[0] for t in range(8)) == 15
+
+
 def test_shuffled_weights_and_loops_change_nothing():
     rng = random.Random(3)
     edges = random_graph(rng, 9, 20)

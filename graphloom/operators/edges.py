@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import Workspace, prepare
+
 EDGE = T.StructType([T.StructField("src", T.LongType(), False), T.StructField("dst", T.LongType(), False), T.StructField("weight", T.LongType(), False)])
 
 
@@ -128,17 +130,27 @@ def relabel_by_neighbour_degree(edges: DataFrame) -> DataFrame:
     return ranked(best.select(F.col("src").alias("old"), (-F.col("best")).alias("key")), ["key", "old"])
 
 
+def _dealt(df: DataFrame, order: list[str], shards: int, value: F.Column) -> DataFrame:
+    """df by range partitions of order, with __part and, within it, the running __run of value up to each row; written, as another run would draw other bounds."""
+    work = Workspace(prepare(df.sparkSession), "ranges")
+    ranges = df.repartitionByRange(max(1, shards), *order).withColumn("__part", F.spark_partition_id())
+    return work.write(ranges.withColumn("__run", F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))), "dealt")
+
+
+def _before(dealt: DataFrame, total: F.Column) -> DataFrame:
+    """(__part, __before): the totals of the ranges before each; a row a range, and so a window over few rows."""
+    totals = dealt.groupBy("__part").agg(total.alias("__n"))
+    earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(totals.select("__part", F.coalesce(earlier, F.lit(0)).alias("__before")))
+
+
 def ranked(df: DataFrame, order: list[str], name: str = "new", shards: int = 64) -> DataFrame:
-    """df with name: its place, from 0, in the order of columns - by range partitions and their offsets, so that no task holds all rows.
+    """df with name: its place, from 0, in the order of columns - by range partitions and their sizes, so that no task holds all rows.
 
     Rows of equal order share a range partition and take places in any order among themselves, so order should be unique.
     """
-    n = max(1, shards)
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")  # a row a range
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
+    dealt = _dealt(df, order, shards, F.lit(1))
+    return dealt.join(_before(dealt, F.count("*")), "__part").withColumn(name, F.col("__run") + F.col("__before") - 1).drop("__part", "__run", "__before")
 
 
 def dense_labels(labels: DataFrame, label: str = "component") -> DataFrame:
@@ -159,11 +171,8 @@ def relabel_first_seen(edges: DataFrame, position: str) -> DataFrame:
 
 def prefix_sums(df: DataFrame, order: str, value: str, exclusive: bool = True, shards: int = 64) -> DataFrame:
     """df with offset: the sum of value over the rows before (and, unless exclusive, of) each; by range partitions and their totals. order must be unique."""
-    dealt = df.repartitionByRange(shards, order).withColumn("__part", F.spark_partition_id())
-    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    running = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = dealt.withColumn("__run", running).join(F.broadcast(before), "__part")
+    dealt = _dealt(df, [order], shards, F.col(value))
+    out = dealt.join(_before(dealt, F.sum(value)), "__part")
     return out.withColumn("offset", F.col("__run") + F.col("__before") - (F.col(value) if exclusive else 0)).drop("__part", "__run", "__before")
 
 

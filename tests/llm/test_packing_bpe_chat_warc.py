@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from graphloom.llm import bpe, chat, packing, warc
 from graphloom.session import Workspace
 
-PIECES = [*"abcdefghijkl THE  \n\n\t'sdtllveré中文🎉.,!123", "\xa0", "　", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " the", "ing", "'s", "'ll", "́", "İ", "Σ", ", ", ". ", ".\n"]
+PIECES = [*"abcdefghijkl THE  \n\n\t'sdtllveré中文🎉.,!123", "\xa0", "　", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " the", "ing", "'s", "'ll", "́", "İ", "Σ", ", ", ". ", ".\n", "*** ", "_ ", "'' ", "!!\n"]
 
 
 def texts(seed, n):

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Cached chunks (a word with the space before it) in each of the two generations of a Python worker's cache.
 CACHE_CHUNKS = 400_000
 CACHE_CHUNK_BYTES = 64
@@ -224,7 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
                 ids = [bpe.encode(t or "").astype(np.int32) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -237,7 +239,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
             texts = [bpe.decode(np.array(x or [], dtype=np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -258,4 +260,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Workspace, prepare
+from .common import Workspace, prepare, tidy
 from .mtree import groups
 
 #: Vectors a centre stands for, centres at most, vectors of a part.
@@ -163,7 +163,7 @@ class _Index:
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * probes), pa.array(order.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([*part.columns, flat], ["node", "x", "n", "probes"])
 
-        near_ = nodes.select("node", "x", "n").mapInArrow(near, "node long, x binary, n long, probes array<int>").withColumn("cells", F.slice("probes", 1, overlap))
+        near_ = nodes.select("node", "x", "n").mapInArrow(tidy(near), "node long, x binary, n long, probes array<int>").withColumn("cells", F.slice("probes", 1, overlap))
         self.placed = work.write(near_, f"placed-{round_}")
         members = self.placed.withColumn("cell", F.explode("cells"))
         sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("parts"))  # a row for each centre at most
@@ -171,7 +171,7 @@ class _Index:
         # a cell's parts are dealt by hash; key = part of the cell, cell
         members = members.join(self.sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")) * MAX_CENTRES + F.col("cell"))
         self.members = members.select("part", "node", "x", "n", "cells")
-        lists = self.members.select("part", "node", "x").repartition("part").sortWithinPartitions("part", "node").mapInArrow(self._build, "node long, near array<long>")
+        lists = self.members.select("part", "node", "x").repartition("part").sortWithinPartitions("part", "node").mapInArrow(tidy(self._build), "node long, near array<long>")
         united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         self.united = work.write(united, f"united-{round_}")
 
@@ -224,7 +224,7 @@ class _Index:
             if state:
                 yield from _joined(state)
 
-        return self.work.write(both.mapInArrow(run, "node long, found long, root long"), f"found-{self.round}")
+        return self.work.write(both.mapInArrow(tidy(run), "node long, found long, root long"), f"found-{self.round}")
 
 
 def _opened(rows: pa.Table, width: int, part: int) -> dict:
@@ -301,7 +301,7 @@ def audit(nodes: DataFrame, found: DataFrame, width: int, threshold: float, quer
                 total += (hit * part.column(2).to_numpy()[:, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["node", "real"])
 
-    real = nodes.select("node", "x", "n").mapInArrow(scan, "node long, real long").groupBy("node").agg(F.sum("real").alias("real")).toArrow()
+    real = nodes.select("node", "x", "n").mapInArrow(tidy(scan), "node long, real long").groupBy("node").agg(F.sum("real").alias("real")).toArrow()
     truth = dict(zip(real.column("node").to_pylist(), real.column("real").to_pylist(), strict=True))
     total = sum(truth.values())
     got = sum(min(f, truth[k]) for k, f in zip(sample.column("node").to_pylist(), sample.column("found").to_pylist(), strict=True))
@@ -349,7 +349,7 @@ def _search(classes: DataFrame, width: int, threshold: float, overlap: int, prob
             x = _unit(batch.column(1).flatten().to_numpy().reshape(-1, width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["node", "x", "n"])
 
-    nodes = work.write(classes.select("node", "embedding", "n").mapInArrow(pack, "node long, x binary, n long"), f"nodes-{width}")
+    nodes = work.write(classes.select("node", "embedding", "n").mapInArrow(tidy(pack), "node long, x binary, n long"), f"nodes-{width}")
     for round_ in range(4):
         found = _Index(nodes, width, work, overlap, probes, round_ * 100_000 + width).links(threshold)
         if audit(nodes, found, width, threshold) >= AUDIT_RECALL or probes >= MAX_CENTRES:

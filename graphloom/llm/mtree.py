@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, prepare
+from .common import Workspace, prepare, tidy
 
 #: Vectors of one tree, of a leaf page, and routing objects of an inner page.
 PART, PAGE, FANOUT = 8192, 1024, 16
@@ -149,7 +149,7 @@ def _prepared(vectors: DataFrame, width: int) -> DataFrame:
             out[np.arange(width) < sizes[:, None]] = flat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in out], pa.binary()), pa.array((out**2).sum(axis=1)), pa.array(np.abs(out).max(axis=1, initial=0))], ["row", "vec_id", "x", "norm", "most"])
 
-    return vectors.mapInArrow(run, "row long, vec_id long, x binary, norm double, most double")
+    return vectors.mapInArrow(tidy(run), "row long, vec_id long, x binary, norm double, most double")
 
 
 def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -182,7 +182,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                 d = (points**2).sum(axis=1)[:, None] - 2 * points @ centers.T + (centers**2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.argmin(d, axis=1))], ["row", "vec_id", "x", "pivot"])
 
-    dealt = work.write(rows.select("row", "vec_id", "x").mapInArrow(deal, "row long, vec_id long, x binary, pivot long"), "dealt")
+    dealt = work.write(rows.select("row", "vec_id", "x").mapInArrow(tidy(deal), "row long, vec_id long, x binary, pivot long"), "dealt")
     sizes = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts"))
     placed = dealt.join(F.broadcast(sizes), "pivot")  # a row for each of MAX_PIVOTS pivots at most
     placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")) * MAX_PIVOTS + F.col("pivot"))
@@ -195,7 +195,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
             radius = float(_distances(lifted(points, longest), center).max())
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([radius]), pa.array([pickle.dumps(tree, 5)], pa.binary())], ["part", "radius", "tree"])
 
-    trees = placed.select("part", "row", "vec_id", "x").repartition("part").sortWithinPartitions("part").mapInArrow(plant, "part long, radius double, tree binary")
+    trees = placed.select("part", "row", "vec_id", "x").repartition("part").sortWithinPartitions("part").mapInArrow(tidy(plant), "part long, radius double, tree binary")
     trees = work.write(trees, "trees")
 
     # the trees' rows come before the queries' in each (part, copy)
@@ -217,7 +217,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
         """Answers to blocks of queries (part, copy, kind 1, blob)."""
         given = trees.select("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), F.col("tree").alias("blob"))
         both = given.unionByName(blocks).repartition("part", "copy").sortWithinPartitions("part", "copy", "kind")
-        return both.mapInArrow(answer, schema)
+        return both.mapInArrow(tidy(answer), schema)
 
     queries = placed.filter(F.col("vec_id") % every == 0).select("part", "row", "vec_id", "x")
 
@@ -230,7 +230,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                     some = at[i : i + BLOCK]
                     yield _block(int(part), 0, [rows_[j] for j in some], [names[j] for j in some], [None] * len(some), xs[some])
 
-    first = work.write(asked(queries.mapInArrow(own_blocks, _BLOCK), 1), "own")
+    first = work.write(asked(queries.mapInArrow(tidy(own_blocks), _BLOCK), 1), "own")
     floors = first.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     asking = queries.join(floors, queries["row"] == floors["query_row"], "left").select("part", "row", "vec_id", "x", "floor")
     shares = trees.groupBy(F.pmod("part", F.lit(MAX_PIVOTS)).alias("pivot")).agg(F.count("*").alias("parts"), F.max("radius").alias("radius")).toArrow()  # a row for each pivot
@@ -256,7 +256,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                         if some:
                             yield _block(key, copy, [rows_[j] for j in some], [names[j] for j in some], [floors_[j] for j in some], xs[some])
 
-    rest = asked(asking.mapInArrow(other_blocks, _BLOCK), copies)
+    rest = asked(asking.mapInArrow(tidy(other_blocks), _BLOCK), copies)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import HashBitmap, Workspace, prepare
+from .common import HashBitmap, Workspace, prepare, tidy
 from .wordhash import hashed_words, mix, windows
 
 SKETCH = 1 << 20
@@ -101,7 +101,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(SKETCH_PARTS, np.int32)), blank, blank, blank, blank, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     names = ["kind", "doc_id", "n", "f", "g", "part", "counts"]
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, f long, g long, part int, counts binary")
+    return docs.mapInArrow(tidy(run), "kind int, doc_id long, n long, f long, g long, part int, counts binary")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -116,7 +116,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    parts = first.filter("kind = 1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").toArrow()
+    parts = first.filter("kind = 1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(tidy(add), "part int, counts binary").toArrow()
     out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint32)
     for part, counts in zip(parts["part"].to_pylist(), parts["counts"], strict=True):
         out[part] += np.frombuffer(counts.as_py(), np.uint32)
@@ -190,7 +190,7 @@ class Incidence:
                     yield pa.RecordBatch.from_arrays(arrays + ([pa.array(bits, pa.binary())] if parity else []), names)
 
         names = ["h", "f", "n", "c"] + ["bits"] * parity
-        return self.docs.mapInArrow(run, "h long, f long, n long, c long" + ", bits binary" * parity)
+        return self.docs.mapInArrow(tidy(run), "h long, f long, n long, c long" + ", bits binary" * parity)
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(f, shingles as packed 64-bit) of the classes (f), and of a few others."""
@@ -209,7 +209,7 @@ class Incidence:
                 if fs:
                     yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int64()), pa.array(blobs, pa.binary())], ["f", "shingles"])
 
-        return self.docs.mapInArrow(run, "f long, shingles binary")
+        return self.docs.mapInArrow(tidy(run), "f long, shingles binary")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the (a, b) that link, by their whole sets."""
@@ -231,7 +231,7 @@ class Incidence:
                     keep.append(threshold.den * shared >= threshold.num * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-        links = self.work.write(both.mapInArrow(run, "a long, b long").distinct(), name)
+        links = self.work.write(both.mapInArrow(tidy(run), "a long, b long").distinct(), name)
         self.work.drop(name + "-sets")
         return links
 
@@ -318,7 +318,7 @@ def _products(blocks: DataFrame, threshold: Threshold) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return blocks.mapInArrow(run, "a long, b long, na long, nb long")
+    return blocks.mapInArrow(tidy(run), "a long, b long, na long, nb long")
 
 
 def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold()) -> DataFrame:

@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Cached words in each of the two generations of a Python worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: A longer word is encoded each time, so that the cache's bytes stay bounded.
 CACHE_WORD_BYTES = 64
 #: Marks that end a word.
@@ -115,7 +117,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str | None = None, longest: in
             if rows:
                 yield _batch(rows)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

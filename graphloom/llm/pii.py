@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashBitmap, Workspace, prepare
+from .common import HashBitmap, Workspace, prepare, tidy
 from .wordhash import mix, text_chunks, windows, word_bounds, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -163,7 +163,7 @@ def near_values(docs: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["value", "term", "context", "doc"])
 
-    return docs.select("text", F.xxhash64("doc_id", "text").alias("doc")).mapInArrow(run, "value long, term long, context long, doc long").distinct()
+    return docs.select("text", F.xxhash64("doc_id", "text").alias("doc")).mapInArrow(tidy(run), "value long, term long, context long, doc long").distinct()
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 term, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "docs"])
 
-    return docs.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return docs.select("text").mapInArrow(tidy(run), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def disclosing_terms(docs: DataFrame, work: Workspace, rule: Disclosure = Disclosure()) -> DataFrame:
@@ -248,7 +248,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
                             found.setdefault(row, []).append((a, b, float(share[np.searchsorted(terms, h)])))
                     yield finish(part, lambda i, found=found: found.get(i, []))
 
-        return docs.mapInArrow(direct, schema)
+        return docs.mapInArrow(tidy(direct), schema)
 
     # too many terms to broadcast: candidate words go to the terms' partitions, and what is found goes back to the rows
     test = HashBitmap(told, F.col("term"))
@@ -261,7 +261,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["row", "term", "a", "b"])
 
-    words = numbered.select("text", F.col("\x00row").alias("row")).mapInArrow(candidates, "row long, term long, a long, b long")
+    words = numbered.select("text", F.col("\x00row").alias("row")).mapInArrow(tidy(candidates), "row long, term long, a long, b long")
     words = words.join(told, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "share"))).alias("\x00terms"))
     joined = numbered.join(words.withColumnRenamed("row", "\x00row"), "\x00row", "left").select("doc_id", "text", *names, "\x00terms")
 
@@ -270,7 +270,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
             terms = batch.column(n).to_pylist()
             yield finish(batch, lambda i, terms=terms: [(t["a"], t["b"], t["share"]) for t in terms[i] or []])
 
-    return joined.mapInArrow(merged, schema)
+    return joined.mapInArrow(tidy(merged), schema)
 
 
 def _located(column: pa.Array, test: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, prepare
+from .common import Workspace, prepare, tidy
 from .wordhash import mix, text_chunks, windows, word_bounds, word_hashes
 
 #: Labelled documents that a fit takes at most (those with the least hashes): a classifier this small learns no more from more.
@@ -110,7 +110,7 @@ def described(docs: DataFrame, keep: list[str]) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(stats.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], flat], [*(f"c{i}" for i in range(len(keep))), "stats"])
 
-    return docs.select("text", *keep).mapInArrow(run, f"{fields}, stats array<double>").toDF(*keep, "stats")
+    return docs.select("text", *keep).mapInArrow(tidy(run), f"{fields}, stats array<double>").toDF(*keep, "stats")
 
 
 @dataclass
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, features: int = 384, width: float = 4.0, ridge: flo
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
     a, b = np.eye(features + 1) * ridge, np.zeros(features + 1)
-    for part in sample.filter("fold <> 2").select("stats", "label").mapInArrow(sums, "a binary, b binary").toLocalIterator():
+    for part in sample.filter("fold <> 2").select("stats", "label").mapInArrow(tidy(sums), "a binary, b binary").toLocalIterator():
         a += np.frombuffer(part["a"]).reshape(features + 1, -1)
         b += np.frombuffer(part["b"])
     model.weights = np.linalg.solve(a, b)
@@ -187,7 +187,7 @@ def fit(labelled: DataFrame, features: int = 384, width: float = 4.0, ridge: flo
             raw = model.raw(np.array(batch.column(0).flatten()).reshape(-1, d))
             yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column(1)], ["raw", "label"])
 
-    held = sample.filter("fold = 2").select("stats", F.col("label").cast("double")).mapInArrow(scored, "raw double, label double").toArrow()
+    held = sample.filter("fold = 2").select("stats", F.col("label").cast("double")).mapInArrow(tidy(scored), "raw double, label double").toArrow()
     if held.num_rows:
         model.knots, model.levels = _isotonic(held.column("raw").to_numpy(), held.column("label").to_numpy())
     return model
@@ -228,4 +228,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     source = docs if names else stats  # statistics are made again rather than joined to wide rows
     given = source.select("doc_id", *(f"\x00{c}" for c in extra), held_out(F.col("doc_id")).alias("held_out"), "text" if names else "stats")
     fields = [f"`{c}` {docs.schema[c if c == 'text' else f'\x00{c}'].dataType.simpleString()}" for c in names]
-    return given.mapInArrow(run, ", ".join(["doc_id long", *fields, "held_out boolean", "score double", "predicted int"]))
+    return given.mapInArrow(tidy(run), ", ".join(["doc_id long", *fields, "held_out boolean", "score double", "predicted int"]))

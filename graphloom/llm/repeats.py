@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashBitmap, Workspace, prepare
+from .common import HashBitmap, Workspace, prepare, tidy
 from .wordhash import hashed_words, mix, windows
 
 PHRASE = 8
@@ -91,7 +91,7 @@ def picked_phrases(docs: DataFrame, words: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(owners))], ["phrase", "doc_id"])
 
-    return docs.mapInArrow(run, "phrase long, doc_id long")
+    return docs.mapInArrow(tidy(run), "phrase long, doc_id long")
 
 
 class _Automata:
@@ -99,6 +99,11 @@ class _Automata:
 
     made: tuple[str, list[ahocorasick.Automaton]] | None = None
 
+    @classmethod
+    def forget(cls) -> None:
+        """For the work that comes after the last pass in the same Python workers."""
+        cls.made = None
+
     @classmethod
     def of(cls, shared) -> list[ahocorasick.Automaton]:
         key, shards = shared.value
@@ -143,7 +148,7 @@ def candidate_windows(docs: DataFrame, shared, words: int) -> DataFrame:
                     place = (at - limits[owner[at]]) | (tags[owner[at]] << 32)
                     yield pa.RecordBatch.from_arrays([pa.array(windows(hashes, words)[at].view(np.int64)), pa.array(ids[first + owner[at]].astype(np.int64)), pa.array(place)], ["h", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, at long")
+    return docs.mapInArrow(tidy(run), "h long, doc_id long, at long")
 
 
 def _tags(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -206,6 +211,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, columns: list[str] | None =
         return touched.test(batch.column(n).to_numpy(zero_copy_only=False)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _Automata.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -213,6 +219,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, columns: list[str] | None =
                 yield _without(part, [None] * part.num_rows, words, n, kept)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _Automata.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -223,17 +230,18 @@ def remove_repeats(docs: DataFrame, words: int = 50, columns: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(tags)], [*part.schema.names[:n], "tag"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _Automata.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield _without(part, part.column(n).to_pylist(), words, n, kept)
 
     keyed = docs.withColumn("\x00key", F.xxhash64("doc_id"))
-    whole = keyed.mapInArrow(untouched, schema)
+    whole = keyed.mapInArrow(tidy(untouched), schema)
     inner = ", ".join(["doc_id long", "text string", *(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "tag long"])
     renamed = keyed.toDF("doc_id", "text", *(f"c{i}" for i in range(len(names))), "key")
-    parts = renamed.mapInArrow(tagged, inner).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", *(f"c{i}" for i in range(len(names))), "hits")
-    return whole.union(parts.mapInArrow(cut, schema))
+    parts = renamed.mapInArrow(tidy(tagged), inner).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", *(f"c{i}" for i in range(len(names))), "hits")
+    return whole.union(parts.mapInArrow(tidy(cut), schema))
 
 
 def _without(batch: pa.RecordBatch, hits: list[list[int] | None], words: int, n: int, kept: bool) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT_BYTES = 100
@@ -170,7 +170,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return lines.mapInArrow(run, schema)
+    return lines.mapInArrow(tidy(run), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ from .wordhash import hashed_words, mix, windows
 PHRASE = 8
 #: Phrases of one automaton: some 60 MB on a worker.
 SHARD_PHRASES = 250_000
+#: The filter before the automata has so many bits as a power of two.
+FILTER_BITS = 26
 #: Automata a pass; their phrases (8 bytes each) are what is broadcast at once.
 SHARDS_A_PASS = 3
 
@@ -98,11 +100,30 @@ class _Automata:
     """The automata of one broadcast pass, compiled once in a Python worker."""
 
     made: tuple[str, list[ahocorasick.Automaton]] | None = None
+    filled: tuple[str, np.ndarray] | None = None
 
     @classmethod
     def forget(cls) -> None:
         """For the work that comes after the last pass in the same Python workers."""
-        cls.made = None
+        cls.made = cls.filled = None
+
+    @classmethod
+    def stretches(cls, shared, symbols: np.ndarray) -> tuple[list[int], list[int]]:
+        """Beginnings and ends of the stretches that may hold phrases of the pass, by a bitmap of their hashes (8 MB): the automata need not step through the rest."""
+        key, shards = shared.value
+        if cls.filled is None or cls.filled[0] != key:
+            bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+            for phrases in shards:
+                slots = mix(np.frombuffer(phrases, np.uint64)) >> np.uint64(64 - FILTER_BITS)
+                np.bitwise_or.at(bits, (slots >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8))
+            cls.filled = key, bits
+        runs = np.ndarray((len(symbols) - PHRASE + 1,), np.uint64, symbols.tobytes(), strides=(1,)).copy()
+        slots = mix(runs) >> np.uint64(64 - FILTER_BITS)
+        at = np.flatnonzero((cls.filled[1][(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1)
+        if not len(at):
+            return [], []
+        cut = np.flatnonzero(np.diff(at) > PHRASE)
+        return at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + PHRASE).tolist()
 
     @classmethod
     def of(cls, shared) -> list[ahocorasick.Automaton]:
@@ -130,8 +151,9 @@ def candidate_windows(docs: DataFrame, shared, words: int) -> DataFrame:
             for first, hashes, limits in hashed_words(batch.column(1), lower=False):
                 if len(hashes) < words:
                     continue
-                sequence = _symbols(hashes).tobytes().decode("latin-1")
-                ends = [end for automaton in automata for end, _ in automaton.iter(sequence)]
+                symbols = _symbols(hashes)
+                sequence = symbols.tobytes().decode("latin-1")
+                ends = [end for a, b in zip(*_Automata.stretches(shared, symbols), strict=True) for automaton in automata for end, _ in automaton.iter(sequence, a, b)]
                 if not ends:
                     continue
                 # windows that hold a phrase ending at e begin from e + 1 - words to e + 1 - PHRASE

@@ -30,3 +30,19 @@ def test_query_against_sql(spark, name):
     want = sorted((tuple(row) for row in found.fetchall()), key=str)
     got = sorted((tuple(r) for r in entry.queries()[name](spark, DATA).select(*columns).collect()), key=str)
     assert got == want
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """The library and its queries do not need graphloom.llm and the pipeline; another missing module is an error."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "tests"))
+    run = lambda code: subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    found = run("import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()))")
+    assert found.returncode == 0 and found.stdout.split()[1] == "False" and int(found.stdout.split()[0]) > 50, found.stderr
+    (copy / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    assert "a_module_that_is_not_there" in run("import __spark_entry__").stderr

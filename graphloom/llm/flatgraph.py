@@ -334,7 +334,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
     pieces = connected_components(linked.select("node", "root"), "node", "root").toDF("node", "piece")
     named = classes.join(counts, "node", "left").join(pieces, "node", "left").select("embedding", "least", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("piece", "node").alias("piece"))
     named = work.write(named, "named")
-    least = named.groupBy("piece").agg(F.min("least").alias("component_id"))
+    least = work.write(named.groupBy("piece").agg(F.min("least").alias("component_id")), "least")
     named = work.write(named.join(least, "piece").select("embedding", "n_links", "component_id"), "components")
     joined = rows.filter("good").join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

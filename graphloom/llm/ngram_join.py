@@ -371,7 +371,8 @@ def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(
     links = links.union(matrix.verified(pairs, "links-products"))
 
     final = connected_components(links, "a", "b").toDF("f", "comp")
-    named = matrix.classes.select("f", "rep").join(final, "f", "left").select("f", "rep", F.coalesce("comp", "f").alias("comp"))
-    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = work.write(matrix.classes.select("f", "rep").join(final, "f", "left").select("f", "rep", F.coalesce("comp", "f").alias("comp")), "named")
+    # written before it is joined, so that the join can be split where a component is large
+    names = work.write(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
     of_class = work.write(named.join(names, "comp").select("f", "component_id"), "names")
     return matrix.members.join(of_class, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -10,16 +10,17 @@ from ..session import Workspace, prepare
 from .kernels import component_labels, dense_ids
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Join each vertex's larger neighbours to the least of itself and its neighbours."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join stands on two plain exchanges, of which adaptive execution can split a hub's
+    least = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Join each vertex and its smaller neighbours to the least of these; edges run from the greater to the smaller end."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = work.write(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     rest = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", "m"))
 
@@ -54,9 +55,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for i in range(1, max_rounds + 1):
         if not mark[0]:
             break
-        star = _large_star(now).distinct()
-        after = work.write(_small_star(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct(), f"edges-{i}")
-        work.drop(f"edges-{i - 1}")
+        star = _large_star(now, work, f"least-{i}").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        star = work.write(star.distinct(), f"star-{i}")
+        after = work.write(_small_star(star, work, f"small-{i}").distinct(), f"edges-{i}")
+        for name in (f"edges-{i - 1}", f"least-{i}", f"star-{i}", f"small-{i}"):
+            work.drop(name)
         was, mark, now = mark, print_of(after), after
         if was == mark:
             break

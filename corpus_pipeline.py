@@ -35,9 +35,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = _begin(spark, docs).withColumn("row", F.monotonically_increasing_id())
     work = Workspace(spark, "survivors")
     groups = work.write(ngram_join.ngram_classes(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("least")), "groups")
-    several = groups.groupBy("least").agg(F.count("*").alias("size")).filter("size > 1")
-    members = docs.select("row", "doc_id").join(groups.join(several, "least"), "row")
-    first = members.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    # what is joined again is written, so that the joins can be split where a group is large
+    several = work.write(groups.groupBy("least").agg(F.count("*").alias("size")).filter("size > 1").select("least"), "several")
+    members = work.write(docs.select("row", "doc_id").join(groups.join(several, "least"), "row"), "members")
+    first = work.write(members.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "row")).alias("first")), "first")
     gone = work.write(members.join(first, "least").filter("row <> first.row").select("row"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -70,10 +70,18 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
 
     edges (src, dst, weight): undirected, parallel ones add up, loops and weights that are not positive do not count. vertices (vertex) adds isolated
     ones. Of a graph that is not connected the value is 0 and side the component of the least vertex; with fewer than two vertices value and side are null.
-    Results depend on the seed, not on partitions. side lists the vertices of one side in one row; without sides it is null, which is what large graphs want.
+    Results depend on the seed, not on partitions. side lists the vertices of one side in one row; it is null without sides, which is what large graphs want, and of variant high, whose trials hold contracted vertices only.
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "mincut")
+    known = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
+    n = known.count()
+    if n < 2:
+        return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
+    if n <= exact_vertices:
+        clean = work.write(E.merged(edges.select("src", "dst", "weight").filter("weight > 0")), "clean")
+        if clean.count() <= EXACT_EDGES:
+            return _exact(clean, known, sides)
     graph = _prepared(edges, vertices, work, prune)
     if graph.vertices < 2:
         return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
@@ -81,23 +89,19 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
         return spark.createDataFrame([(0, None, "disconnected", 0, 1.0)], RESULT)
     if not graph.connected:
         labelled = connected_components(edges.filter("weight > 0"))
-        known = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
         whole = known.join(labelled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
         first = whole.agg(F.min("component").alias("component"))
         return whole.join(F.broadcast(first), "component").agg(F.sort_array(F.collect_list("vertex")).alias("side")).select(F.lit(0).cast("long").alias("cut_value"), "side", F.lit("disconnected").alias("variant"), F.lit(0).cast("long").alias("trials"), F.lit(1.0).alias("probability"))
-    if graph.vertices <= exact_vertices and graph.rows <= EXACT_EDGES:
-        result, variant, trials, reached = _exact(graph.edges), "exact", 1, 1.0
+    trials = theory.cut_trials(graph.vertices, graph.rows, success)
+    wanted = trials
+    trials = min(trials, max_trials) if max_trials else trials
+    reached = success if trials == wanted else 1.0 - (1.0 - success) ** (trials / wanted)
+    size = theory.intermediate_size(graph.vertices, graph.rows)
+    if graph.rows <= broadcast_edges:
+        result, variant = _trials(graph.edges, size, trials, seed), "low"
     else:
-        trials = theory.cut_trials(graph.vertices, graph.rows, success)
-        wanted = trials
-        trials = min(trials, max_trials) if max_trials else trials
-        reached = success if trials == wanted else 1.0 - (1.0 - success) ** (trials / wanted)
-        size = theory.intermediate_size(graph.vertices, graph.rows)
-        if graph.rows <= broadcast_edges:
-            result, variant = _trials(graph.edges, size, trials, seed), "low"
-        else:
-            result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work), "high"
-    if not sides:
+        result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work), "high"
+    if not sides or variant == "high":
         return result.agg(F.min("cut_value").alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability"))
     best = result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.side")
     if graph.mapping is not None:
@@ -113,15 +117,25 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
 _TRIAL = "trial long, cut_value long, side array<long>"
 
 
-def _solved(trial: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-    a, b, names = dense_ids(src, dst)
-    value, side = forest_cut(len(names), a, b, weight)
-    return pd.DataFrame({"trial": [trial], "cut_value": [value], "side": [sorted(names[side].tolist())]})
+def _exact(clean: DataFrame, known: DataFrame, sides: bool) -> DataFrame:
+    """The result by maximum-adjacency orders; one task, for graphs of a checked size. Every vertex comes as a loop too, so that isolated ones count."""
 
-
-def _exact(edges: DataFrame) -> DataFrame:
-    """The minimum cut by maximum-adjacency orders; one task, for graphs of a checked size."""
-    return edges.groupBy(F.lit(0).alias("trial")).applyInPandas(lambda pdf: _solved(0, pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy()), _TRIAL)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, names = dense_ids(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+        real = a != b
+        a, b, weight = a[real], b[real], pdf["weight"].to_numpy()[real]
+        labels = component_labels(len(names), a, b)
+        if labels.any():  # not all vertices reach the least one
+            value, side, variant, trials = 0, labels == 0, "disconnected", 0
+        else:
+            value, side = forest_cut(len(names), a, b, weight)
+            variant, trials = "exact", 1
+            if 2 * side.sum() > len(side) or 2 * side.sum() == len(side) and not side[0]:
+                side = ~side
+        return pd.DataFrame({"cut_value": [value], "side": [names[side].tolist() if sides else None], "variant": [variant], "trials": [trials], "probability": [1.0]})
+
+    loops = known.select(F.col("vertex").alias("src"), F.col("vertex").alias("dst"), F.lit(0).cast("long").alias("weight"))
+    return clean.union(loops).groupBy(F.lit(0).alias("all")).applyInPandas(run, RESULT)
 
 
 def _trials(edges: DataFrame, size: int, trials: int, seed: int) -> DataFrame:

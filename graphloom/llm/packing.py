@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 #: Cached words in each of the two generations of a Python worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: A longer word is encoded each time, so that the cache's bytes stay bounded.
 CACHE_WORD_BYTES = 64
 #: Marks that end a word.

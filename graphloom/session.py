@@ -71,9 +71,3 @@ class Workspace:
         self.drop("")
         if self in Workspace.live:
             Workspace.live.remove(self)
-
-    @classmethod
-    def clear_all(cls) -> None:
-        """Delete all work tables; for callers that have written what was made from them."""
-        for work in list(cls.live):
-            work.clear()

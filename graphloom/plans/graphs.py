@@ -21,9 +21,15 @@ def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight"))
 
 
-def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of orders and parts: line items of full quantity at a high discount."""
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09")
+def order_part_items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The line items of the order-part graph: those of full quantity at a high discount, or all."""
+    items = table(spark, sf_dir, "lineitem")
+    return items if whole else items.filter("l_quantity >= 50 and l_discount >= 0.09")
+
+
+def order_parts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A graph of orders and parts (distinct edges of weight 1): of all line items, or the sparse one that the recursive SQL can follow."""
+    items = order_part_items(spark, sf_dir, whole)
     return items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + PART_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight")).distinct()
 
 

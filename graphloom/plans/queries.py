@@ -45,6 +45,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The condition that keeps the recursive SQL cheap; the queries whole_... run without it.
+SPARSE = " where l_quantity >= 50 and l_discount >= 0.09"
+
+
+def order_part_query(sql: str, edges: Callable[..., DataFrame] = graphs.order_parts) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    """Registers a function of the edges twice: on the sparse graph with its SQL, and as whole_NAME on all line items, with SQL where that is not recursive."""
+
+    def register(function: Callable[[DataFrame], DataFrame]) -> Query:
+        name = function.__name__
+        QUERIES[name] = lambda spark, d: function(edges(spark, d))
+        QUERIES[f"whole_{name}"] = lambda spark, d: function(edges(spark, d, whole=True))
+        ORACLES[name] = sql
+        if "recursive" not in sql:
+            ORACLES[f"whole_{name}"] = sql.replace(SPARSE, "")
+        return QUERIES[name]
+
+    return register
+
+
 def _longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "bigint", "decimal(20,0)") else F.col(c) for c, t in df.dtypes))
 
@@ -91,9 +110,9 @@ def edges_cleaned(spark, d):
     return E.cleaned(graphs.supplier_parts(spark, d))
 
 
-@query(f"with {OP} select src, dst from op")
-def edges_unweighted(spark, d):
-    return graphs.order_parts(spark, d).select("src", "dst")
+@order_part_query(f"with {OP} select src, dst from op")
+def edges_unweighted(edges):
+    return edges.select("src", "dst")
 
 
 @query(f"with {NM} select src::bigint src, dst::bigint dst, weight from nm where weight >= (select avg(weight) from nm)")
@@ -129,9 +148,9 @@ def total_weight(spark, d):
     return graphs.supplier_parts(spark, d).agg(F.sum("weight").alias("total"), F.count("*").alias("edges"))
 
 
-@query(f"with {OP} select src vertex from op union select dst from op")
-def distinct_vertices(spark, d):
-    return E.vertices(graphs.order_parts(spark, d))
+@order_part_query(f"with {OP} select src vertex from op union select dst from op")
+def distinct_vertices(edges):
+    return E.vertices(edges)
 
 
 @query(f"with {SP} select max(greatest(src, dst)) max_vertex from sp")
@@ -156,34 +175,34 @@ def relabel_by_map(spark, d):
     return E.relabel(graphs.nation_trade(spark, d), graphs.nation_regions(spark, d))
 
 
-@query(f"with recursive {LABELS} select vertex, component, dense_rank() over (order by component) - 1 dense from labels")
-def relabel_dense(spark, d):
-    return _longs(E.dense_labels(connected_components(graphs.order_parts(spark, d))).select("vertex", "component", "dense"))
+@order_part_query(f"with recursive {LABELS} select vertex, component, dense_rank() over (order by component) - 1 dense from labels")
+def relabel_dense(edges):
+    return _longs(E.dense_labels(connected_components(edges)).select("vertex", "component", "dense"))
 
 
-@query(f"with {OP} select v old, row_number() over (order by v) - 1 new from (select src v from op union select dst from op)")
-def relabel_sorted(spark, d):
-    return _longs(E.relabel_sorted(graphs.order_parts(spark, d)).select("old", "new"))
+@order_part_query(f"with {OP} select v old, row_number() over (order by v) - 1 new from (select src v from op union select dst from op)")
+def relabel_sorted(edges):
+    return _longs(E.relabel_sorted(edges).select("old", "new"))
 
 
 FIRST = f"""pairs as (select l_orderkey src, l_partkey + {OFFSET} dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) pos from lineitem where l_quantity >= 50 and l_discount >= 0.09),
  seen as (select v, min(pos) pos from (select src v, 2 * pos pos from pairs union all select dst, 2 * pos + 1 from pairs) group by 1), named as (select v old, row_number() over (order by pos) - 1 new from seen)"""
 
 
-def _pairs(spark, d):
-    items = graphs.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09")
+def _pairs(spark, d, whole=False):
+    items = graphs.order_part_items(spark, d, whole)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return E.ranked(items.select(*order), order, "at", 8).select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), (F.col("at") + 1).alias("at"))
 
 
-@query(f"with {FIRST} select old, new from named")
-def relabel_first_seen(spark, d):
-    return _longs(E.relabel_first_seen(_pairs(spark, d), "at").select("old", "new"))
+@order_part_query(f"with {FIRST} select old, new from named", _pairs)
+def relabel_first_seen(pairs):
+    return _longs(E.relabel_first_seen(pairs, "at").select("old", "new"))
 
 
-@query(f"with {FIRST} select a.new src, b.new dst, 1::bigint weight, pos as \"at\" from pairs join named a on a.old = src join named b on b.old = dst where a.new <> b.new")
-def snap_normalize(spark, d):
-    return _longs(graph_io.normalised(_pairs(spark, d)).select("src", "dst", "weight", "at"))
+@order_part_query(f"with {FIRST} select a.new src, b.new dst, 1::bigint weight, pos as \"at\" from pairs join named a on a.old = src join named b on b.old = dst where a.new <> b.new", _pairs)
+def snap_normalize(pairs):
+    return _longs(graph_io.normalised(pairs).select("src", "dst", "weight", "at"))
 
 
 @query("select l_orderkey - 1 src, l_partkey - 1 dst, l_linenumber::bigint weight from lineitem")
@@ -209,70 +228,69 @@ def graph_summary(spark, d):
     return _longs(E.graph_summary(graphs.nation_trade(spark, d)))
 
 
-@query(f"""with {OP}, d as (select v, count(*) n from (select src v from op union all select dst from op) group by 1), hubs as (select v from d where n > 2)
+@order_part_query(f"""with {OP}, d as (select v, count(*) n from (select src v from op union all select dst from op) group by 1), hubs as (select v from d where n > 2)
  select src, dst, weight::bigint weight from op where src not in (select v from hubs) and dst not in (select v from hubs)""")
-def edges_without_hubs(spark, d):
-    return E.without_hubs(graphs.order_parts(spark, d), 2)
+def edges_without_hubs(edges):
+    return E.without_hubs(edges, 2)
 
 
-@query(f"""with {OP}, both_ as (select src, dst from op union all select dst, src from op), d as (select src v, count(*) n from both_ group by 1),
+@order_part_query(f"""with {OP}, both_ as (select src, dst from op union all select dst, src from op), d as (select src v, count(*) n from both_ group by 1),
  best as (select src, max(n) best from both_ join d on v = dst group by 1) select src old, row_number() over (order by best desc, src) - 1 new from best""")
-def relabel_by_neighbour_degree(spark, d):
-    return _longs(E.relabel_by_neighbour_degree(graphs.order_parts(spark, d)).select("old", "new"))
+def relabel_by_neighbour_degree(edges):
+    return _longs(E.relabel_by_neighbour_degree(edges).select("old", "new"))
 
 
 # components
 
 
-@query(f"with recursive {LABELS} select vertex, component from labels")
-def components_labels(spark, d):
-    return connected_components(graphs.order_parts(spark, d))
+@order_part_query(f"with recursive {LABELS} select vertex, component from labels")
+def components_labels(edges):
+    return connected_components(edges)
 
 
-@query(f"with recursive {LABELS} select vertex, component from labels")
-def components_sampled(spark, d):
-    return C.sampled_components(graphs.order_parts(spark, d))
+@order_part_query(f"with recursive {LABELS} select vertex, component from labels")
+def components_sampled(edges):
+    return C.sampled_components(edges)
 
 
-@query(f"with recursive {LABELS} select count(distinct component) components from labels")
-def component_count(spark, d):
-    return C.component_count(connected_components(graphs.order_parts(spark, d)))
+@order_part_query(f"with recursive {LABELS} select count(distinct component) components from labels")
+def component_count(edges):
+    return C.component_count(connected_components(edges))
 
 
-@query(f"with recursive {LABELS} select component, count(*) size from labels group by 1")
-def component_sizes(spark, d):
-    return C.component_sizes(connected_components(graphs.order_parts(spark, d)))
+@order_part_query(f"with recursive {LABELS} select component, count(*) size from labels group by 1")
+def component_sizes(edges):
+    return C.component_sizes(connected_components(edges))
 
 
-@query(f"with recursive {LABELS}, s as (select component, count(*) size from labels group by 1) select component, size from s order by size desc, component limit 1")
-def largest_component(spark, d):
-    return C.largest_component(connected_components(graphs.order_parts(spark, d)))
+@order_part_query(f"with recursive {LABELS}, s as (select component, count(*) size from labels group by 1) select component, size from s order by size desc, component limit 1")
+def largest_component(edges):
+    return C.largest_component(connected_components(edges))
 
 
-@query(f"with recursive {LABELS} select count(distinct component) = 1 connected from labels")
-def is_connected(spark, d):
-    return C.is_connected(connected_components(graphs.order_parts(spark, d)))
+@order_part_query(f"with recursive {LABELS} select count(distinct component) = 1 connected from labels")
+def is_connected(edges):
+    return C.is_connected(connected_components(edges))
 
 
-@query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1), top as (select component from s order by size desc, component limit 1)
+@order_part_query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1), top as (select component from s order by size desc, component limit 1)
  select count(*) outside from labels where component <> (select component from top)""")
-def connectivity_repair_needed(spark, d):
-    labelled = connected_components(graphs.order_parts(spark, d))
+def connectivity_repair_needed(edges):
+    labelled = connected_components(edges)
     top = C.largest_component(labelled).select(F.col("component").alias("main"))
     return labelled.join(F.broadcast(top)).filter("component <> main").agg(F.count("*").alias("outside"))
 
 
-@query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1)
+@order_part_query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1)
  select true connected, (select count(*) from op)::bigint + (select sum(size) - max(size) from s)::bigint edges""")
-def connectivity_repaired(spark, d):
-    edges = graphs.order_parts(spark, d)
+def connectivity_repaired(edges):
     fixed = C.repaired(edges, connected_components(edges))
     return C.is_connected(connected_components(fixed)).join(F.broadcast(fixed.agg(F.count("*").alias("edges"))))
 
 
-@query(f"with recursive {LABELS} select vertex, component % 7 component from labels")
-def labels_composed(spark, d):
-    labelled = connected_components(graphs.order_parts(spark, d))
+@order_part_query(f"with recursive {LABELS} select vertex, component % 7 component from labels")
+def labels_composed(edges):
+    labelled = connected_components(edges)
     mapping = labelled.select(F.col("component").alias("old"), (F.col("component") % 7).alias("new")).distinct()
     return E.composed(labelled, mapping)
 
@@ -355,7 +373,7 @@ def region_separation(spark, d):
 @query("select true valid, true covers")
 def matching_valid(spark, d):
     """No vertex is matched twice, and no edge between unmatched vertices is left."""
-    edges = graphs.order_parts(spark, d)
+    edges = graphs.order_parts(spark, d, whole=True)
     found = flow.bipartite_matching(edges)
     used = found.select(F.explode(F.array("src", "dst")).alias("vertex"))
     valid = used.agg((F.count("*") == F.countDistinct("vertex")).alias("valid"))
@@ -431,9 +449,9 @@ def matrix_to_edges(spark, d):
     return M.to_edges(M.from_edges(graphs.nation_trade(spark, d)))
 
 
-@query(f"with {OP}, both_ as (select src, dst from op union all select dst, src from op) select src vertex, string_agg(dst::varchar, ',' order by dst) neighbours from both_ group by 1")
-def csr_rows(spark, d):
-    return E.adjacency(graphs.order_parts(spark, d)).select("vertex", F.array_join(F.transform("neighbours", lambda x: x["dst"].cast("string")), ",").alias("neighbours"))
+@order_part_query(f"with {OP}, both_ as (select src, dst from op union all select dst, src from op) select src vertex, string_agg(dst::varchar, ',' order by dst) neighbours from both_ group by 1")
+def csr_rows(edges):
+    return E.adjacency(edges).select("vertex", F.array_join(F.transform("neighbours", lambda x: x["dst"].cast("string")), ",").alias("neighbours"))
 
 
 # generators
@@ -575,22 +593,24 @@ def event_windows(spark, d):
 # traversals
 
 
-@query(f"""with recursive {OP}, both_ as (select src, dst from op union select dst, src from op), s as (select min(src) v from op),
+@order_part_query(f"""with recursive {OP}, both_ as (select src, dst from op union select dst, src from op), s as (select min(src) v from op),
  walk as (select v, 0 level from s union select dst, level + 1 from walk join both_ on src = v where level < 40) select v vertex, min(level)::int level from walk group by 1""")
-def bfs_levels(spark, d):
-    edges = graphs.order_parts(spark, d)
+def bfs_levels(edges):
     return traversal.bfs_levels(edges, [edges.agg(F.min("src")).first()[0]])
 
 
 SS = f"ss as (select l_orderkey src, l_partkey + {OFFSET} dst, min(l_linenumber) weight from lineitem where l_quantity >= 50 and l_discount >= 0.09 group by 1, 2)"
 
 
-@query(f"""with recursive {SS}, both_ as (select src, dst, weight from ss union all select dst, src, weight from ss), s as (select min(src) v from ss),
+def _steps(spark, d, whole=False):
+    items = graphs.order_part_items(spark, d, whole)
+    return items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), F.col("l_linenumber").cast("long").alias("weight"))
+
+
+@order_part_query(f"""with recursive {SS}, both_ as (select src, dst, weight from ss union all select dst, src, weight from ss), s as (select min(src) v from ss),
  walk as (select v, 0::bigint distance, 0 hops from s union select dst, distance + weight, hops + 1 from walk join both_ on src = v where hops < 12)
- select (select v from s) source, v vertex, min(distance) distance from walk group by 1, 2""")
-def sssp(spark, d):
-    items = graphs.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09")
-    edges = items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), F.col("l_linenumber").cast("long").alias("weight"))
+ select (select v from s) source, v vertex, min(distance) distance from walk group by 1, 2""", _steps)
+def sssp(edges):
     return traversal.shortest_paths(edges, [edges.agg(F.min("src")).first()[0]])
 
 
@@ -604,14 +624,14 @@ def pagerank_k(spark, d):
     return traversal.pagerank(graphs.nation_trade(spark, d), 3).select("vertex", F.round("rank", 6).alias("rank"))
 
 
-@query(f"with recursive {LABELS} select ((select count(*) from labels) - (select count(distinct component) from labels))::bigint edges, ((select count(*) from labels) - (select count(distinct component) from labels))::bigint weight")
-def spanning_forest_weight(spark, d):
-    return traversal.spanning_forest(graphs.order_parts(spark, d)).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+@order_part_query(f"with recursive {LABELS} select ((select count(*) from labels) - (select count(distinct component) from labels))::bigint edges, ((select count(*) from labels) - (select count(distinct component) from labels))::bigint weight")
+def spanning_forest_weight(edges):
+    return traversal.spanning_forest(edges).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
 @query("select true independent, true maximal")
 def independent_set_valid(spark, d):
-    edges = graphs.order_parts(spark, d)
+    edges = graphs.order_parts(spark, d, whole=True)
     chosen = traversal.independent_set(edges)
     inside = edges.join(chosen, edges["src"] == chosen["vertex"], "left_semi").join(chosen, F.col("dst") == chosen["vertex"], "left_semi").agg((F.count("*") == 0).alias("independent"))
     near = E.symmetric(edges).join(chosen, F.col("src") == F.col("vertex"), "left_semi").select(F.col("dst").alias("vertex")).union(chosen).distinct()

@@ -9,8 +9,8 @@ the part's medoid and from its own place; once in range, the search goes on thro
 What is found is verified in double precision. Recall is audited on a sample against brute force, and
 where it falls short the search is widened, in the end to all cells.
 
-Links are counted where they are found and joined part by part, so a group of copies costs rows
-by its members, not by its pairs.
+The verified pairs of distinct vectors, whichever side or cell found them, are made distinct and count on both sides; copies
+cost a count, not pairs. Components are joined part by part.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ class _Index:
         self.sizes = F.broadcast(work.write(sizes, f"sizes-{round_}"))
         # a cell's parts are dealt by hash; key = part of the cell, cell
         members = members.join(self.sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")) * MAX_CENTRES + F.col("cell"))
-        self.members = members.select("part", "node", "x", "n", "cells")
+        self.members = members.select("part", "node", "x", "n")
         lists = self.members.select("part", "node", "x").repartition("part").sortWithinPartitions("part", "node").mapInArrow(tidy(self._build), "node long, near array<long>")
         united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         self.united = work.write(united, f"united-{round_}")
@@ -190,12 +190,12 @@ class _Index:
         return build
 
     def links(self, threshold: float) -> DataFrame:
-        """(node, found, root): by part, for a node the count of vectors it links to (each pair of nodes in one part only) and a node it is joined with."""
+        """(a, b, na, nb): verified pairs of nodes a < b with the counts of their copies, as often as they were found, and (na = nb = 0) edges that join the pieces of a part."""
         width = self.width
         rows = self.members.join(self.united, "node", "left")
-        rows = rows.select("part", F.lit(0).alias("kind"), "node", "x", "n", "cells", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
+        rows = rows.select("part", F.lit(0).alias("kind"), "node", "x", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
         asking = self.placed.withColumn("cell", F.explode("probes")).join(self.sizes, "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("share") * MAX_CENTRES + F.col("cell"))
-        asking = asking.select(F.col("part").cast("long").alias("part"), F.lit(1).alias("kind"), "node", "x", "n", F.col("probes").alias("cells"), F.array().cast("array<long>").alias("near"))
+        asking = asking.select(F.col("part").cast("long").alias("part"), F.lit(1).alias("kind"), "node", "x", "n", F.array().cast("array<long>").alias("near"))
         both = rows.unionByName(asking).repartition("part").sortWithinPartitions("part", "kind", "node")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +219,15 @@ class _Index:
                     if state is None:
                         if not held:
                             continue
-                        state = _opened(pa.Table.from_batches(held), width, part)
+                        state = _opened(pa.Table.from_batches(held), width)
                     yield from _answered(state, batch.slice(a, b - a), width, threshold)
             if state:
                 yield from _joined(state)
 
-        return self.work.write(both.mapInArrow(tidy(run), "node long, found long, root long"), f"found-{self.round}")
+        return self.work.write(both.mapInArrow(tidy(run), "a long, b long, na long, nb long"), f"found-{self.round}")
 
 
-def _opened(rows: pa.Table, width: int, part: int) -> dict:
+def _opened(rows: pa.Table, width: int) -> dict:
     names = rows.column("node").to_numpy()  # in order
     x = _matrix(rows.column("x"), width)
     lists = rows.column("near").combine_chunks()
@@ -240,14 +240,18 @@ def _opened(rows: pa.Table, width: int, part: int) -> dict:
     graph = np.full((len(names), max(1, int(counts.max(initial=0)))), -1, np.int32)
     graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = at[inside]
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    cells = rows.column("cells").to_pylist()
-    return {"names": names, "x": x, "small": x.astype(np.float32), "graph": _connected(graph, medoid), "medoid": medoid, "n": rows.column("n").to_numpy(), "cells": cells, "cell": part % MAX_CENTRES, "parent": list(range(len(names))), "linked": np.zeros(len(names), bool)}
+    return {"names": names, "x": x, "small": x.astype(np.float32), "graph": _connected(graph, medoid), "medoid": medoid, "n": rows.column("n").to_numpy(), "parent": list(range(len(names))), "linked": np.zeros(len(names), bool)}
+
+
+#: Pairs in a batch, some more at most.
+PAIRS = 1 << 16
 
 
 def _answered(state: dict, asking: pa.RecordBatch, width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     names, x, n = state["names"], state["x"], state["n"]
-    out: list[tuple[int, int, int]] = []
-    for node, query, probes in zip(asking.column("node").to_pylist(), _matrix(asking.column("x"), width), asking.column("cells").to_pylist(), strict=True):
+    out: list[np.ndarray] = []
+    rows = 0
+    for node, copies, query in zip(asking.column("node").to_pylist(), asking.column("n").to_pylist(), _matrix(asking.column("x"), width), strict=True):
         at = int(np.searchsorted(names, node))
         own = at if at < len(names) and names[at] == node else -1
         small = query.astype(np.float32)
@@ -258,18 +262,26 @@ def _answered(state: dict, asking: pa.RecordBatch, width: int, threshold: float)
         real = [i for i, s in zip(found, (x[found] @ query).tolist(), strict=True) if s >= threshold]
         if not real:
             continue
-        # a pair may meet in several cells: it counts in the first that the one probes and the other belongs to
-        order = {c: r for r, c in enumerate(probes)}
-        total = sum(int(n[i]) for i in real if min(order.get(c, len(order)) for c in state["cells"][i]) == order[state["cell"]])
         base = own if own >= 0 else real[0]
         for i in real:
             state["parent"][_find(state["parent"], i)] = _find(state["parent"], base)
             state["linked"][i] = True
         if own >= 0:
             state["linked"][own] = True
-        out.append((node, total, int(names[base])))
+        first = names[real] < node
+        others, counts = names[real], n[real]
+        out.append(np.array([np.where(first, others, node), np.where(first, node, others), np.where(first, counts, copies), np.where(first, copies, counts)]))
+        out.append(np.array([[node], [names[base]], [0], [0]]))
+        rows += len(real) + 1
+        if rows >= PAIRS:
+            yield _edges(out)
+            out, rows = [], 0
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "found", "root"])
+        yield _edges(out)
+
+
+def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(parts, axis=1)], ["a", "b", "na", "nb"])
 
 
 def _joined(state: dict) -> Iterator[pa.RecordBatch]:
@@ -277,13 +289,20 @@ def _joined(state: dict) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(state["linked"])
     if len(at):
         roots = [_find(state["parent"], int(i)) for i in at]
-        yield pa.RecordBatch.from_arrays([pa.array(state["names"][at]), pa.array(np.zeros(len(at), np.int64)), pa.array(state["names"][roots])], ["node", "found", "root"])
+        none = np.zeros(len(at), np.int64)
+        yield _edges([np.array([state["names"][at], state["names"][roots], none, none])])
 
 
-def audit(nodes: DataFrame, found: DataFrame, width: int, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Recall of found (node, found) on a bounded sample of nodes, half of it of linked ones, against a scan of all; 1 if the sample has no links."""
+def link_counts(found: DataFrame) -> DataFrame:
+    """(node, found, partners): of each node in a verified pair the rows and the distinct vectors it links to; a pair counts once and on both sides."""
+    pairs = found.filter("na > 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("nb").alias("n")), F.struct(F.col("b").alias("node"), F.col("na").alias("n")))).alias("end"))
+    return ends.groupBy("end.node").agg(F.sum("end.n").alias("found"), F.count("*").alias("partners"))
+
+
+def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, queries: int = AUDIT_QUERIES) -> float:
+    """Recall of counts (node, found) on a bounded sample of nodes, half of it of linked ones, against a scan of all; 1 if the sample has no links."""
     spark = nodes.sparkSession
-    counts = found.groupBy("node").agg(F.sum("found").alias("found"))
     linked = counts.filter("found > 0").orderBy(F.xxhash64("node")).limit(queries // 2).select("node")
     some = nodes.select("node").orderBy(F.xxhash64("node", F.lit(1))).limit(queries - queries // 2)
     sample = nodes.join(F.broadcast(linked.union(some).distinct()), "node").join(counts, "node", "left").select("node", "x", F.coalesce("found", F.lit(0)).alias("found")).toArrow()
@@ -325,14 +344,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
     classes = rows.filter("good").groupBy("embedding", "width").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = work.write(classes.select(F.monotonically_increasing_id().alias("node"), "embedding", "width", "n", "least"), "classes")
     linked: DataFrame | None = None
+    counts: DataFrame | None = None
     for width in sorted(r[0] for r in classes.select("width").distinct().collect()):  # one, as a rule
-        found = _search(classes.filter(F.col("width") == width), width, threshold, overlap, probes, work)
+        found, counted = _search(classes.filter(F.col("width") == width), width, threshold, overlap, probes, work)
         linked = found if linked is None else linked.union(found)
-    if linked is None:
+        counts = counted if counts is None else counts.union(counted)
+    if linked is None or counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    counts = linked.groupBy("node").agg(F.sum("found").alias("found"))
-    pieces = connected_components(linked.select("node", "root"), "node", "root").toDF("node", "piece")
-    named = classes.join(counts, "node", "left").join(pieces, "node", "left").select("embedding", "least", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("piece", "node").alias("piece"))
+    pieces = connected_components(linked.filter("na = 0").select("a", "b"), "a", "b").toDF("node", "piece")
+    named = classes.join(counts.select("node", "found"), "node", "left").join(pieces, "node", "left").select("embedding", "least", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("piece", "node").alias("piece"))
     named = work.write(named, "named")
     least = work.write(named.groupBy("piece").agg(F.min("least").alias("component_id")), "least")
     named = work.write(named.join(least, "piece").select("embedding", "n_links", "component_id"), "components")
@@ -341,8 +361,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
     return joined.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _search(classes: DataFrame, width: int, threshold: float, overlap: int, probes: int, work: Workspace) -> DataFrame:
-    """(node, found, root) of the vectors of one width, at an audited recall."""
+def _search(classes: DataFrame, width: int, threshold: float, overlap: int, probes: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """_Index.links and link_counts of the vectors of one width, at an audited recall."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +372,8 @@ def _search(classes: DataFrame, width: int, threshold: float, overlap: int, prob
     nodes = work.write(classes.select("node", "embedding", "n").mapInArrow(tidy(pack), "node long, x binary, n long"), f"nodes-{width}")
     for round_ in range(4):
         found = _Index(nodes, width, work, overlap, probes, round_ * 100_000 + width).links(threshold)
-        if audit(nodes, found, width, threshold) >= AUDIT_RECALL or probes >= MAX_CENTRES:
-            return found
+        counts = work.write(link_counts(found), f"counts-{width}-{round_}")
+        if audit(nodes, counts, width, threshold) >= AUDIT_RECALL or probes >= MAX_CENTRES:
+            return found, counts
         overlap, probes = overlap + 1, MAX_CENTRES if round_ == 2 else probes * 4
-    return found
+    return found, counts

@@ -59,6 +59,31 @@ def test_recall_and_precision_near_the_threshold(spark, monkeypatch):
     assert sum(r[1] for r in got) <= sum(r[1] for r in real) and sum(r[1] for r in got) >= 0.95 * sum(r[1] for r in real)
 
 
+def test_a_pair_counts_on_both_sides_whichever_search_finds_it(spark, monkeypatch):
+    """The search of every second vector finds nothing: its links are those that the others' searches found."""
+    rows = corpus(4, 0.03)
+    real, unit = flatgraph.range_search, lambda v: np.asarray(v, np.float64) / np.linalg.norm(v)
+    firsts = {}
+    for _, v in rows:
+        if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v):
+            firsts.setdefault(round(float(unit(v)[0]), 4), len(firsts) % 2)
+    blind = lambda x, graph, query, starts, least: [] if firsts.get(round(float(query[0]), 4), 0) and len(query) == 16 else real(x, graph, query, starts, least)
+    nodes = spark.createDataFrame([(i, unit(v).tobytes(), 1) for i, (_, v) in enumerate(rows[:300])], "node long, x binary, n long")
+    work = flatgraph.Workspace(spark, "blind")
+    index = flatgraph._Index(work.write(nodes, "nodes"), 16, work, 2, 4, 0)
+    monkeypatch.setattr(flatgraph, "range_search", blind)
+    # the workers' functions are called here, on a part's rows
+    part = index.members.join(index.united, "node", "left").select("node", "x", "n", flatgraph.F.coalesce("near", flatgraph.F.array().cast("array<long>")).alias("near")).orderBy("node").toArrow()
+    state = flatgraph._opened(part, 16)
+    found = [b.to_pylist() for batch in part.select(["node", "x", "n"]).to_batches() for b in flatgraph._answered(state, batch, 16, 0.95)]
+    found = spark.createDataFrame([tuple(r.values()) for b in found for r in b], "a long, b long, na long, nb long")
+    got = {r.node: (r.found, r.partners) for r in flatgraph.link_counts(found).collect()}
+    x = np.array([unit(v) for _, v in rows[:300]])
+    sees = np.array([not firsts.get(round(float(v[0]), 4), 0) for v in x])
+    links = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool) & (sees[:, None] | sees[None, :])
+    assert 0 < sees.sum() < len(x) and got == {i: (int(k), int(k)) for i, k in enumerate(links.sum(axis=1)) if k}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(1, 0, 1, True)]

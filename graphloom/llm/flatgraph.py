@@ -7,7 +7,7 @@ the node is, by a factor (robust pruning). The adjacency lists that a node has i
 different cells are united. Each vector then searches the parts of its PROBES nearest centres, greedily from
 the part's medoid and from its own place; once in range, the search goes on through all neighbours in range.
 What is found is verified in double precision. Recall is audited on a sample against brute force, and
-where it falls short the search is widened, in the end to all cells.
+where it falls short the search is widened to all cells, and in the end gives way to a scan of all parts.
 
 The verified pairs of distinct vectors, whichever side or cell found them, are made distinct and count on both sides; copies
 cost a count, not pairs. Components are joined part by part.
@@ -31,7 +31,8 @@ from .mtree import groups
 CELL, MAX_CENTRES, PART = 2048, 4096, 4096
 OVERLAP, PROBES = 2, 4
 DEGREE, NEAR, ALPHA, BEAM = 24, 64, 1.2, 24
-AUDIT_QUERIES, AUDIT_RECALL = 64, 0.98
+#: Nodes of the audit's first and largest sample, nodes with links that it should hold, the recall it asks for.
+AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKED, AUDIT_RECALL = 64, 4096, 32, 0.98
 #: What single precision may lose; candidates this far below the threshold are verified.
 MARGIN = 1e-4
 
@@ -148,11 +149,13 @@ class _Index:
 
     def __init__(self, nodes: DataFrame, width: int, work: Workspace, overlap: int, probes: int, round_: int) -> None:
         spark = nodes.sparkSession
-        self.nodes, self.width, self.work, self.round = nodes, width, work, round_
+        self.width, self.work, self.round = width, work, round_
         centres = min(MAX_CENTRES, -(-nodes.count() // CELL)) or 1
         sample = nodes.orderBy(F.xxhash64("node"), "node").limit(centres).select("x").toArrow()
         shared = spark.sparkContext.broadcast(_matrix(sample.column(0), width))
         overlap, probes = min(overlap, centres), min(max(overlap, probes), centres)
+        #: Whether every vector asks in every part, so that an exact search misses nothing.
+        self.everywhere = probes == centres
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -189,8 +192,8 @@ class _Index:
 
         return build
 
-    def links(self, threshold: float) -> DataFrame:
-        """(a, b, na, nb): verified pairs of nodes a < b with the counts of their copies, as often as they were found, and (na = nb = 0) edges that join the pieces of a part."""
+    def links(self, threshold: float, exact: bool = False) -> DataFrame:
+        """(a, b, na, nb): verified pairs of nodes a < b with the counts of their copies, as often as they were found, and (na = nb = 0) edges that join the pieces of a part. If exact, the parts that a vector asks are scanned."""
         width = self.width
         rows = self.members.join(self.united, "node", "left")
         rows = rows.select("part", F.lit(0).alias("kind"), "node", "x", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
@@ -219,17 +222,20 @@ class _Index:
                     if state is None:
                         if not held:
                             continue
-                        state = _opened(pa.Table.from_batches(held), width)
+                        state = _opened(pa.Table.from_batches(held), width, exact)
                     yield from _answered(state, batch.slice(a, b - a), width, threshold)
             if state:
                 yield from _joined(state)
 
-        return self.work.write(both.mapInArrow(tidy(run), "a long, b long, na long, nb long"), f"found-{self.round}")
+        return self.work.write(both.mapInArrow(tidy(run), "a long, b long, na long, nb long"), f"found-{self.round}{'-exact' * exact}")
 
 
-def _opened(rows: pa.Table, width: int) -> dict:
+def _opened(rows: pa.Table, width: int, exact: bool = False) -> dict:
     names = rows.column("node").to_numpy()  # in order
     x = _matrix(rows.column("x"), width)
+    state = {"names": names, "x": x, "small": x.astype(np.float32), "n": rows.column("n").to_numpy(), "parent": list(range(len(names))), "linked": np.zeros(len(names), bool)}
+    if exact:
+        return state
     lists = rows.column("near").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy()
@@ -240,7 +246,7 @@ def _opened(rows: pa.Table, width: int) -> dict:
     graph = np.full((len(names), max(1, int(counts.max(initial=0)))), -1, np.int32)
     graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = at[inside]
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    return {"names": names, "x": x, "small": x.astype(np.float32), "graph": _connected(graph, medoid), "medoid": medoid, "n": rows.column("n").to_numpy(), "parent": list(range(len(names))), "linked": np.zeros(len(names), bool)}
+    return state | {"graph": _connected(graph, medoid), "medoid": medoid}
 
 
 #: Pairs in a batch, some more at most.
@@ -255,7 +261,10 @@ def _answered(state: dict, asking: pa.RecordBatch, width: int, threshold: float)
         at = int(np.searchsorted(names, node))
         own = at if at < len(names) and names[at] == node else -1
         small = query.astype(np.float32)
-        found = range_search(state["small"], state["graph"], small, [state["medoid"]] + ([own] if own >= 0 else []), threshold - MARGIN)
+        if "graph" in state:
+            found = range_search(state["small"], state["graph"], small, [state["medoid"]] + ([own] if own >= 0 else []), threshold - MARGIN)
+        else:
+            found = np.flatnonzero(state["small"] @ small >= threshold - MARGIN).tolist()
         found = [i for i in found if i != own]
         if not found:
             continue
@@ -300,15 +309,30 @@ def link_counts(found: DataFrame) -> DataFrame:
     return ends.groupBy("end.node").agg(F.sum("end.n").alias("found"), F.count("*").alias("partners"))
 
 
-def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Recall of counts (node, found) on a bounded sample of nodes, half of it of linked ones, against a scan of all; 1 if the sample has no links."""
-    spark = nodes.sparkSession
-    linked = counts.filter("found > 0").orderBy(F.xxhash64("node")).limit(queries // 2).select("node")
-    some = nodes.select("node").orderBy(F.xxhash64("node", F.lit(1))).limit(queries - queries // 2)
-    sample = nodes.join(F.broadcast(linked.union(some).distinct()), "node").join(counts, "node", "left").select("node", "x", F.coalesce("found", F.lit(0)).alias("found")).toArrow()
-    if not sample.num_rows:
-        return 1.0
-    shared = spark.sparkContext.broadcast((sample.column("node").to_numpy(), _matrix(sample.column("x"), width)))
+def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float) -> float:
+    """Mean recall of counts (node, partners), a node's distinct partners, against a scan of all, over the nodes of a sample that have partners; 1 if none has.
+
+    The sample is the first of the nodes by hash, whatever has been found for them; it grows until it holds AUDIT_LINKED nodes with partners or
+    AUDIT_MOST nodes.
+    """
+    size = AUDIT_QUERIES
+    while True:
+        sample = nodes.select("node", "x").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(size)
+        got, truth = _partners(nodes, sample, counts, width, threshold)
+        linked = truth > 0
+        if linked.sum() >= AUDIT_LINKED or len(truth) < size or size >= AUDIT_MOST:
+            return float(np.mean(np.minimum(got[linked], truth[linked]) / truth[linked])) if linked.any() else 1.0
+        size = min(AUDIT_MOST, size * 8)
+
+
+def _partners(nodes: DataFrame, sample: DataFrame, counts: DataFrame, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of a bounded sample its partners in counts, and those that a scan of all nodes finds."""
+    asked = sample.toArrow()
+    if not asked.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(asked.column("node").to_numpy())
+    names = asked.column("node").to_numpy()[order]
+    shared = nodes.sparkSession.sparkContext.broadcast((names, _matrix(asked.column("x"), width)[order]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, x = shared.value
@@ -317,20 +341,22 @@ def audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, que
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 hit = (_matrix(part.column(1), width) @ x.T >= threshold) & (part.column(0).to_numpy()[:, None] != names[None, :])
-                total += (hit * part.column(2).to_numpy()[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["node", "real"])
+                total += hit.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["node", "partners"])
 
-    real = nodes.select("node", "x", "n").mapInArrow(tidy(scan), "node long, real long").groupBy("node").agg(F.sum("real").alias("real")).toArrow()
-    truth = dict(zip(real.column("node").to_pylist(), real.column("real").to_pylist(), strict=True))
-    total = sum(truth.values())
-    got = sum(min(f, truth[k]) for k, f in zip(sample.column("node").to_pylist(), sample.column("found").to_pylist(), strict=True))
-    return got / total if total else 1.0
+    out = []
+    chosen = F.broadcast(nodes.sparkSession.createDataFrame(pa.table({"node": names})))
+    for table in (counts.join(chosen, "node").select("node", "partners"), nodes.select("node", "x").mapInArrow(tidy(scan), "node long, partners long").groupBy("node").agg(F.sum("partners").alias("partners"))):
+        rows, total = table.toArrow(), np.zeros(len(names), np.int64)
+        total[np.searchsorted(names, rows.column("node").to_numpy())] = rows.column("partners").to_numpy()
+        out.append(total)
+    return out[0], out[1]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = OVERLAP, probes: int = PROBES) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Two vectors link if the search finds them and their cosine, in double precision, is at least
+    Two vectors link if the search finds them (all pairs are tried where its audited recall stays short) and their cosine, in double precision, is at least
     threshold; n_links counts rows, component_id is the least vec_id reachable, kept whether that is the row's own.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; those of different length do not link.
     Rows of equal vectors link with each other; rows of equal vec_id are rows of their own; a null vec_id takes part but names no
@@ -371,9 +397,13 @@ def _search(classes: DataFrame, width: int, threshold: float, overlap: int, prob
 
     nodes = work.write(classes.select("node", "embedding", "n").mapInArrow(tidy(pack), "node long, x binary, n long"), f"nodes-{width}")
     for round_ in range(4):
-        found = _Index(nodes, width, work, overlap, probes, round_ * 100_000 + width).links(threshold)
+        index = _Index(nodes, width, work, overlap, probes, round_ * 100_000 + width)
+        found = index.links(threshold)
         counts = work.write(link_counts(found), f"counts-{width}-{round_}")
-        if audit(nodes, counts, width, threshold) >= AUDIT_RECALL or probes >= MAX_CENTRES:
+        if audit(nodes, counts, width, threshold) >= AUDIT_RECALL:
             return found, counts
+        if index.everywhere:
+            break
         overlap, probes = overlap + 1, MAX_CENTRES if round_ == 2 else probes * 4
-    return found, counts
+    found = index.links(threshold, exact=True)
+    return found, work.write(link_counts(found), f"counts-{width}-exact")

@@ -84,6 +84,27 @@ def test_a_pair_counts_on_both_sides_whichever_search_finds_it(spark, monkeypatc
     assert 0 < sees.sum() < len(x) and got == {i: (int(k), int(k)) for i, k in enumerate(links.sum(axis=1)) if k}
 
 
+def test_audit_is_by_node_and_blind_to_what_was_found(spark):
+    """A group with all its links, in many copies, does not outweigh pairs that lost theirs."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    x = np.repeat(base, 2, axis=0) + rng.normal(size=(120, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, v.tobytes(), 1_000_000 if i < 2 else 1) for i, v in enumerate(x)], "node long, x binary, n long")
+    counts = spark.createDataFrame([(0, 1_000_000, 1), (1, 1_000_000, 1)], "node long, found long, partners long")
+    assert flatgraph.audit(nodes, counts, 16, 0.95) < 0.1
+    assert flatgraph.audit(nodes, spark.createDataFrame([(i, 1, 1) for i in range(120)], counts.schema), 16, 0.95) == 1.0
+
+
+def test_all_pairs_are_tried_where_the_audit_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "CELL", 200)
+    monkeypatch.setattr(flatgraph, "PART", 50)
+    monkeypatch.setattr(flatgraph, "audit", lambda *_: 0.0)
+    rows = corpus(3, 0.22)
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
+    assert got == brute(rows, 0.95)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(1, 0, 1, True)]

@@ -50,8 +50,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by word shingles (five words, similarity 0.8) the one of least doc_id; of several with it one."""
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
     work = Workspace(spark, "survivors")
+    # written once: the number depends on the scan's splits, which may differ between passes
+    docs = work.write(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     groups = work.write(ngram_join.ngram_classes(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("least")), "groups")
     # what is joined again is written, so that the joins can be split where a group is large
     several = work.write(groups.groupBy("least").agg(F.count("*").alias("size")).filter("size > 1").select("least"), "several")

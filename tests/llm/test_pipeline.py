@@ -76,6 +76,30 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert len({r.sequence_id for r in packed}) == len(packed) and all(r.offset == 0 and r.length == 1 << r.bucket for r in packed)
 
 
+def test_near_duplicates_when_the_splits_change_between_passes(spark, tmp_path, monkeypatch):
+    """The files are split otherwise after the classes are known; the same documents go."""
+    rows = [(i, f"{chr(97 + i)} " + " ".join(f"w{i}x{j}" for j in range(30 + i)), "en", "s", 1) for i in range(12)]
+    rows += [(100 + i, t, "en", "s", 1) for i, t, *_ in rows[:6]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6).write.parquet(f"{tmp_path}/documents")
+    docs, real = spark.read.parquet(f"{tmp_path}/documents"), corpus_pipeline.ngram_join.ngram_classes
+    cost, most = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    was = {k: spark.conf.get(k) for k in (cost, most)}
+
+    def then_otherwise(*args, **kwargs):
+        out = real(*args, **kwargs).localCheckpoint()
+        spark.conf.set(cost, "1")
+        spark.conf.set(most, "700")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "ngram_classes", then_otherwise)
+    try:
+        left = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert left == list(range(12))
+
+
 def test_run_is_the_stages_in_turn(spark, tmp_path):
     rows = corpus()[:40]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

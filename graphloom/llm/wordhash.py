@@ -2,8 +2,9 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, so a word is the
 same whether it is cut from UTF-8 bytes or from code points. All hashes are
-64-bit; polynomial prefix sums modulo 2**64 give every word's hash in a few
-numpy passes, without a Python loop over words.
+64-bit and made of bijective mixing steps: a word's blocks of 8 bytes are mixed with their place
+before they are added up, a run's hashes are mixed in pairs. No polynomial is evaluated, whose
+terms regular texts could make cancel. All takes a few numpy passes, without a Python loop over words.
 """
 
 from __future__ import annotations
@@ -16,33 +17,13 @@ import pyarrow as pa
 #: Bytes of text handled at once by one Python worker; a longer text stands alone.
 CHUNK_BYTES = 1 << 18
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                out = np.full(size, base, dtype=np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+_STRIDE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: What is left of a block of 8 bytes of which only the first so many count.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype="<u8")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,24 +57,42 @@ def word_bounds(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word; lower folds A-Z."""
+    """A 64-bit hash of each word; lower folds A-Z. Words of up to 8 bytes have different hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * down[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = _LOWER[data] if lower else data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    out = mix((blocks[starts] & _MASKS[np.minimum(lengths, 8)]) ^ _STRIDE)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        owner = np.repeat(long, more)
+        part = blocks[starts[owner] + 8 * place] & _MASKS[np.minimum(lengths[owner] - 8 * place, 8)]
+        out[long] += np.add.reduceat(mix(part ^ mix((place.astype(np.uint64) + np.uint64(1)) * _STRIDE)), first)
+    return mix(out + lengths.astype(np.uint64) * _ODD)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + b * _ODD)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive values, for one sequence or several laid end to end."""
+    """Hashes of all runs of k consecutive values, for one sequence or several laid end to end: runs of one, two, four and so on, joined as the bits of k say."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * down[:-1], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * up[:n])
+    out, covered, run, size = None, 0, hashes, 1
+    while True:
+        if k & size:
+            out = run[:n] if out is None else _joined(out, run[covered : covered + n])
+            covered += size
+        if covered == k:
+            return out
+        run, size = _joined(run[:-size], run[size:]), 2 * size
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

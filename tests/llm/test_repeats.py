@@ -63,3 +63,20 @@ def test_extra_columns_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "t")], "doc_id long, text string, hits string, tag string")
     assert remove_repeats(docs, columns=["hits", "tag"]).select("hits", "tag", "kept").collect() == [("s", "t", "a b")]
     assert remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_a_different_regular_word_is_no_repeat(spark):
+    """Words that hashes by polynomials modulo a power of two cannot tell apart."""
+    word = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([word(0), *rest])), (2, " ".join([word(1), *rest])), (3, " ".join([word(0), *rest])), (4, " ".join("ab"[i.bit_count() % 2] for i in range(4096))), (5, " ".join("ba"[i.bit_count() % 2] for i in range(64)))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 50)
+
+
+def test_a_text_of_a_megabyte(spark):
+    words = [f"w{i * 7919 % 1000003}" for i in range(200_000)]
+    rows = [(1, " ".join(words[100_000:100_400])), (2, " ".join(words)), (3, " ".join(words[5:])), (4, None)]
+    assert len(rows[1][1]) > 1 << 20
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 50)

@@ -58,3 +58,13 @@ def test_bitmap_never_misses(spark):
     outside = wordhash.mix(np.arange(20000, dtype=np.uint64) + np.uint64(10**6))
     assert bitmap.test(outside).mean() < 0.05
     assert not HashBitmap(keys.limit(0), F.col("key")).test(outside).any()
+
+
+def test_regular_words_and_runs_do_not_cancel():
+    for n in (9, 16, 64, 1024, 8192):
+        words = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(n)) for flip in range(2)] + ["a" * n, "a" * (n - 1) + "b", "a" * (n + 1)]
+        ((_, hashes, _),) = wordhash.hashed_words(pa.array([" ".join(words)]), False)
+        assert len(set(hashes.tolist())) == len(words)
+    values = wordhash.mix(np.array([i.bit_count() % 2 for i in range(4096)], np.uint64) + np.uint64(1))
+    runs = wordhash.windows(values, 2048)
+    assert runs[0] != runs[2048] and len(np.unique(runs)) == len({values[i : i + 2048].tobytes() for i in range(len(runs))})

@@ -10,7 +10,7 @@ a member. Columns that still hold several components are multiplied in full, in
 size: a lower bound of the difference from parity bits, size bounds, and the overlap counted over all
 columns discard pairs; the rest are compared by their whole sets.
 
-n-grams are compared by 64-bit hashes, sets by 128 bits.
+n-grams are compared by 64-bit hashes, sets by 128 bits; sets whose first 64 bits clash are told apart by the other 64.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PARITY_WORDS = 8
 SMALL = 64
 #: A pair is compared by way of a leader if it meets in one column for each so many shingles of the overlap it needs.
 STAR_COLUMNS = 100
+#: Classes that different sets may share; their table (16 bytes a row) is kept in the driver and the workers.
+MOST_CLASHES = 100_000
 
 
 @dataclass(frozen=True)
@@ -76,12 +78,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+def _fingerprint(shingles: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two hashes of a set; the first, its class, has so many bits."""
     f = np.array([np.bitwise_xor.reduce(mix(shingles)), np.add.reduce(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64)
-    return tuple(_signed(mix(f + np.uint64(len(shingles)))).tolist())
+    f, g = mix(f + np.uint64(len(shingles)))
+    return tuple(_signed([f >> np.uint64(64 - bits), g]).tolist())
 
 
-def _first_pass(docs: DataFrame, k: int) -> DataFrame:
+def _class(shingles: np.ndarray, bits: int, clashing: dict[int, int]) -> int:
+    f, g = _fingerprint(shingles, bits)
+    return f ^ g if clashing.get(f, g) != g else f
+
+
+def _first_pass(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """kind 0: doc_id, n, f (class), g (second fingerprint); kind 1: part, counts of the sketch, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +100,7 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             for row, shingles in shingle_sets(batch.column(1), k):
                 n[row] = len(shingles)
                 if len(shingles):
-                    f[row], g[row] = _fingerprint(shingles)
+                    f[row], g[row] = _fingerprint(shingles, bits)
                     np.add.at(sketch, (shingles >> np.uint64(44)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column(0), pa.array(n), pa.array(f), pa.array(g), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
@@ -126,21 +135,33 @@ def _sketch(first: DataFrame) -> np.ndarray:
 class Incidence:
     """The rows of the incidence matrix, one for each distinct shingle set, made anew from the texts whenever they are needed."""
 
-    def __init__(self, docs: DataFrame, k: int, threshold: Threshold, work: Workspace) -> None:
-        self.docs, self.k, self.threshold, self.work = docs, k, threshold, work
-        self.first = work.write(_first_pass(docs, k), "first")
-        self.members = self.first.filter("kind = 0").select("doc_id", "n", "f", "g")
-        classes = self.members.filter("n > 0").groupBy("f").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min("doc_id").alias("rep"))
-        self.classes = work.write(classes, "classes")
-        if not self.classes.filter("low <> high").isEmpty():
-            raise RuntimeError("two shingle sets share a 64-bit class; run again with other hash constants")
+    def __init__(self, docs: DataFrame, k: int, threshold: Threshold, work: Workspace, bits: int = 64) -> None:
+        self.docs, self.k, self.threshold, self.work, self.bits = docs, k, threshold, work, bits
+        self.first = work.write(_first_pass(docs, k, bits), "first")
+        members = self.first.filter("kind = 0").select("doc_id", "n", "f", "g")
+        self.members, self.classes = members, self._classes(members, "classes")
+        #: Sets that share a class: all but those of the least second fingerprint take another class (some n * n / 2**65 of n sets, so few).
+        self.clashing: dict[int, int] = {}
+        clashes = self.classes.filter("low <> high").select("f", "low")
+        if not clashes.isEmpty():
+            if clashes.count() > MOST_CLASHES:
+                raise RuntimeError("more sets share a class than chance allows for any corpus")
+            self.clashing = {f: low for f, low in clashes.collect()}
+            moved = members.join(F.broadcast(clashes), "f", "left")
+            self.members = work.write(moved.select("doc_id", "n", F.when(F.col("g") != F.col("low"), F.col("f").bitwiseXOR(F.col("g"))).otherwise(F.col("f")).alias("f"), "g"), "members")
+            self.classes = self._classes(self.members, "classes-apart")
+            if not self.classes.filter("low <> high").isEmpty():
+                raise RuntimeError("sets share a class again after they were told apart")
         # the copies of a set are not read again, but for a few where the bitmap errs
         self.reps = HashBitmap(self.classes, F.col("f").bitwiseXOR(F.coalesce("rep", F.lit(0))))
         self.sketch = docs.sparkSession.sparkContext.broadcast(_sketch(self.first))
 
+    def _classes(self, members: DataFrame, name: str) -> DataFrame:
+        return self.work.write(members.filter("n > 0").groupBy("f").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min("doc_id").alias("rep")), name)
+
     def rows(self, keep_class: HashBitmap | None = None, keep_doc: HashBitmap | None = None) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
         """A generator of (f, shingles) of a batch, for representatives (and, if given, classes in keep_class, of documents in keep_doc) only."""
-        reps, k = self.reps, self.k
+        reps, k, bits, clashing = self.reps, self.k, self.bits, self.clashing
 
         def of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             if keep_doc is not None:
@@ -148,7 +169,7 @@ class Incidence:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, shingles in shingle_sets(batch.column(1), k):
                 if len(shingles):
-                    f = np.array([_fingerprint(shingles)[0]], np.int64)
+                    f = np.array([_class(shingles, bits, clashing)], np.int64)
                     if reps.test(f ^ ids[row])[0] and (keep_class is None or keep_class.test(f)[0]):
                         yield int(f[0]), shingles
 
@@ -321,18 +342,18 @@ def _products(blocks: DataFrame, threshold: Threshold) -> DataFrame:
     return blocks.mapInArrow(tidy(run), "a long, b long, na long, nb long")
 
 
-def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
+def ngram_classes(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), class_bits: int = 64) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Words are runs of bytes other than ASCII white space, A-Z folded; a document's set is its distinct k-word
     shingles (all words as one, if fewer). component_id is the least doc_id reachable by
     links, the row's own included. A text that is null, empty or without words has an empty set and
     links with nothing; rows of equal sets link; rows of equal doc_id are documents of their own; a null doc_id takes
-    part but names no component (null, if no other is reached). Other columns are ignored.
+    part but names no component (null, if no other is reached). Other columns are ignored. class_bits: length of the hash that names a set.
     """
     work = Workspace(prepare(docs.sparkSession), "ngram")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id"))
-    matrix = Incidence(source, k, threshold, work)
+    matrix = Incidence(source, k, threshold, work, class_bits)
     # columns that two classes share, and in each the leader: of the rows with the most common content one, so that an original leads its copies
     shared = matrix.prefixes().groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high").select("h")
     shared = work.write(shared, "shared")

@@ -67,3 +67,32 @@ def test_against_brute_force(spark, monkeypatch, seed, k, t, block):
 
 def test_empty(spark):
     assert ngram_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def thue_morse(n, flip):
+    """A text over a and b that hashes by polynomials modulo a power of two take for its counterpart."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_regular_words_and_sequences_stay_apart(spark):
+    rows = [(i, thue_morse(n, i % 2)) for i, n in enumerate([1024, 1024, 4096, 4096])]
+    rows += [(10 + i, " ".join(thue_morse(1024, i))) for i in range(2)] + [(20, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (4, 1024):
+        assert sorted((tuple(r) for r in ngram_classes(docs, k).collect()), key=str) == brute(rows, k, Threshold())
+
+
+def test_sets_of_one_class_are_told_apart(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_classes(docs, 4, Threshold(85, 100), class_bits=3).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, Threshold(85, 100))
+
+
+def test_a_text_of_a_megabyte(spark):
+    words = [f"w{i * 7919 % 1000003}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "x"])), (3, " ".join(words[:150_000])), (4, None)]
+    assert len(rows[0][1]) > 1 << 20
+    got = ngram_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 4, Threshold(85, 100)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert [tuple(r) for r in sorted(got)] == brute(rows, 4, Threshold(85, 100))

@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def returned_names(columns: list[str], taken: list[str]) -> list[str]:
+    """The names under which passed-through columns are returned: their own, or, where a result or an earlier column has that name in any case, with _input after it (as often as it takes)."""
+    used, out = {t.lower() for t in taken}, []
+    for c in columns:
+        while c.lower() in used:
+            c += "_input"
+        used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def plain(name: str) -> F.Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

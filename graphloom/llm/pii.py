@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashBitmap, Workspace, prepare, tidy
+from .common import HashBitmap, Workspace, plain, prepare, returned_names, tidy
 from .wordhash import mix, text_chunks, windows, word_bounds, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -207,15 +207,19 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
     commas, by kind and start), spans (with term spans after them; those that touch a base span are left out) and, with
     texts, sanitised: the text with base spans and generalised terms as placeholders, and without removed terms. Null text counts as empty
     (sanitised stays null); null and repeated ids and repeated rows are handled row by row, though equal rows count once in the statistics.
+    A named column that has a result column's name is returned with _input after it.
     """
-    names = [c for c in columns or [] if c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
+    asked = [c for c in columns or [] if c not in ("doc_id", "text")]
+    names = [f"c{i}" for i in range(len(asked))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(plain(c).alias(n) for c, n in zip(asked, names, strict=True)))
     spark = prepare(docs.sparkSession)
     work = Workspace(spark, "pii")
     told = disclosing_terms(docs.select("doc_id", "text"), work, rule)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in names]
     out_names = ["doc_id", *names, "n_email", "n_ip", "n_card", "n_phone", "base", "spans", *(["sanitised"] * texts)]
     schema = ", ".join(["doc_id long", *fields, *(f"n_{k} long" for k in KINDS), "base string", "spans string", *(["sanitised string"] * texts)])
+    results = out_names[1 + len(names) :]
+    returned = ["doc_id", *returned_names(asked, ["doc_id", *results]), *results]
     n = 2 + len(names)
 
     def finish(batch: pa.RecordBatch, term_spans: Callable[[int], list[tuple[int, int, float]]]) -> pa.RecordBatch:
@@ -248,7 +252,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
                             found.setdefault(row, []).append((a, b, float(share[np.searchsorted(terms, h)])))
                     yield finish(part, lambda i, found=found: found.get(i, []))
 
-        return docs.mapInArrow(tidy(direct), schema)
+        return docs.mapInArrow(tidy(direct), schema).toDF(*returned)
 
     # too many terms to broadcast: candidate words go to the terms' partitions, and what is found goes back to the rows
     test = HashBitmap(told, F.col("term"))
@@ -270,7 +274,7 @@ def find_personal_data(docs: DataFrame, columns: list[str] | None = None, rule:
             terms = batch.column(n).to_pylist()
             yield finish(batch, lambda i, terms=terms: [(t["a"], t["b"], t["share"]) for t in terms[i] or []])
 
-    return joined.mapInArrow(tidy(merged), schema)
+    return joined.mapInArrow(tidy(merged), schema).toDF(*returned)
 
 
 def _located(column: pa.Array, test: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, int, int]]:

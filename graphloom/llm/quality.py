@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, prepare, tidy
+from .common import Workspace, plain, prepare, returned_names, tidy
 from .wordhash import mix, text_chunks, windows, word_bounds, word_hashes
 
 #: Labelled documents that a fit takes at most (those with the least hashes): a classifier this small learns no more from more.
@@ -203,11 +203,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
 
     labels (doc_id, quality): of several labels of one doc_id the mean counts; null labels and ids
     do not; only those not held_out are learnt from. Null or empty texts are scored by zero statistics. Rows are
-    scored one by one, repeated and without id too.
+    scored one by one, repeated and without id too. A named column that has a result column's name is returned with _input after it.
     """
-    names = [c for c in columns or [] if c != "doc_id"]
+    asked = [c for c in columns or [] if c != "doc_id"]
+    results = ["held_out", "score", "predicted"]
+    returned = ["doc_id", *returned_names(asked, ["doc_id", *results]), *results]
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(asked)]
     extra = [c for c in names if c != "text"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"\x00{c}") for c in extra))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(plain(c).alias(n) for c, n in zip(asked, names, strict=True) if c != "text"))
     work = Workspace(prepare(docs.sparkSession), "quality")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("label"))
@@ -226,6 +229,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
             yield pa.RecordBatch.from_arrays([batch.column(0), *kept, batch.column(n + 1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", *names, "held_out", "score", "predicted"])
 
     source = docs if names else stats  # statistics are made again rather than joined to wide rows
-    given = source.select("doc_id", *(f"\x00{c}" for c in extra), held_out(F.col("doc_id")).alias("held_out"), "text" if names else "stats")
-    fields = [f"`{c}` {docs.schema[c if c == 'text' else f'\x00{c}'].dataType.simpleString()}" for c in names]
-    return given.mapInArrow(tidy(run), ", ".join(["doc_id long", *fields, "held_out boolean", "score double", "predicted int"]))
+    given = source.select("doc_id", *extra, held_out(F.col("doc_id")).alias("held_out"), "text" if names else "stats")
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in names]
+    return given.mapInArrow(tidy(run), ", ".join(["doc_id long", *fields, "held_out boolean", "score double", "predicted int"])).toDF(*returned)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashBitmap, Workspace, prepare, tidy
+from .common import HashBitmap, Workspace, plain, prepare, returned_names, tidy
 from .wordhash import hashed_words, mix, windows
 
 PHRASE = 8
@@ -216,16 +216,20 @@ def remove_repeats(docs: DataFrame, words: int = 50, columns: list[str] | None =
     and, with kept, kept: these words, or the text as it was where none goes (null stays null). Windows are
     judged on the input. Null or empty texts have no words; a row without doc_id is neither removed
     from nor counted as earlier; rows of equal doc_id do not affect each other; equal rows are treated alike.
+    A named column that has a result column's name is returned with _input after it.
     """
     if words < PHRASE:
         raise ValueError(f"a window has {PHRASE} words at least")
-    names = [c for c in columns or [] if c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
+    asked = [c for c in columns or [] if c not in ("doc_id", "text")]
+    names = [f"c{i}" for i in range(len(asked))]
+    results = ["n_words", "n_removed", "kept_sha256", *(["kept"] * kept)]
+    returned = ["doc_id", *returned_names(asked, ["doc_id", *results]), *results]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(plain(c).alias(n) for c, n in zip(asked, names, strict=True)))
     work = Workspace(prepare(docs.sparkSession), "repeats")
     hits = repeated_windows(docs.select("doc_id", "text").filter("doc_id is not null"), words, work)
     spans = work.write(hits.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("hits")), "spans")
     touched = HashBitmap(spans, F.xxhash64("doc_id"))
-    extra = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+    extra = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in names]
     schema = ", ".join(["doc_id long", *extra, "n_words long", "n_removed long", "kept_sha256 string", *(["kept string"] * kept)])
     n = 2 + len(names)
 
@@ -258,12 +262,11 @@ def remove_repeats(docs: DataFrame, words: int = 50, columns: list[str] | None =
                 part = batch.slice(at, 512)
                 yield _without(part, part.column(n).to_pylist(), words, n, kept)
 
-    keyed = docs.withColumn("\x00key", F.xxhash64("doc_id"))
+    keyed = docs.withColumn("key", F.xxhash64("doc_id"))
     whole = keyed.mapInArrow(tidy(untouched), schema)
-    inner = ", ".join(["doc_id long", "text string", *(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "tag long"])
-    renamed = keyed.toDF("doc_id", "text", *(f"c{i}" for i in range(len(names))), "key")
-    parts = renamed.mapInArrow(tidy(tagged), inner).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", *(f"c{i}" for i in range(len(names))), "hits")
-    return whole.union(parts.mapInArrow(tidy(cut), schema))
+    inner = ", ".join(["doc_id long", "text string", *extra, "tag long"])
+    parts = keyed.mapInArrow(tidy(tagged), inner).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", *names, "hits")
+    return whole.union(parts.mapInArrow(tidy(cut), schema)).toDF(*returned)
 
 
 def _without(batch: pa.RecordBatch, hits: list[list[int] | None], words: int, n: int, kept: bool) -> pa.RecordBatch:

@@ -80,8 +80,9 @@ def test_disclosing_terms(spark, monkeypatch, limit):
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, spans int").repartition(3)
     told = brute_terms(rows, rule)
     assert {"zeus", "thunder"} <= told and "copied" not in told
-    for r in find_personal_data(docs.drop("spans"), rule=rule).collect():
+    for r in find_personal_data(docs, ["spans"], rule).collect():
         text = next(t for k, t in rows if k == r.doc_id)
+        assert r.spans_input == 1
         base = base_spans(text or "")
         touched = lambda a, b: any(a < y and b > x for _, x, y in base)  # noqa: B023, E731
         terms = [("term", m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "") if m[0].lower() in told and not touched(m.start(), m.end())]
@@ -94,3 +95,7 @@ def test_clashing_columns_and_empty(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c", 5)], "doc_id long, text string, term long")
     assert find_personal_data(docs, ["term"]).select("term", "n_email", "sanitised").collect() == [(5, 1, "mail [EMAIL]")]
     assert find_personal_data(docs.limit(0)).collect() == []
+    docs = spark.createDataFrame([(1, "mail a@b.c", 5, "x", "y", 2.5)], "doc_id long, text string, spans int, n_email string, Sanitised string, base double")
+    got = find_personal_data(docs, ["spans", "n_email", "Sanitised", "base"])
+    assert got.columns[:5] == ["doc_id", "spans_input", "n_email_input", "Sanitised_input", "base_input"]
+    assert [tuple(r) for r in got.collect()] == [(1, 5, "x", "y", 2.5, 1, 0, 0, 0, "email:5:10", "email:5:10", "mail [EMAIL]")]

@@ -62,6 +62,11 @@ def test_against_brute_force(spark, monkeypatch, seed, k, shard):
 def test_extra_columns_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "t")], "doc_id long, text string, hits string, tag string")
     assert remove_repeats(docs, columns=["hits", "tag"]).select("hits", "tag", "kept").collect() == [("s", "t", "a b")]
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words, "a", 5, "x", "y", "z"), (2, words, "b", 6, "x", "y", "z")], "doc_id long, text string, n_words string, KEPT int, key string, `a.b` string, kept_input string")
+    got = remove_repeats(docs, columns=["n_words", "KEPT", "key", "a.b", "kept_input"])
+    assert got.columns == ["doc_id", "n_words_input", "KEPT_input", "key", "a.b", "kept_input_input", "n_words", "n_removed", "kept_sha256", "kept"]
+    assert [tuple(r)[:8] for r in sorted(got.collect())] == [(1, "a", 5, "x", "y", "z", 60, 0), (2, "b", 6, "x", "y", "z", 60, 60)]
     assert remove_repeats(docs.limit(0)).collect() == []
 
 

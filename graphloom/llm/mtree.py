@@ -86,8 +86,15 @@ def _build(points, vectors, ids, names, center, page, fanout) -> Node:
     return Node(routing, _distances(routing, center), np.array(radii), children, None, None)
 
 
+_MOST, _INTEGERS = 2**63 - 1, np.frompyfunc(int, 1, 1)
+
+
 def _products(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-    return (vectors @ query).astype(np.int64) if exact else (vectors.astype(object) @ query.astype(object)).astype(np.int64)
+    """Integer products: in double precision where every partial sum is exact, else of Python's integers, held to the range of a long."""
+    if exact:
+        return (vectors @ query).astype(np.int64)
+    products = (_INTEGERS(vectors).astype(object) * _INTEGERS(query).astype(object)).sum(axis=1)
+    return np.array([min(max(int(p), -_MOST), _MOST) for p in products], np.int64)
 
 
 def search(root: Node, center: np.ndarray, query: np.ndarray, own: int, k: int, longest: float, floor: int | None, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +162,8 @@ def _prepared(vectors: DataFrame, width: int) -> DataFrame:
 def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for vectors (vec_id, embedding): queries are the rows whose vec_id is divisible by every, candidates all rows but the query's own.
 
-    The vectors are floor(64 x); scores are exact (to 2**63). Null vectors and those with null or
+    The vectors are floor(64 x); scores are exact integers. One beyond the range of a long is given, and ranked, as its end
+    (2**63 - 1 of its sign), so that such ones tie; components are finite below 2**400. Null vectors and those with null or
     non-finite components take no part; shorter vectors count as padded with zeros. Rows of equal vec_id are candidates of each
     other and queries of their own; rows without vec_id take no part. Other columns are ignored.
     """

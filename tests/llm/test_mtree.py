@@ -35,3 +35,28 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_inner_products(df).collect()] == [(0, 1, 1, 64 * 128)]
     assert top_inner_products(df.limit(0)).collect() == []
+
+
+def brute_integers(rows, k, every):
+    good = [(i, key, [int(np.floor(64 * x)) for x in v]) for i, (key, v) in enumerate(rows)]
+    out = []
+    for i, key, q in good:
+        if key % every == 0:
+            products = [(sum(a * b for a, b in zip(q, x, strict=True)), other) for j, other, x in good if j != i]
+            found = sorted((-max(min(p, 2**63 - 1), 1 - 2**63), other) for p, other in products)[:k]
+            out += [(key, r + 1, other, -s) for r, (s, other) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [5e6, 3e7, 1e9, 1e30])
+def test_products_beyond_double_precision(spark, monkeypatch, size):
+    """Products from 2**53 on, and beyond a long, where single units decide ranks."""
+    monkeypatch.setattr(mtree, "PART", 50)
+    monkeypatch.setattr(mtree.build, "__defaults__", (None, 9, 4))
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 4)) * size
+    rows = [(i, (base[i % 20] + rng.integers(-3, 4, size=4) / 64).tolist()) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_inner_products(df, 5).collect())
+    assert got == brute_integers(rows, 5, 20)
+    assert size > 1e8 or max(s for *_, s in got) > 2**53

@@ -221,9 +221,12 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                     out.append((np.full(len(scores), row), np.full(len(scores), vec_id), names, ids, scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_row", "query_id", "vec_id", "row", "score"])
 
-    def asked(blocks: DataFrame, copies: int) -> DataFrame:
-        """Answers to blocks of queries (part, copy, kind 1, blob)."""
-        given = trees.select("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), F.col("tree").alias("blob"))
+    def asked(blocks: DataFrame, name: str) -> DataFrame:
+        """Answers to blocks of queries (part, copy, kind 1, blob): a part's tree goes to as many tasks as its own blocks need."""
+        blocks = work.write(blocks, "blocks-" + name)
+        demand = work.write(blocks.groupBy("part").agg(F.ceil(F.count("*") / BLOCKS_A_COPY).cast("int").alias("copies")), "demand-" + name)
+        given = trees.join(demand, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("tree").alias("blob"))
+        blocks = blocks.join(demand, "part").select("part", F.pmod("copy", "copies").alias("copy"), "kind", "blob")
         both = given.unionByName(blocks).repartition("part", "copy").sortWithinPartitions("part", "copy", "kind")
         return both.mapInArrow(tidy(answer), schema)
 
@@ -236,14 +239,13 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                 at = np.flatnonzero(parts == part)
                 for i in range(0, len(at), BLOCK):
                     some = at[i : i + BLOCK]
-                    yield _block(int(part), 0, [rows_[j] for j in some], [names[j] for j in some], [None] * len(some), xs[some])
+                    yield _block(int(part), rows_[some[0]] & 0x7FFFFFFF, [rows_[j] for j in some], [names[j] for j in some], [None] * len(some), xs[some])
 
-    first = work.write(asked(queries.mapInArrow(tidy(own_blocks), _BLOCK), 1), "own")
+    first = work.write(asked(queries.mapInArrow(tidy(own_blocks), _BLOCK), "own"), "own")
     floors = first.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     asking = queries.join(floors, queries["row"] == floors["query_row"], "left").select("part", "row", "vec_id", "x", "floor")
     shares = trees.groupBy(F.pmod("part", F.lit(MAX_PIVOTS)).alias("pivot")).agg(F.count("*").alias("parts"), F.max("radius").alias("radius")).toArrow()  # a row for each pivot
     shares = list(zip(*(shares.column(c).to_pylist() for c in ("pivot", "parts", "radius")), strict=True))
-    copies = -(-queries.count() // (BLOCK * BLOCKS_A_COPY)) or 1
 
     def other_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +253,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                 part = batch.slice(at, BLOCK)
                 own, rows_, names, floors_ = (part.column(i).to_pylist() for i in (0, 1, 2, 4))
                 xs = _matrix(part.column(3), width)
-                copy = rows_[0] % copies
+                copy = rows_[0] & 0x7FFFFFFF
                 norms = np.einsum("ij,ij->i", xs, xs) + longest
                 low = np.array([-np.inf if f is None else f for f in floors_])
                 bound = np.sqrt(np.maximum(norms - 2 * low, 0) + SLACK * (norms + 1))
@@ -264,7 +266,7 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
                         if some:
                             yield _block(key, copy, [rows_[j] for j in some], [names[j] for j in some], [floors_[j] for j in some], xs[some])
 
-    rest = asked(asking.mapInArrow(tidy(other_blocks), _BLOCK), copies)
+    rest = asked(asking.mapInArrow(tidy(other_blocks), _BLOCK), "others")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation's turns become one or more training samples. Prefix sums of the turns'
-token costs assign each turn to the window in which it is new; a window also repeats
-the system turn and as many of the turns just before its first new one as the history
-budget takes. The loss mask covers the texts of new assistant turns only, so that a
+A conversation's turns become one or more training samples. A fold over the prefix sums of
+the turns' token costs chooses spans of whole turns, each as long as the budget allows; a window holds
+the system turn, the turns just before its span as far as the history budget and what the span leaves
+go, and the span itself. The loss mask covers the texts of new assistant turns only, so that a
 repeated turn is never a target again.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles
@@ -37,12 +37,39 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
+#: Window starts that the fold of a conversation holds in one array before it puts them aside.
+FOLD = 1024
+
+
+def _window_starts(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv_id, before): prefix sums at which windows after the first begin, of turns (conv_id, before, cost, kept).
+
+    One fold over a conversation's prefix sums, greedily: a turn goes into the window while the window's new turns,
+    the system turn and, from the second window on, a full history keep the budget.
+    """
+    state = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("reserve"), F.array().cast("array<long>").alias("starts"), F.array().cast("array<array<long>>").alias("aside"))
+
+    def step(acc: Column, turn: Column) -> Column:
+        full = F.size(acc["starts"]) == FOLD
+        begun = F.struct(
+            turn["before"].alias("begin"),
+            F.lit(history).cast("long").alias("reserve"),
+            F.when(full, F.array(turn["before"])).otherwise(F.array_append(acc["starts"], turn["before"])).alias("starts"),
+            F.when(full, F.array_append(acc["aside"], acc["starts"])).otherwise(acc["aside"]).alias("aside"),
+        )
+        over = (turn["before"] > acc["begin"]) & (turn["before"] + turn["cost"] - acc["begin"] > budget - turn["kept"] - acc["reserve"])
+        return F.when(over, begun).otherwise(acc)
+
+    folded = F.aggregate(F.sort_array(F.collect_list(F.struct("before", "cost", "kept"))), state, step, lambda acc: F.flatten(F.array_append(acc["aside"], acc["starts"])))
+    return turns.groupBy("conv_id").agg(folded.alias("starts")).select("conv_id", F.explode("starts").alias("before"))
+
+
 def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """Samples of all turns (conv_id, turn, role, text): conv_id, window, text, loss (array of start, length in code points), n_repeated.
 
     budget: tokens of a window (a token is CHARS_PER_TOKEN code points of the formatted
-    turn, rounded up); history: those of repeated turns. A turn is never split: one that is longer
-    than the budget has a window to itself, and a system turn is kept whatever its length.
+    turn, rounded up); history: those of repeated turns at most, fewer where the new ones leave less. A turn is never split: one that is longer
+    than the budget beside the system turn is the only other turn of its window, and a system turn is kept whatever its length; all other windows keep the budget.
     The system turn is a first turn of role system. Null texts and roles are empty; turns
     of equal number are ordered by role and text, repeated rows all stay; a null conv_id
     is a conversation of its own. Other columns are ignored.
@@ -61,23 +88,24 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
         .withColumn("cost", F.ceil(F.col("chars") / CHARS_PER_TOKEN))
     )
     run = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("before", F.coalesce(F.sum(F.when(~F.col("system"), F.col("cost"))).over(run), F.lit(0)))
-        .withColumn("kept", F.coalesce(F.max(F.when(F.col("system"), F.col("cost"))).over(conv), F.lit(0)))
-        # turns that begin within one step of the prefix sum are new in one window: with a last turn of up to a step they take two steps at most
-        .withColumn("step", F.greatest(F.lit(32), F.floor((F.lit(budget - history) - F.col("kept")) / 2)))
-        .withColumn("own", F.floor(F.col("before") / F.col("step")))
-    )
-    rows = rows.withColumn("last", F.max(F.when(~F.col("system"), F.col("own"))).over(conv))
-    reach = F.when(F.col("system"), F.coalesce("last", F.lit(0))).otherwise(F.floor((F.col("before") + history) / F.col("step")))
-    first = F.when(F.col("system"), F.lit(0)).otherwise(F.col("own"))
-    rows = rows.withColumn("window", F.explode(F.sequence(first, F.greatest(first, F.least(reach, F.coalesce("last", F.lit(0)))))))
-    window = Window.partitionBy("conv_id", "window")
-    new = F.col("window") == F.when(F.col("system"), F.lit(0)).otherwise(F.col("own"))
-    rows = rows.withColumn("new", new).withColumn("begin", F.min(F.when(F.col("new") & ~F.col("system"), F.col("before"))).over(window))
-    alone = F.col("system") & F.col("last").isNull()
-    rows = rows.filter(F.col("new") & ~F.col("system") | alone | F.col("begin").isNotNull() & (F.col("system") | (F.col("before") >= F.col("begin") - history)))
-    # a window 0 always exists beside others, as the first turn that is no system turn begins at 0
+    new_cost = F.when(~F.col("system"), F.col("cost"))
+    rows = rows.withColumn("before", F.coalesce(F.sum(new_cost).over(run), F.lit(0))).withColumn("kept", F.coalesce(F.max(F.when(F.col("system"), F.col("cost"))).over(conv), F.lit(0)))
+    # a window's start stands before the turn of the same prefix sum, and counts the windows
+    starts = _window_starts(rows.filter(~F.col("system")).select("conv_id", "before", "cost", "kept"), budget, history).withColumn("starts", F.lit(1))
+    rows = rows.withColumn("starts", F.lit(0)).unionByName(starts, allowMissingColumns=True)
+    up_to = Window.partitionBy("conv_id").orderBy("before", F.desc("starts"), "at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum("starts").over(up_to)).filter("starts = 0")
+    # a window's history: the turns that reach back from its first new one as far as the budget goes
+    spent = F.sum(new_cost).over(Window.partitionBy("conv_id", "own"))
+    rows = rows.withColumn("room", F.least(F.lit(history), F.greatest(F.lit(0), budget - F.col("kept") - spent)))
+    opens = ~F.col("system") & (F.coalesce(F.lag("own").over(conv.orderBy("at")), F.lit(0)) < F.col("own"))
+    rows = rows.withColumn("opens", F.when(opens, F.struct("own", (F.col("before") - F.col("room")).alias("back")))).withColumn("last", F.max("own").over(conv))
+    ahead = F.collect_list("opens").over(conv.orderBy("before").rangeBetween(1, history))  # of starts so near there are few
+    again = F.transform(F.filter(ahead, lambda w: w["back"] <= F.col("before")), lambda w: w["own"])
+    rows = rows.withColumn("again", again)
+    into = F.when(F.col("system"), F.sequence(F.lit(0).cast("long"), F.col("last"))).otherwise(F.concat(F.array("own"), "again"))
+    rows = rows.select("conv_id", "at", "role", "head", "body", "system", "chars", "own", F.explode(into).alias("window"))
+    rows = rows.withColumn("new", F.col("window") == F.col("own"))
     before = Window.partitionBy("conv_id", "window").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0)) + F.length("head"))
     target = F.when(F.col("new") & (F.col("role") == "assistant"), F.length("body"))

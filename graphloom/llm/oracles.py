@@ -27,27 +27,31 @@ m as (select v, min(c) component_id from r group by 1)
 select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id from w join m on v = w.doc_id left join n on n.doc_id = w.doc_id
 """
 
-#: Of a turn: its cost in tokens, the costs before it, the window in which it is new, and the windows that repeat it.
+#: Windows greedily, turn by turn: a turn opens the next window if the new turns would not leave room for the system turn and (but in the first window) a full history.
 CHAT = r"""
-with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') body from conversations
+with recursive t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') body from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 a as (select *, row_number() over (partition by conv_id order by turn, role, body) nr,
   length('<|im_start|>') + length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\', '\s'), chr(10), '\n')) + 1
   + length(regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1 chars from t),
 b as (select *, nr = 1 and role = 'system' sys, ceil(chars / 4.0)::bigint cost from a),
-c as (select *, coalesce(sum(case when not sys then cost end) over (partition by conv_id order by nr rows between unbounded preceding and 1 preceding), 0)::bigint before,
-  coalesce(max(case when sys then cost end) over (partition by conv_id), 0)::bigint kept from b),
-d as (select *, greatest(32, floor((1024 - 256 - kept) / 2.0))::bigint step from c),
-e as (select *, before // step own from d),
-windows as (select conv_id, own win, min(before) begin from e where not sys group by 1, 2),
-f as (select e.conv_id, e.chars from e join windows x on x.conv_id = e.conv_id
-  where not sys and own = win or sys or own < win and not sys and before >= begin - 256),
-g as (select conv_id, chars from f union all select conv_id, chars from e where sys and conv_id not in (select conv_id from windows))
+c as (select *, coalesce(max(case when sys then cost end) over (partition by conv_id), 0)::bigint kept,
+  row_number() over (partition by conv_id, sys order by nr) k from b),
+g as (select conv_id, k, 0 win, cost used from c where not sys and k = 1
+  union all select c.conv_id, c.k, case when used + cost > 1024 - kept - (case when win = 0 then 0 else 256 end) then win + 1 else win end,
+  case when used + cost > 1024 - kept - (case when win = 0 then 0 else 256 end) then cost else used + cost end
+  from g join c on c.conv_id = g.conv_id and c.k = g.k + 1 and not sys),
+d as (select c.conv_id, nr, chars, cost, kept, win, sum(cost) over (partition by c.conv_id order by nr) - cost before from g join c on c.conv_id = g.conv_id and c.k = g.k and not sys),
+w as (select conv_id, win, min(before) begin, least(256, greatest(0, 1024 - any_value(kept) - sum(cost))) room from d group by 1, 2),
+f as (select d.conv_id, chars from d
+  union all select d.conv_id, chars from d join w on w.conv_id = d.conv_id and d.win < w.win and before >= begin - room
+  union all select c.conv_id, chars from c join w on w.conv_id = c.conv_id where sys
+  union all select conv_id, chars from c where sys and conv_id not in (select conv_id from w))
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' order by nr)) turns_sha256,
  length(coalesce(string_agg(case when role = 'assistant' then body end, '' order by nr), ''))::bigint loss_chars,
  sha256(coalesce(string_agg(case when role = 'assistant' then body end, '' order by nr), '')) loss_sha256,
- (select sum(chars)::bigint from g where g.conv_id = e.conv_id) formatted_chars
-from e group by conv_id
+ (select sum(chars)::bigint from f where f.conv_id = c.conv_id) formatted_chars
+from c group by conv_id
 """
 
 TOPK = """

@@ -106,18 +106,67 @@ def test_chat_round_trip(spark):
     made = samples.collect()
     for c in by:
         assert got[c].formatted_chars == sum(len(s.text) for s in made if s.conv_id == c)
-    # windows keep the budget unless one turn or the system turn is too long, and repeat the system turn
+    # windows keep the budget, but for those of the system turn and a single turn
     for s in made:
-        parts = s.text.split(chat.END + "\n")[:-1]
-        cost = [-(-len(p + chat.END + "\n") // chat.CHARS_PER_TOKEN) for p in parts]
-        kept = cost[0] if s.text.startswith(chat.START + "system\n") else 0
-        history = sum(cost[: s.n_repeated]) - (kept if s.n_repeated else 0)
-        assert history <= 256 and (sum(cost) <= 1024 or max(cost) > (1024 - 256 - kept) / 2)
+        cost = piece_costs(s.text)
+        system = s.text.startswith(chat.START + "system\n")
+        history = sum(cost[: s.n_repeated]) - (cost[0] if system and s.n_repeated else 0)
+        assert history <= 256 and (sum(cost) <= 1024 or len(cost) <= 1 + system)
     assert max(s.window for s in made) > 2 and any(s.n_repeated > 1 for s in made)
     assert "PythonUDF" not in chat.digest(samples)._jdf.queryExecution().toString()
     assert chat.digest(chat.format_conversations(turns.limit(0))).collect() == []
 
 
+def piece_costs(text):
+    return [-(-len(p + chat.END + "\n") // chat.CHARS_PER_TOKEN) for p in text.split(chat.END + "\n")[:-1]]
+
+
+def planned(costs, system, budget, history):
+    """(costs of the repeated turns, of the new ones) of each window, turn by turn; system: that of the system turn or 0."""
+    spans = [[]]
+    for c in costs:
+        if spans[-1] and sum(spans[-1]) + c > budget - system - (history if len(spans) > 1 else 0):
+            spans.append([])
+        spans[-1].append(c)
+    out, done = [], 0
+    for span in spans:
+        back, room = [], min(history, max(0, budget - system - sum(span)))
+        for c in reversed(costs[:done]):
+            if sum(back) + c > room:
+                break
+            back.insert(0, c)
+        out.append((back, span))
+        done += len(span)
+    return out
+
+
+@pytest.mark.parametrize("budget,history,fold", [(1024, 256, 1024), (60, 25, 2), (40, 0, 1)])
+def test_chat_windows_as_planned(spark, monkeypatch, budget, history, fold):
+    monkeypatch.setattr(chat, "FOLD", fold)
+    rng = random.Random(budget)
+    rows = [(c, t, "system" if t == 0 and c % 3 == 0 else rng.choice(["user", "assistant"]), "x" * rng.choice([0, 5, 40, 90, 300, 1500, 3600, 20_000])) for c in range(30) for t in range(rng.choice([1, 5, 60]))]
+    rows += [(50, 0, "user", "x" * 1500), (50, 1, "assistant", "y" * 3570), (51, 0, "user", "z" * 20_000), (51, 1, "user", "a" * 400), (52, 0, "system", "s" * 9000), (52, 1, "user", "a"), (52, 2, "user", "b"), (53, 0, "system", "only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = defaultdict(dict)
+    for s in chat.format_conversations(turns, budget, history).collect():
+        got[s.conv_id][s.window] = (piece_costs(s.text), s.n_repeated)
+    for c in {r[0] for r in rows}:
+        mine = [(r, len(chat.START + r + "\n" + x + chat.END + "\n")) for k, _, r, x in sorted(rows) if k == c]
+        costs = [-(-n // chat.CHARS_PER_TOKEN) for _, n in mine]
+        system = costs.pop(0) if mine[0][0] == "system" else 0
+        want = planned(costs, system, budget, history)
+        assert [got[c][w] for w in range(len(got[c]))] == [([system] * (system > 0) + back + span, len(back) + (system > 0 and w > 0)) for w, (back, span) in enumerate(want)], c
+
+
+def test_a_turn_of_megabytes(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "<|im_end|> é\n" * 200_000), (1, 2, "assistant", "ok"), (2, 0, "assistant", "<|" * 600_000), (2, 1, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_conversations(turns)).collect()}
+    for c in (1, 2):
+        assert got[c].turns_sha256 == sha("".join(f"{r or ''}\n{x or ''}\n" for k, _, r, x in rows if k == c))
+        assert got[c].loss_sha256 == sha("".join(x for k, _, r, x in rows if k == c and r == "assistant"))
+
+
 def test_warc_round_trip(spark, monkeypatch):
     rows = [(1, "http://a/ b\r\nx", "é" * 60), (2, "u", "é" * 60), (3, "u", None), (4, "u", "x\r\n\r\ny" * 30 + "\r"), (5, "u", "x\r\n\r\ny" * 30 + "\r\n"), (6, None, "short"), (7, "u", "short"), (5, "u", "x\r\n\r\ny" * 30 + "\r\n"), (0, "q", "WARC/1.1\r\nContent-Length: 4\r\n\r\n" * 9), (None, "n", "é" * 60), (9, "z", "x\r\n\r\ny" * 30 + "\r\n")]
     pages = spark.createDataFrame([(h, p, u, 1) for p, u, h in rows], "html string, page_id long, url string, digest int").repartition(3)

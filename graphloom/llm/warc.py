@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tidy
+from .common import Workspace, shared_dir, tidy
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT_BYTES = 100
-#: Groups of equal payloads up to which the table of first captures (about 200 bytes a row) is broadcast.
+#: Groups of equal payloads up to which the tables of first captures (about 200 bytes a row) and of their records' ids are broadcast.
 BROADCAST_GROUPS = 100_000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,10 +75,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         ],
         F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("payload").cast("string"))),
     )
-    fields = F.concat(
-        F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)),
-        F.when(F.col("revisit"), F.concat(F.lit("refersToPageId: "), F.coalesce(F.col("first.page_id").cast("string"), F.lit("")), F.lit(CRLF))).otherwise(F.lit("")),
-    )
+    fields = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record(F.lit("metadata"), [("WARC-Record-ID", ids["metadata"]), ("WARC-Concurrent-To", ids["response"]), *common, ("Content-Type", F.lit("application/warc-fields"))], fields)
     rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.text(path, compression="gzip", lineSep=CRLF * 2)
 
@@ -178,27 +175,44 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A response, revisit or resource is a capture; requests and metadata join the capture
     that their concurrent-to names. Records that name none, or one that is not there, make a
-    capture without response. Repeated record ids of responses keep one (the greatest struct); null ids meet in one row.
+    capture without response. Repeated record ids of responses keep one (the greatest struct). A record with neither id
+    is a capture of its own (capture_id null).
     """
     main = F.col("type").isin("response", "revisit", "resource")
     columns = [c for c in ("record_id", "type", "refers_to", "target_uri", "date", "headers", "payload_bytes", "payload_digest", "payload", "fields") if c in records.columns]
     plain = [F.map_entries(c).alias(c) if c in ("headers", "fields") else F.col(c) for c in columns]
-    rows = records.select(F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id"), F.col("type"), F.struct(*plain).alias("record"))
-    grouped = rows.groupBy("capture_id").agg(
+    named = F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    alone = F.when(named.isNull(), F.monotonically_increasing_id())  # parts records without id
+    rows = records.select(named.alias("capture_id"), alone.alias("alone"), F.col("type"), F.struct(*plain).alias("record"))
+    grouped = rows.groupBy("capture_id", "alone").agg(
         F.max(F.when(main, F.col("record"))).alias("response"),
         F.sort_array(F.collect_list(F.when(F.col("type") == "request", F.col("record")))).alias("requests"),
         F.sort_array(F.collect_list(F.when(F.col("type") == "metadata", F.col("record")))).alias("metadata"),
     )
-    return grouped
+    return grouped.drop("alone")
 
 
 def page_digest(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures."""
-    fields = F.map_from_entries(F.col("metadata")[0]["fields"])
-    return captures.select(
-        F.nullif(fields["pageid"], F.lit("")).cast("long").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.nullif(fields["referstopageid"], F.lit("")).cast("long").alias("refers_to"),
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures.
+
+    refers_to is the page_id of the capture whose response a revisit's WARC-Refers-To names; null if there is none.
+    """
+    work = Workspace(captures.sparkSession, "warc-pages")
+    fields = F.map_from_entries(F.get("metadata", F.lit(0))["fields"])
+    pages = work.write(
+        captures.select(
+            F.nullif(fields["pageid"], F.lit("")).cast("long").alias("page_id"),
+            F.col("response.payload_bytes").alias("payload_bytes"),
+            F.col("response.payload_digest").alias("payload_digest"),
+            F.col("response.type").alias("record_type"),
+            "capture_id",
+            F.col("response.refers_to").alias("named"),
+        ),
+        "pages",
     )
+    named = pages.filter("record_type = 'revisit' and named is not null").select("named").distinct()
+    # written, so that the join below can be split where a third of all pages name one response
+    targets = work.write(pages.select(F.col("capture_id").alias("named"), F.col("page_id").alias("refers_to")).join(named, "named", "left_semi"), "targets")
+    if targets.count() <= BROADCAST_GROUPS:
+        targets = F.broadcast(targets)
+    return pages.join(targets, "named", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))

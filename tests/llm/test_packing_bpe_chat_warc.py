@@ -1,5 +1,6 @@
 """Packing and BPE against the tokenizers library, chat windows and WARC archives by exact round trips."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -194,6 +195,36 @@ def test_warc_parser_skips_what_is_between_records():
     assert first[1:3] == ("request", "<a> <b>") and second[1] == "response" and second[7] == 0
 
 
+def test_warc_of_one_member_a_record_and_records_without_ids(spark, tmp_path):
+    """An archive as crawlers write it: revisits name the response by WARC-Refers-To; some records lack ids."""
+    record = lambda kind, headers, block: b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\n" + headers + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    members = [
+        record(b"revisit", b"WARC-Record-ID: <b>\r\nWARC-Refers-To: <a>\r\nWARC-Payload-Digest: sha256:x\r\n", http),
+        record(b"response", b"WARC-Record-ID: <a>\r\n", http + b"hello"),
+        *(record(b"metadata", b"WARC-Concurrent-To: <%s>\r\nContent-Type: application/warc-fields\r\n" % i, b"pageId: %d\r\n" % n) for i, n in ((b"a", 7), (b"b", 8))),
+        record(b"revisit", b"WARC-Record-ID: <c>\r\nWARC-Refers-To: <gone>\r\n", http),
+        record(b"request", b"", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"request", b"", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"response", b"", http + b"hello"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    captures = warc.assemble(warc.read_records(spark, str(tmp_path)))
+    assert sorted((r.capture_id, len(r.requests), r.response is not None) for r in captures.collect() if r.capture_id) == [("<a>", 0, True), ("<b>", 0, True), ("<c>", 0, True)]
+    assert sorted((len(r.requests), r.response is not None) for r in captures.collect() if r.capture_id is None) == [(0, True), (1, False), (1, False)]
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_digest(captures).collect() if r.page_id}
+    assert got == {7: (5, "response", None), 8: (5, "revisit", 7)}
+
+
+def test_warc_of_a_page_of_megabytes(spark):
+    html = "é\r\n\r\nWARC/1.1 " * 150_000
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", html), (3, "w", "")], "page_id long, url string, html string")
+    path = Workspace(spark, "warc-test").path + "/archives"
+    warc.write_captures(pages, path)
+    digest, size = sha(html), len(html.encode())
+    assert sorted(tuple(r) for r in warc.page_digest(warc.assemble(warc.read_records(spark, path))).collect()) == [(1, size, digest, "response", None), (2, size, digest, "revisit", 1), (3, 0, sha(""), "response", None)]
+
+
 def test_warc_of_no_pages(spark):
     path = Workspace(spark, "warc-test").path + "/archives"
     warc.write_captures(spark.createDataFrame([], "page_id long, url string, html string"), path)

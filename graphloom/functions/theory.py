@@ -78,3 +78,24 @@ def group_size(processors: int, trials: int) -> int:
 
 def trials_each(processors: int, trials: int) -> int:
     return math.ceil(trials / processors)
+
+
+def trial_shares(trials: int, memory: list[int], copy_bytes: int) -> list[int]:
+    """How many of the trials each executor takes, given its memory: as evenly as what fits beside each other allows, in waves where not all fit at once.
+
+    An executor holds memory // copy_bytes trials at a time; one that holds none takes none. Raises ValueError if no executor holds one.
+    """
+    slots = [m // copy_bytes for m in memory]
+    if not any(slots):
+        raise ValueError("no executor holds a copy of the graph")
+    waves, left = divmod(trials, sum(slots))
+    shares = [waves * s for s in slots]
+    # the last wave goes to the executors with the most room, one trial each in turn
+    order = sorted((i for i, s in enumerate(slots) if s), key=lambda i: (-slots[i], i))
+    given = [0] * len(slots)
+    while left:
+        for i in order:
+            if left and given[i] < slots[i]:
+                given[i] += 1
+                left -= 1
+    return [a + b for a, b in zip(shares, given, strict=True)]

@@ -145,7 +145,9 @@ def forest_cut(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) ->
         low, high = np.minimum(src, dst), np.maximum(src, dst)
         apart = low != high
         key, where = np.unique(low[apart] * n + high[apart], return_inverse=True)
-        weight = np.bincount(where, weights=weight[apart], minlength=len(key)).astype(np.int64) if weight.sum() < 2**52 else np.array([weight[apart][where == i].sum() for i in range(len(key))])
+        summed = np.zeros(len(key), np.int64)
+        np.add.at(summed, where, weight[apart])
+        weight = summed
         src, dst = key // n, key % n
         size = int(labels.max()) + 1
         degree = np.zeros(size, np.int64)

@@ -24,6 +24,8 @@ from .kernels import component_labels, cut_trial, dense_ids, forest_cut
 
 #: Vertices and edges up to which a graph is solved exactly in one task; edges up to which it is broadcast (24 bytes each).
 EXACT_VERTICES, EXACT_EDGES, BROADCAST_EDGES = 500_000, 2_000_000, 2_000_000
+#: Vertices of a shrunk trial that one task works off; the recursion of larger ones is dealt out branch by branch.
+TASK_VERTICES = 4096
 RESULT = "cut_value long, side array<long>, variant string, trials long, probability double"
 
 
@@ -65,12 +67,12 @@ def heavy_contraction(edges: DataFrame, work: Workspace) -> DataFrame | None:
     return mapping if left > 2 else None
 
 
-def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None, sides: bool = True) -> DataFrame:
+def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None, sides: bool = True, task_vertices: int = TASK_VERTICES) -> DataFrame:
     """One row: cut_value, side (the vertices of the smaller side, by least vertex on ties), variant, trials, probability (that the value is the minimum).
 
     edges (src, dst, weight): undirected, parallel ones add up, loops and weights that are not positive do not count. vertices (vertex) adds isolated
     ones. Of a graph that is not connected the value is 0 and side the component of the least vertex; with fewer than two vertices value and side are null.
-    Results depend on the seed, not on partitions. side lists the vertices of one side in one row; it is null without sides, which is what large graphs want, and of variant high, whose trials hold contracted vertices only.
+    Results depend on the seed, not on partitions. side lists the vertices of one side in one row; it is null without sides, which is what large graphs want.
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "mincut")
@@ -97,21 +99,38 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
     trials = min(trials, max_trials) if max_trials else trials
     reached = success if trials == wanted else 1.0 - (1.0 - success) ** (trials / wanted)
     size = theory.intermediate_size(graph.vertices, graph.rows)
+    shrunk: list[Contraction] = []
     if graph.rows <= broadcast_edges:
         result, variant = _trials(graph.edges, size, trials, seed), "low"
     else:
-        result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work), "high"
-    if not sides or variant == "high":
-        return result.agg(F.min("cut_value").alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability"))
-    best = result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.side")
+        result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work, task_vertices, shrunk), "high"
+    plan = [F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability")]
+    if not sides:
+        return result.agg(F.min("cut_value").alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), *plan)
+    best = work.write(result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.trial", "best.side"), "best")
+    value, trial = best.select("cut_value", "trial").first()
+    # from vertices to what stands for them in the pruned graph, and for that in the best trial's shrunk one
+    names = E.vertices(edges).select("vertex", F.col("vertex").alias("component"))
     if graph.mapping is not None:
-        inner = best.select("cut_value", F.explode("side").alias("new"))
-        back = E.vertices(edges).join(graph.mapping, F.col("vertex") == F.col("old"), "left").select("vertex", F.coalesce("new", "vertex").alias("new"))
-        best = inner.join(back, "new").groupBy("cut_value").agg(F.sort_array(F.collect_list("vertex")).alias("side"))
-    everyone = E.vertices(edges).agg(F.sort_array(F.collect_list("vertex")).alias("all"))
-    other = F.array_except("all", "side")
-    smaller = F.when((F.size(other) < F.size("side")) | (F.size(other) == F.size("side")) & (other[0] < F.col("side")[0]), other).otherwise(F.col("side"))
-    return best.join(F.broadcast(everyone)).select("cut_value", smaller.alias("side"), F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability"))
+        names = E.composed(names, graph.mapping)
+    for i, step in enumerate(shrunk):
+        names = E.composed(names, step.mapping.filter(F.col("trial") == trial >> step.branchings_after).select("old", "new"))
+        if i % 8 == 7:
+            names = work.write(names, f"names-{i}")
+    inside = best.select(F.explode("side").alias("component"), F.lit(1).alias("inside"))
+    names = work.write(names.join(inside, "component", "left").select("vertex", F.coalesce("inside", F.lit(0)).alias("inside")), "sides")
+    sizes = names.groupBy("inside").agg(F.count("*").alias("size"), F.min("vertex").alias("least"))
+    smaller = sizes.orderBy("size", "least").limit(1).select("inside")
+    side = names.join(F.broadcast(smaller), "inside").agg(F.sort_array(F.collect_list("vertex")).alias("side"))
+    return side.select(F.lit(value).cast("long").alias("cut_value"), "side", *plan)
+
+
+@dataclass
+class Contraction:
+    """A step of shrinking trials: (trial, old, new), and how often trials have branched in two since."""
+
+    mapping: DataFrame
+    branchings_after: int = 0
 
 
 _TRIAL = "trial long, cut_value long, side array<long>"
@@ -160,17 +179,23 @@ def _trials(edges: DataFrame, size: int, trials: int, seed: int) -> DataFrame:
     return spark.range(0, trials, 1, tasks).mapInPandas(run, _TRIAL)
 
 
-def shrink(edges: DataFrame, trials: int, vertices: int, size: int, seed: int, work: Workspace, rounds: int = 40) -> DataFrame:
+def shrink(edges: DataFrame, trials: int, vertices: int, size: int, seed: int, work: Workspace, rounds: int = 40, steps: list[Contraction] | None = None) -> DataFrame:
     """(trial, src, dst, weight): for each trial the graph contracted by weight at random to at most size vertices and usually just these.
 
     All trials are one table keyed by trial. In a round each trial scores its edges and contracts the shortest prefix of a weighted sample that does not go below size.
+    steps gets the contraction of each round.
     """
     now = work.write(edges.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "src", "dst", "weight"), "trials-0")
+    return _contracted(now, "trials", vertices, size, seed, work, rounds, steps)
+
+
+def _contracted(now: DataFrame, name: str, vertices: int, size: int, seed: int, work: Workspace, rounds: int = 40, steps: list[Contraction] | None = None) -> DataFrame:
+    """shrink of a table that is keyed by trial already, written as name-0."""
     sample = theory.sample_size_weighted(vertices)
     for i in range(1, rounds + 1):
         ends = now.select("trial", F.explode(F.array("src", "dst")).alias("v"))
-        counts = ends.groupBy("trial").agg(F.countDistinct("v").alias("n"), F.count("*").alias("ends"))
-        open_ = work.write(counts.filter(F.col("n") > size), f"open-{i}")
+        counts = ends.distinct().groupBy("trial").agg(F.count("*").alias("n"))
+        open_ = work.write(counts.filter(F.col("n") > size), f"{name}-open-{i}")
         if open_.isEmpty():
             break
         score = rand.exponential(F.col("weight"), seed * 7919 + i, "trial", "src", "dst")
@@ -192,20 +217,33 @@ def shrink(edges: DataFrame, trials: int, vertices: int, size: int, seed: int, w
             moved = np.flatnonzero(found != np.arange(spare))
             return pd.DataFrame({"trial": np.full(len(moved), pdf["trial"].iloc[0]), "old": names[moved], "new": names[found[moved]]})
 
-        mapping = work.write(drawn.groupBy("trial").applyInPandas(contract, "trial int, old long, new long"), f"map-{i}")
+        mapping = work.write(drawn.groupBy("trial").applyInPandas(contract, "trial int, old long, new long"), f"{name}-map-{i}")
+        if steps is not None:
+            steps.append(Contraction(mapping))
         first, second = mapping.toDF("trial", "src", "__src"), mapping.toDF("trial", "dst", "__dst")
         moved = now.join(first, ["trial", "src"], "left").join(second, ["trial", "dst"], "left")
         after = moved.select("trial", F.coalesce("__src", "src").alias("src"), F.coalesce("__dst", "dst").alias("dst"), "weight")
-        now = work.write(E.merged_by(after, ["trial"]), f"trials-{i}")
-        work.drop(f"trials-{i - 1}")
+        now = work.write(E.merged_by(after, ["trial"]), f"{name}-{i}")
+        work.drop(f"{name}-{i - 1}")
         if mapping.isEmpty() and i > 3:
             break
     return now
 
 
-def _shrunk_trials(edges: DataFrame, vertices: int, size: int, trials: int, seed: int, work: Workspace) -> DataFrame:
-    """Trials that shrink as one distributed graph keyed by trial, each then solved by recursive contraction in a task of its own."""
-    shrunk = shrink(edges, trials, vertices, size, seed, work)
+def _shrunk_trials(edges: DataFrame, vertices: int, size: int, trials: int, seed: int, work: Workspace, task_vertices: int, steps: list[Contraction]) -> DataFrame:
+    """Trials that shrink as one distributed graph keyed by trial and, while they are larger than a task's share, branch in two and shrink on, as the recursion does; each branch is then solved in a task of its own.
+
+    A branch of trial t is trial 2 t or 2 t + 1, so that a trial's number over two to the branchings names the graph it came from.
+    """
+    now, level = shrink(edges, trials, vertices, size, seed, work, steps=steps), 0
+    while size > max(task_vertices, theory.BASE_CASE) and theory.contraction_target(size) < size:
+        level += 1
+        for step in steps:
+            step.branchings_after += 1
+        branched = now.select(F.explode(F.array(F.col("trial") * 2, F.col("trial") * 2 + 1)).alias("trial"), "src", "dst", "weight")
+        smaller = theory.contraction_target(size)
+        now = _contracted(work.write(branched, f"branch-{level}-0"), f"branch-{level}", size, smaller, seed + 104_729 * level, work, steps=steps)
+        size = smaller
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, names = dense_ids(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
@@ -213,8 +251,8 @@ def _shrunk_trials(edges: DataFrame, vertices: int, size: int, trials: int, seed
         value, side = cut_trial(len(names), a, b, pdf["weight"].to_numpy(), len(names), seed * 1_000_003 + trial)
         return pd.DataFrame({"trial": [trial], "cut_value": [value], "side": [sorted(names[side].tolist())]})
 
-    # a side here is of shrunk vertices only: its value counts, its members are representatives
-    return shrunk.groupBy("trial").applyInPandas(run, _TRIAL)
+    # a side here is of shrunk vertices only; minimum_cut names what they stand for
+    return now.groupBy("trial").applyInPandas(run, _TRIAL)
 
 
 def approximate_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.9, seed: int = 0, levels_at_once: int = 6) -> DataFrame:

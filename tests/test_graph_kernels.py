@@ -118,3 +118,19 @@ def test_matrix_contraction():
     m = K.to_matrix(4, *arrays([(0, 1, 2), (1, 2, 3), (2, 3, 4), (0, 3, 5), (1, 1, 9)]))
     out = K.contract_matrix(m, np.array([0, 0, 1, 1]))
     assert out.tolist() == [[0, 8], [8, 0]]
+
+
+def test_exact_cut_of_heavy_weights_takes_no_longer():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 400, 40_000), rng.integers(0, 400, 40_000)
+    w = rng.integers(2**40, 2**41, 40_000)
+    value, side = K.forest_cut(400, a, b, w)
+    assert value == w[side[a] != side[b]].sum() and value < 2**63
+
+
+def test_shares_of_trials_by_memory():
+    assert theory.trial_shares(10, [8, 16, 3], 4) == [4, 6, 0]
+    assert theory.trial_shares(3, [100, 100, 100], 4) == [1, 1, 1]
+    assert sum(theory.trial_shares(1001, [7, 9, 30], 3)) == 1001
+    with pytest.raises(ValueError):
+        theory.trial_shares(1, [2], 3)

@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 
 #: Edges (16 bytes each) up to which one task is faster than rounds of joins.
-KERNEL_EDGES = 200_000
+KERNEL_EDGES = 1_000_000
 
 
 def small_or_large(edges: DataFrame, src: str = "src", dst: str = "dst", kernel_edges: int = KERNEL_EDGES) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,20 @@ def labels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return vertices.select("vertex").distinct().join(found, "vertex", "full").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
-def sampled_components(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0, sample_edges: int = SAMPLE_EDGES) -> DataFrame:
-    """The same labels as labels(), by iterated sparse sampling.
+def divided_components(edges: DataFrame, parts: int = 2, kernel_edges: int | None = None) -> DataFrame:
+    """The same labels as connected_components(), by dividing the edges into parts, labelling each, and joining the labels: each vertex's labels of the parts are linked with it."""
+    work = Workspace(prepare(edges.sparkSession), "divided")
+    find = connected_components if kernel_edges is None else (lambda e: connected_components(e, kernel_edges=kernel_edges))
+    ends = work.write(E.canonical(edges.select("src", "dst")).distinct().withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(parts))), "ends")
+    stars: DataFrame | None = None
+    for part in range(parts):
+        found = work.write(find(ends.filter(F.col("part") == part).select("src", "dst")), f"labels-{part}")
+        stars = found if stars is None else stars.union(found)
+    return find(stars.toDF("src", "dst"))
+
+
+def sampled_components(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0, sample_edges: int = SAMPLE_EDGES, weight: str | None = None) -> DataFrame:
+    """The same labels as labels(), by iterated sparse sampling; with weight (a column of positive numbers) heavier edges are sampled first.
 
     Each round draws a sample of some n^(1 + e/2) edges, at most sample_edges, finds its components in one place, and relabels
     the rest by the map of what the sample joined. When a round's sample would no longer shrink the graph fast (or
@@ -33,7 +46,8 @@ def sampled_components(edges: DataFrame, vertices: DataFrame | None = None, seed
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "sampling")
-    rest = work.write(E.without_loops(E.canonical(edges.select("src", "dst"))).distinct(), "edges-0")
+    merge = lambda e: E.without_loops(E.canonical(e)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    rest = work.write(merge(edges.select("src", "dst", (F.lit(1) if weight is None else F.col(weight)).cast("double").alias("weight"))), "edges-0")
     everyone = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
     current = work.write(everyone.select("vertex", F.col("vertex").alias("component")), "labels-0")
     n = current.count()
@@ -45,18 +59,17 @@ def sampled_components(edges: DataFrame, vertices: DataFrame | None = None, seed
         if i > 12:  # sampling no longer pays
             mapping = connected_components(rest).toDF("old", "new")
         else:
-            # weight 1: the least uniform values are a uniform sample
-            sample = rest if m <= size else rest.orderBy(rand.uniform(seed + i, "src", "dst"), "src", "dst").limit(size)
-            table = sample.toArrow()
+            # the least exponential scores are a sample by weight, the least uniform values one without
+            score = rand.uniform(seed + i, "src", "dst") if weight is None else rand.exponential(F.col("weight"), seed + i, "src", "dst")
+            sample = rest if m <= size else rest.orderBy(score, "src", "dst").limit(size)
+            table = sample.select("src", "dst").toArrow()
             a, b, names = dense_ids(table.column("src").to_numpy(), table.column("dst").to_numpy())
             found = names[component_labels(len(names), a, b)]
             moved = found != names
-            import pandas as pd
-
             mapping = F.broadcast(spark.createDataFrame(pd.DataFrame({"old": names[moved], "new": found[moved]}), "old long, new long")) if moved.any() else None
         if mapping is not None:
             current = work.write(E.composed(current, mapping), f"labels-{i}")
-            rest = work.write(E.without_loops(E.canonical(E.relabel(rest, mapping))).distinct(), f"edges-{i}")
+            rest = work.write(merge(E.relabel(rest, mapping)), f"edges-{i}")
         n = max(2, n - int(np.sum(moved)) if i <= 12 else n)
     raise RuntimeError("components did not settle")
 

@@ -176,6 +176,22 @@ def prefix_sums(df: DataFrame, order: str, value: str, exclusive: bool = True, s
     return out.withColumn("offset", F.col("__run") + F.col("__before") - (F.col(value) if exclusive else 0)).drop("__part", "__run", "__before")
 
 
+def prefix_sums_by(df: DataFrame, order: list[str], value: str, shards: int = 64) -> DataFrame:
+    """df with offset, the sum of value over the rows before, in the order of columns (equal rows in any order), and __part, the range of rows it lies in."""
+    dealt = _dealt(df, order, shards, F.col(value))
+    return dealt.join(_before(dealt, F.sum(value)), "__part").withColumn("offset", F.col("__run") + F.col("__before") - F.col(value)).drop("__run", "__before")
+
+
+def block_totals(edges: DataFrame, rows: int) -> DataFrame:
+    """(block, edges, weight) of each block of so many consecutive source vertices, the unit in which a matrix's rows are dealt out."""
+    return edges.groupBy(F.floor(F.col("src") / rows).alias("block")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+
+
+def partition_totals(edges: DataFrame) -> DataFrame:
+    """(partition, edges, weight) of each partition in which the edges lie: a diagnostic of their distribution."""
+    return edges.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+
+
 def sortedness(df: DataFrame, order: list[str]) -> DataFrame:
     """(inversions): rows that come before their predecessor in a globally sorted and partitioned copy; 0 for a right sort."""
     ordered = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())

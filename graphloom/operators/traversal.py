@@ -171,3 +171,35 @@ def bisection(edges: DataFrame, rounds: int = 10, seed: int = 0) -> DataFrame:
     weakest = E.degrees(clean).agg(F.min_by("vertex", F.struct("weight", "vertex")).alias("weakest"))
     one = sides.agg((F.min("side") == F.max("side")).alias("one"))
     return sides.join(F.broadcast(one)).join(F.broadcast(weakest)).select("vertex", F.when(F.col("one") & (F.col("vertex") == F.col("weakest")), 1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+
+
+def kway_partition(edges: DataFrame, k: int, slack: float = 0.05, rounds: int = 8, seed: int = 0) -> DataFrame:
+    """(vertex, part): parts 0 to k - 1 of at most ceil((1 + slack) n / k) vertices each, by weighted label propagation within that bound from ranges of hashed vertices.
+
+    In a round a hashed half of the vertices asks for the part that most of its edges' weight leads to; of those that ask
+    for a part, the ones that gain most move, as many as there is room. The cut is a heuristic's, without any guarantee.
+    """
+    work = Workspace(prepare(edges.sparkSession), "kway")
+    links = work.write(E.symmetric(E.merged(edges)), "links")
+    numbered = E.ranked(E.vertices(edges).withColumn("draw", rand.uniform(seed, "vertex")), ["draw", "vertex"], "place")
+    n = numbered.count()
+    most = -(-int((1 + slack) * n) // k) if n else 0
+    most = max(most, -(-n // k))
+    parts = work.write(numbered.select("vertex", F.floor(F.col("place") * k / F.lit(max(n, 1))).cast("int").alias("part")), "part-0")
+    for i in range(1, rounds + 1):
+        pull = links.join(parts.toDF("dst", "to"), "dst").groupBy("src", "to").agg(F.sum("weight").alias("pull"))
+        best = pull.groupBy("src").agg(F.max(F.struct("pull", (-F.col("to")).alias("least"))).alias("best"))
+        own = pull.join(parts.toDF("src", "to"), ["src", "to"], "left_semi").select("src", F.col("pull").alias("stays"))
+        asks = best.join(parts.withColumnRenamed("vertex", "src"), "src").join(own, "src", "left").select(F.col("src").alias("vertex"), (-F.col("best.least")).alias("to"), (F.coalesce("stays", F.lit(0)) - F.col("best.pull")).alias("loss"), "part")
+        asks = work.write(asks.filter((F.col("to") != F.col("part")) & (F.col("loss") < 0) & (rand.uniform(seed + i, "vertex") < 0.5)).select("vertex", "to", "loss"), f"asks-{i}")
+        if asks.isEmpty():
+            if i > 3:
+                break
+            continue
+        placed = work.write(E.ranked(asks, ["to", "loss", "vertex"], "place"), f"placed-{i}")
+        first = placed.groupBy("to").agg(F.min("place").alias("first"))
+        room = parts.groupBy(F.col("part").alias("to")).agg((F.lit(most) - F.count("*")).alias("room"))  # a row a part, as first
+        moves = placed.join(F.broadcast(first), "to").join(F.broadcast(room), "to", "left").filter(F.col("place") - F.col("first") < F.coalesce("room", F.lit(most))).select("vertex", "to")
+        parts = work.write(parts.join(moves, "vertex", "left").select("vertex", F.coalesce("to", "part").cast("int").alias("part")), f"part-{i}")
+        work.drop(f"part-{i - 1}")
+    return parts

@@ -9,6 +9,8 @@ from ..session import prepare
 
 #: Added to part numbers where orders or suppliers are vertices too.
 PART_OFFSET = 1_000_000_000
+#: Added to order numbers where customers are vertices too, and to the vertices of a second copy of a graph.
+ORDER_OFFSET, COPY_OFFSET = 2_000_000_000, 4_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +23,25 @@ def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight"))
 
 
-def order_part_items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The line items of the order-part graph: those of full quantity at a high discount, or all."""
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of orders and parts: distinct edges of weight 1, from all line items."""
     items = table(spark, sf_dir, "lineitem")
-    return items if whole else items.filter("l_quantity >= 50 and l_discount >= 0.09")
+    return items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + PART_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight")).distinct()
 
 
-def order_parts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A graph of orders and parts (distinct edges of weight 1): of all line items, or the sparse one that the recursive SQL can follow."""
-    items = order_part_items(spark, sf_dir, whole)
-    return items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + PART_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight")).distinct()
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src customer, dst order, weight 1): a graph of many components, a star for each customer with orders."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.col("o_custkey").cast("long").alias("src"), (F.col("o_orderkey") + ORDER_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight"))
+
+
+def linked_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two copies of the supplier-part graph, joined by an edge of weight 1 for each region, between the copies of the supplier of the region's number plus 1: a planted cut."""
+    whole = supplier_parts(spark, sf_dir)
+    copy = whole.select((F.col("src") + COPY_OFFSET).alias("src"), (F.col("dst") + COPY_OFFSET).alias("dst"), "weight")
+    number = F.col("r_regionkey").cast("long") + 1
+    bridges = table(spark, sf_dir, "region").select(number.alias("src"), (number + COPY_OFFSET).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    return whole.union(copy).union(bridges)
 
 
 def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import connectivity as C
 from ..operators import edges as E
 from ..operators import matrix as M
 from ..operators import convert, flow, mincut, sampling, traversal
+from ..operators.components import connected_components as star_components
 from ..operators.components import small_or_large as connected_components
 from ..sources import generators as G
 from ..sources import graph_io
@@ -24,15 +25,23 @@ ORACLES: dict[str, str] = {}
 
 OFFSET = graphs.PART_OFFSET
 SP = f"sp as (select l_suppkey src, l_partkey + {OFFSET} dst, 1 weight from lineitem)"
-OP = f"op as (select distinct l_orderkey src, l_partkey + {OFFSET} dst, 1 weight from lineitem where l_quantity >= 50 and l_discount >= 0.09)"
+OP = f"op as (select distinct l_orderkey src, l_partkey + {OFFSET} dst, 1 weight from lineitem)"
+CO = f"co as (select o_custkey src, o_orderkey + {graphs.ORDER_OFFSET} dst, 1 weight from orders)"
 NT = """nt as (select s_nationkey src, c_nationkey dst, count(*) weight from lineitem join supplier on l_suppkey = s_suppkey
  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2)"""
 NM = f"{NT}, nm as (select least(src, dst) src, greatest(src, dst) dst, sum(weight)::bigint weight from nt where src <> dst group by 1, 2)"
 RG = f"""{NT}, rg as (select least(a.n_regionkey, b.n_regionkey) src, greatest(a.n_regionkey, b.n_regionkey) dst, sum(weight)::bigint weight
  from nt join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst where a.n_regionkey <> b.n_regionkey group by 1, 2)"""
-#: Least reachable vertex of each vertex of op.
-LABELS = f"""{OP}, both_ as (select src, dst from op union select dst, src from op), vs as (select distinct src v from both_),
- reach as (select v, v r from vs union select reach.v, dst from reach join both_ on src = r), labels as (select v vertex, min(r) component from reach group by 1)"""
+
+
+def _labels(edges: str, name: str) -> str:
+    """labels: the least reachable vertex of each vertex of a table of edges; a label that has fallen is handed on to the neighbours."""
+    return f"""{edges}, both_ as (select src, dst from {name} union select dst, src from {name}),
+ labels(vertex, component) using key (vertex) as (select distinct src, src from both_ union
+ select b.dst, min(l.component) from labels l join both_ b on b.src = l.vertex join recurring.labels r on r.vertex = b.dst where l.component < r.component group by b.dst)"""
+
+
+LABELS, STARS = _labels(OP, "op"), _labels(CO, "co")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -45,21 +54,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-#: The condition that keeps the recursive SQL cheap; the queries whole_... run without it.
-SPARSE = " where l_quantity >= 50 and l_discount >= 0.09"
-
-
-def order_part_query(sql: str, edges: Callable[..., DataFrame] = graphs.order_parts) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
-    """Registers a function of the edges twice: on the sparse graph with its SQL, and as whole_NAME on all line items, with SQL where that is not recursive."""
+def edge_query(sql: str, edges: Callable[[SparkSession, str], DataFrame] = graphs.order_parts) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    """Registers a function of the edges of a graph, by default of all orders and parts."""
 
     def register(function: Callable[[DataFrame], DataFrame]) -> Query:
-        name = function.__name__
-        QUERIES[name] = lambda spark, d: function(edges(spark, d))
-        QUERIES[f"whole_{name}"] = lambda spark, d: function(edges(spark, d, whole=True))
-        ORACLES[name] = sql
-        if "recursive" not in sql:
-            ORACLES[f"whole_{name}"] = sql.replace(SPARSE, "")
-        return QUERIES[name]
+        QUERIES[function.__name__] = lambda spark, d: function(edges(spark, d))
+        ORACLES[function.__name__] = sql
+        return QUERIES[function.__name__]
 
     return register
 
@@ -110,7 +111,7 @@ def edges_cleaned(spark, d):
     return E.cleaned(graphs.supplier_parts(spark, d))
 
 
-@order_part_query(f"with {OP} select src, dst from op")
+@edge_query(f"with {OP} select src, dst from op")
 def edges_unweighted(edges):
     return edges.select("src", "dst")
 
@@ -118,8 +119,7 @@ def edges_unweighted(edges):
 @query(f"with {NM} select src::bigint src, dst::bigint dst, weight from nm where weight >= (select avg(weight) from nm)")
 def heavy_edges(spark, d):
     merged = E.merged(graphs.nation_trade(spark, d))
-    bound = merged.agg(F.avg("weight").alias("bound"))
-    return merged.join(F.broadcast(bound)).filter(F.col("weight") >= F.col("bound")).drop("bound")
+    return E.heavy(merged, merged.agg(F.avg("weight")).first()[0])
 
 
 @query(f"with {NM} select src::bigint src, dst::bigint dst, min(weight)::double score from nm group by 1, 2")
@@ -148,7 +148,7 @@ def total_weight(spark, d):
     return graphs.supplier_parts(spark, d).agg(F.sum("weight").alias("total"), F.count("*").alias("edges"))
 
 
-@order_part_query(f"with {OP} select src vertex from op union select dst from op")
+@edge_query(f"with {OP} select src vertex from op union select dst from op")
 def distinct_vertices(edges):
     return E.vertices(edges)
 
@@ -175,32 +175,32 @@ def relabel_by_map(spark, d):
     return E.relabel(graphs.nation_trade(spark, d), graphs.nation_regions(spark, d))
 
 
-@order_part_query(f"with recursive {LABELS} select vertex, component, dense_rank() over (order by component) - 1 dense from labels")
+@edge_query(f"with recursive {STARS} select vertex, component, dense_rank() over (order by component) - 1 dense from labels", graphs.customer_orders)
 def relabel_dense(edges):
     return _longs(E.dense_labels(connected_components(edges)).select("vertex", "component", "dense"))
 
 
-@order_part_query(f"with {OP} select v old, row_number() over (order by v) - 1 new from (select src v from op union select dst from op)")
+@edge_query(f"with {OP} select v old, row_number() over (order by v) - 1 new from (select src v from op union select dst from op)")
 def relabel_sorted(edges):
     return _longs(E.relabel_sorted(edges).select("old", "new"))
 
 
-FIRST = f"""pairs as (select l_orderkey src, l_partkey + {OFFSET} dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) pos from lineitem where l_quantity >= 50 and l_discount >= 0.09),
+FIRST = f"""pairs as (select l_orderkey src, l_partkey + {OFFSET} dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) pos from lineitem),
  seen as (select v, min(pos) pos from (select src v, 2 * pos pos from pairs union all select dst, 2 * pos + 1 from pairs) group by 1), named as (select v old, row_number() over (order by pos) - 1 new from seen)"""
 
 
-def _pairs(spark, d, whole=False):
-    items = graphs.order_part_items(spark, d, whole)
+def _pairs(spark, d):
+    items = graphs.table(spark, d, "lineitem")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return E.ranked(items.select(*order), order, "at", 8).select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), (F.col("at") + 1).alias("at"))
 
 
-@order_part_query(f"with {FIRST} select old, new from named", _pairs)
+@edge_query(f"with {FIRST} select old, new from named", _pairs)
 def relabel_first_seen(pairs):
     return _longs(E.relabel_first_seen(pairs, "at").select("old", "new"))
 
 
-@order_part_query(f"with {FIRST} select a.new src, b.new dst, 1::bigint weight, pos as \"at\" from pairs join named a on a.old = src join named b on b.old = dst where a.new <> b.new", _pairs)
+@edge_query(f"with {FIRST} select a.new src, b.new dst, 1::bigint weight, pos as \"at\" from pairs join named a on a.old = src join named b on b.old = dst where a.new <> b.new", _pairs)
 def snap_normalize(pairs):
     return _longs(graph_io.normalised(pairs).select("src", "dst", "weight", "at"))
 
@@ -217,9 +217,29 @@ def prefix_offsets(spark, d):
     return E.prefix_sums(graphs.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey").select("o_orderkey", "o_custkey", "offset")
 
 
-@query("select 0::bigint inversions")
+@query("select count(*) as \"rows\", 0::bigint inversions from lineitem")
 def global_sort_check(spark, d):
-    return _longs(E.sortedness(graphs.table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey", "l_orderkey", "l_linenumber"]))
+    items = graphs.table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    rows = items.agg(F.count("*").alias("rows"))
+    return rows.join(F.broadcast(_longs(E.sortedness(items, ["l_partkey", "l_orderkey", "l_linenumber"]))))
+
+
+@query("select l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() over (order by l_partkey, l_orderkey, l_linenumber, l_suppkey) - 1 place from lineitem")
+def global_sort(spark, d):
+    order = ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"]
+    return E.ranked(graphs.table(spark, d, "lineitem").select(*order), order, "place").select(*order, F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {SP} select (src // 10)::bigint as block, count(*) edges, sum(weight)::bigint weight from sp group by 1")
+def block_totals(spark, d):
+    return E.block_totals(graphs.supplier_parts(spark, d), 10)
+
+
+@query(f"with {SP} select count(*) edges, sum(weight)::bigint weight from sp")
+def partition_totals(spark, d):
+    """What the partitions' totals add up to, whatever the partitions are."""
+    totals = E.partition_totals(graphs.supplier_parts(spark, d).repartition(7, "dst"))
+    return totals.agg(F.sum("edges").alias("edges"), F.sum("weight").alias("weight"))
 
 
 @query(f"""with {NT}, e as (select src, dst, weight from nt), d as (select v, count(*) n from (select src v from e union all select dst from e) group by 1)
@@ -228,13 +248,13 @@ def graph_summary(spark, d):
     return _longs(E.graph_summary(graphs.nation_trade(spark, d)))
 
 
-@order_part_query(f"""with {OP}, d as (select v, count(*) n from (select src v from op union all select dst from op) group by 1), hubs as (select v from d where n > 2)
+@edge_query(f"""with {OP}, d as (select v, count(*) n from (select src v from op union all select dst from op) group by 1), hubs as (select v from d where n > 2)
  select src, dst, weight::bigint weight from op where src not in (select v from hubs) and dst not in (select v from hubs)""")
 def edges_without_hubs(edges):
     return E.without_hubs(edges, 2)
 
 
-@order_part_query(f"""with {OP}, both_ as (select src, dst from op union all select dst, src from op), d as (select src v, count(*) n from both_ group by 1),
+@edge_query(f"""with {OP}, both_ as (select src, dst from op union all select dst, src from op), d as (select src v, count(*) n from both_ group by 1),
  best as (select src, max(n) best from both_ join d on v = dst group by 1) select src old, row_number() over (order by best desc, src) - 1 new from best""")
 def relabel_by_neighbour_degree(edges):
     return _longs(E.relabel_by_neighbour_degree(edges).select("old", "new"))
@@ -243,52 +263,80 @@ def relabel_by_neighbour_degree(edges):
 # components
 
 
-@order_part_query(f"with recursive {LABELS} select vertex, component from labels")
+@edge_query(f"with recursive {LABELS} select vertex, component from labels")
 def components_labels(edges):
     return connected_components(edges)
 
 
-@order_part_query(f"with recursive {LABELS} select vertex, component from labels")
+@edge_query(f"with recursive {LABELS} select vertex, component from labels")
 def components_sampled(edges):
     return C.sampled_components(edges)
 
 
-@order_part_query(f"with recursive {LABELS} select count(distinct component) components from labels")
+@edge_query(f"with recursive {LABELS} select vertex, component from labels")
+def components_star(edges):
+    """By star contraction, whatever the size."""
+    return star_components(edges)
+
+
+@edge_query(f"with recursive {STARS} select vertex, component from labels", graphs.customer_orders)
+def components_star_many(edges):
+    return star_components(edges)
+
+
+@edge_query(f"with recursive {LABELS} select vertex, component from labels")
+def components_sampled_rounds(edges):
+    """With samples of far fewer edges than the graph has."""
+    return C.sampled_components(edges, sample_edges=5000)
+
+
+@edge_query(f"with recursive {LABELS} select vertex, component from labels")
+def components_sampled_by_weight(edges):
+    return C.sampled_components(edges.withColumn("weight", F.col("src") % 7 + 1), sample_edges=5000, weight="weight")
+
+
+@edge_query(f"with recursive {STARS} select vertex, component from labels", graphs.customer_orders)
+def components_divided(edges):
+    """The edges in four parts, each labelled by star contraction, and the labels joined."""
+    return C.divided_components(edges, 4, kernel_edges=0)
+
+
+@edge_query(f"with recursive {LABELS} select count(distinct component) components from labels")
 def component_count(edges):
     return C.component_count(connected_components(edges))
 
 
-@order_part_query(f"with recursive {LABELS} select component, count(*) size from labels group by 1")
+@edge_query(f"with recursive {STARS} select component, count(*) size from labels group by 1", graphs.customer_orders)
 def component_sizes(edges):
     return C.component_sizes(connected_components(edges))
 
 
-@order_part_query(f"with recursive {LABELS}, s as (select component, count(*) size from labels group by 1) select component, size from s order by size desc, component limit 1")
+@edge_query(f"with recursive {STARS}, s as (select component, count(*) size from labels group by 1) select component, size from s order by size desc, component limit 1", graphs.customer_orders)
 def largest_component(edges):
     return C.largest_component(connected_components(edges))
 
 
-@order_part_query(f"with recursive {LABELS} select count(distinct component) = 1 connected from labels")
+@edge_query(f"with recursive {LABELS} select count(distinct component) = 1 connected from labels")
 def is_connected(edges):
     return C.is_connected(connected_components(edges))
 
 
-@order_part_query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1), top as (select component from s order by size desc, component limit 1)
- select count(*) outside from labels where component <> (select component from top)""")
+@edge_query(f"""with recursive {STARS}, s as (select component, count(*) size from labels group by 1), top as (select component from s order by size desc, component limit 1)
+ select count(*) outside from labels where component <> (select component from top)""", graphs.customer_orders)
 def connectivity_repair_needed(edges):
     labelled = connected_components(edges)
     top = C.largest_component(labelled).select(F.col("component").alias("main"))
     return labelled.join(F.broadcast(top)).filter("component <> main").agg(F.count("*").alias("outside"))
 
 
-@order_part_query(f"""with recursive {LABELS}, s as (select component, count(*) size from labels group by 1)
- select true connected, (select count(*) from op)::bigint + (select sum(size) - max(size) from s)::bigint edges""")
+@edge_query(f"""with recursive {STARS}, s as (select component, count(*) size from labels group by 1)
+ select true connected, (select count(*) from co)::bigint + (select sum(size) - max(size) from s)::bigint edges""", graphs.customer_orders)
 def connectivity_repaired(edges):
     fixed = C.repaired(edges, connected_components(edges))
     return C.is_connected(connected_components(fixed)).join(F.broadcast(fixed.agg(F.count("*").alias("edges"))))
 
 
-@order_part_query(f"with recursive {LABELS} select vertex, component % 7 component from labels")
+@edge_query(f"with recursive {STARS} select vertex, component % 7 component from labels", graphs.customer_orders)
 def labels_composed(edges):
     labelled = connected_components(edges)
     mapping = labelled.select(F.col("component").alias("old"), (F.col("component") % 7).alias("new")).distinct()
@@ -328,41 +376,88 @@ def region_min_cut_variants(spark, d):
     return low.union(high).union(mincut.minimum_cut(edges)).select("cut_value", "variant")
 
 
-@query("select true within_degree_bound, true crosses")
+#: The nations' minimum cut: that of the weakest of the 25 nations, if the 46 lightest of all 300 pairs together weigh as much, since every other cut has 2 * 23 pairs or more (null if they do not).
+WEAKEST = f"""{NM}, w as (select v, sum(weight)::bigint w from (select src v, weight from nm union all select dst, weight from nm) group by 1),
+ lightest as (select sum(weight) total from (select weight, row_number() over (order by weight) + 300 - count(*) over () k from nm) where k <= 46),
+ weakest as (select case when coalesce((select total from lightest), 0) >= min(w) then min(w) end cut from w)"""
+
+
+@query(f"with {WEAKEST} select cut cut_value, cut crossing, cut bound, 1::bigint side_size from weakest")
 def nation_min_cut_bounds(spark, d):
-    """The exact cut is no heavier than the weakest vertex, and the edges across its side weigh just as much."""
+    """The exact cut, what the edges across its side weigh, the weakest vertex and the size of the side."""
     edges = graphs.nation_trade(spark, d)
     cut = mincut.minimum_cut(edges)
     side = E.vertices(edges).join(cut.select(F.explode("side").alias("vertex"), F.lit(1).alias("one")), "vertex", "left").select("vertex", F.coalesce("one", F.lit(0)).alias("side"))
-    value = E.cut_value(E.merged(edges), side).select(F.col("cut_value").alias("checked"))
-    bound = E.least_degree(edges)
-    return cut.join(F.broadcast(value)).join(F.broadcast(bound)).select((F.col("cut_value") <= F.col("bound")).alias("within_degree_bound"), (F.col("cut_value") == F.col("checked")).alias("crosses"))
+    value = E.cut_value(E.merged(edges), side).select(F.col("cut_value").alias("crossing"))
+    return cut.join(F.broadcast(value)).join(F.broadcast(E.least_degree(edges))).select("cut_value", "crossing", "bound", F.size("side").cast("long").alias("side_size"))
+
+
+PLANTED = f"with {SP}, v as (select src from sp union select dst from sp) select (select count(*) from region) cut_value, (select count(*) from v) side_size, (select sum(src)::bigint from v) side_sum"
+
+
+def _planted(cut: DataFrame) -> DataFrame:
+    sides = cut.select("cut_value", F.size("side").cast("long").alias("side_size"), F.explode("side").alias("vertex"))
+    return sides.groupBy("cut_value", "side_size").agg(F.sum("vertex").alias("side_sum"))
+
+
+@query(PLANTED)
+def planted_cut_low(spark, d):
+    """The planted cut of two copies of the supplier-part graph and its side, by whole trials of random contraction."""
+    return _planted(mincut.minimum_cut(graphs.linked_copies(spark, d), exact_vertices=1, prune=False, max_trials=4))
+
 
+@query(PLANTED)
+def planted_cut_high(spark, d):
+    """The same by trials that shrink, and branch, as one distributed graph."""
+    return _planted(mincut.minimum_cut(graphs.linked_copies(spark, d), exact_vertices=1, prune=False, max_trials=2, broadcast_edges=0, task_vertices=300))
 
-@query('select true found, true as "within"')
+
+@query(PLANTED)
+def planted_cut_exact(spark, d):
+    return _planted(mincut.minimum_cut(graphs.linked_copies(spark, d)))
+
+
+@query(f"with {WEAKEST} select true found, cut cut_value, true as \"within\" from weakest")
 def approx_cut_within_bound(spark, d):
     """The approximation is within a factor of 8 log2(n) of the exact cut."""
     edges = graphs.nation_trade(spark, d)
     near = mincut.approximate_cut(edges)
     exact = mincut.minimum_cut(edges).select("cut_value")
-    return near.join(F.broadcast(exact)).select("found", ((F.col("weight") <= 40 * F.col("cut_value")) & (F.col("cut_value") <= 40 * F.col("weight"))).alias("within"))
+    return near.join(F.broadcast(exact)).select("found", "cut_value", ((F.col("weight") <= 40 * F.col("cut_value")) & (F.col("cut_value") <= 40 * F.col("weight"))).alias("within"))
 
 
-@query("select 32000::bigint vertices, true within_degree_bound, true exact")
+@query()
 def small_world_min_cut(spark, d):
-    """The exact cut of a small-world graph of 32,000 vertices and some 500,000 edges."""
+    """The exact cut of a small-world graph of 32,000 vertices and some 500,000 edges; without SQL, as the graph is made of hashes: tests/test_graph_operators.py has a smaller one against brute force."""
     edges = G.small_world(spark, 32_000, 32, 0.3, seed=1)
     cut = mincut.minimum_cut(edges, sides=False)
     counts = E.graph_summary(edges).select("vertices")
-    return cut.join(F.broadcast(E.least_degree(edges))).join(F.broadcast(counts)).select("vertices", (F.col("cut_value") <= F.col("bound")).alias("within_degree_bound"), (F.col("variant") == "exact").alias("exact"))
+    return cut.join(F.broadcast(E.least_degree(edges))).join(F.broadcast(counts)).select("vertices", "cut_value", "bound", "variant")
+
+
+@query("select 300::bigint vertices, 1500::bigint edges, (10 * 7)::bigint cut_value")
+def ring_lattice_min_cut(spark, d):
+    """The exact cut of a ring lattice of 300 vertices of degree 10, that is of one vertex, in closed form."""
+    edges = G.ring_lattice(spark, 300, 5, 7)
+    counts = E.graph_summary(edges).select("vertices", "edges")
+    return mincut.minimum_cut(edges, sides=False).select("cut_value").join(F.broadcast(counts)).select("vertices", "edges", "cut_value")
 
 
-@query("select true upper_bound")
+@query(f"with {WEAKEST} select cut as \"exact\", true upper_bound from weakest")
 def bisection_bound(spark, d):
     edges = graphs.nation_trade(spark, d)
     value = E.cut_value(E.merged(edges), traversal.bisection(edges, 4))
     exact = mincut.minimum_cut(edges).select(F.col("cut_value").alias("exact"))
-    return value.join(F.broadcast(exact)).select((F.col("cut_value") >= F.col("exact")).alias("upper_bound"))
+    return value.join(F.broadcast(exact)).select("exact", (F.col("cut_value") >= F.col("exact")).alias("upper_bound"))
+
+
+@query(f"with {SP}, v as (select src v from sp union select dst from sp) select count(*) vertices, 4::bigint parts, 0::bigint too_large from v")
+def kway_partition_sizes(spark, d):
+    """Four parts of the supplier-part graph: none larger than its share and a twentieth more."""
+    parts = traversal.kway_partition(graphs.supplier_parts(spark, d), 4, 0.05)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.sum("size").alias("vertices"), F.count("*").alias("parts"), F.max("size").alias("most"))
+    return total.select("vertices", "parts", (F.col("most") > F.ceil(F.col("vertices") * 1.05 / 4)).cast("long").alias("too_large"))
 
 
 @query(f"with {RG}, st as (select sum(weight) w from (select unnest(range(1, 16)) mask), rg where (mask & 1) = 1 and ((mask >> 1) & 1) = 0 and ((mask >> src) & 1) <> ((mask >> dst) & 1) group by mask) select min(w)::bigint cut_value from st")
@@ -370,13 +465,13 @@ def region_separation(spark, d):
     return flow.st_min_cut(_longs(_regions(spark, d)), 0, 1).select("cut_value")
 
 
-@query("select true valid, true covers")
+@query("select count(distinct l_partkey) size, true valid, true covers from lineitem")
 def matching_valid(spark, d):
-    """No vertex is matched twice, and no edge between unmatched vertices is left."""
-    edges = graphs.order_parts(spark, d, whole=True)
+    """All parts are matched (each is in more orders than could be taken from it); no vertex is matched twice, and no edge between unmatched vertices is left."""
+    edges = graphs.order_parts(spark, d)
     found = flow.bipartite_matching(edges)
     used = found.select(F.explode(F.array("src", "dst")).alias("vertex"))
-    valid = used.agg((F.count("*") == F.countDistinct("vertex")).alias("valid"))
+    valid = used.agg(F.floor(F.count("*") / 2).alias("size"), (F.count("*") == F.countDistinct("vertex")).alias("valid"))
     free = edges.join(used, F.col("src") == F.col("vertex"), "left_anti").join(used, F.col("dst") == F.col("vertex"), "left_anti").agg((F.count("*") == 0).alias("covers"))
     return valid.join(F.broadcast(free))
 
@@ -449,7 +544,7 @@ def matrix_to_edges(spark, d):
     return M.to_edges(M.from_edges(graphs.nation_trade(spark, d)))
 
 
-@order_part_query(f"with {OP}, both_ as (select src, dst from op union all select dst, src from op) select src vertex, string_agg(dst::varchar, ',' order by dst) neighbours from both_ group by 1")
+@edge_query(f"with {OP}, both_ as (select src, dst from op union all select dst, src from op) select src vertex, string_agg(dst::varchar, ',' order by dst) neighbours from both_ group by 1")
 def csr_rows(edges):
     return E.adjacency(edges).select("vertex", F.array_join(F.transform("neighbours", lambda x: x["dst"].cast("string")), ",").alias("neighbours"))
 
@@ -498,7 +593,7 @@ def known_cuts(spark, d):
     return out
 
 
-@query("select true no_loops, true in_range, true near_expected")
+@query()
 def random_graphs_valid(spark, d):
     """Erdos-Renyi, R-MAT, small world, preferential attachment, regular and similarity graphs: ends in range, no loops, sizes as expected."""
     n = 500
@@ -513,13 +608,13 @@ def random_graphs_valid(spark, d):
 # samples, plans, statistics
 
 
-@query("select true uniform_rate, true weighted_size, true heavier, true thinned")
+@query(f"with {SP}, e as (select distinct src, dst from sp) select true uniform_rate, greatest(50, count(*) // 20)::bigint weighted_size, true heavier, true thinned from e")
 def samples_valid(spark, d):
     edges = E.merged(graphs.supplier_parts(spark, d)).select("src", "dst", (F.col("dst") % 100 + 1).alias("weight"))
     n = edges.count()
     a = sampling.uniform_sample(edges, 0.25, 3).agg((F.abs(F.count("*") / n - 0.25) < 0.05).alias("uniform_rate"))
     size = max(50, n // 20)
-    b = sampling.weighted_sample(edges, size, 3).agg((F.count("*") == size).alias("weighted_size"), F.avg("weight").alias("mean"))
+    b = sampling.weighted_sample(edges, size, 3).agg(F.count("*").alias("weighted_size"), F.avg("weight").alias("mean"))
     mean = edges.agg(F.avg("weight").alias("all"))
     c = sampling.thinned(edges, F.lit(3), 3).agg(F.count("*").alias("kept"))
     expected = edges.agg(F.sum(1 - F.pow(F.lit(1 - 2.0**-3), F.col("weight"))).alias("expected"))
@@ -527,7 +622,19 @@ def samples_valid(spark, d):
     return rows.select("uniform_rate", "weighted_size", (F.col("mean") > F.col("all") * 1.1).alias("heavier"), (F.abs(F.col("kept") / F.col("expected") - 1) < 0.05).alias("thinned"))
 
 
-@query("select true mean, true variance, true same")
+@query(f"with {SP}, e as (select src, dst, count(*) weight from sp group by 1, 2) select 20000::bigint draws, true from_edges, true even, true proportional")
+def draws_with_replacement(spark, d):
+    """20,000 draws of edges with replacement, all alike and by weight: all are edges; the mean of a value over the draws is its mean over the edges, plain or weighted."""
+    edges = E.merged(graphs.supplier_parts(spark, d)).select("src", "dst", (F.col("dst") % 100 + 1).alias("weight"))
+    mean = edges.agg(F.avg("weight").alias("plain"), (F.sum(F.col("weight") * F.col("weight")) / F.sum("weight")).alias("weighted"))
+    alike, heavy = sampling.with_replacement(edges, 20_000, 5), sampling.with_replacement(edges, 20_000, 6, "weight")
+    known = alike.union(heavy).join(edges, ["src", "dst", "weight"], "left_semi").agg((F.count("*") == 40_000).alias("from_edges"))
+    a = alike.agg(F.countDistinct("draw").alias("draws"), F.avg("weight").alias("a"))
+    rows = a.join(F.broadcast(heavy.agg(F.avg("weight").alias("b")))).join(F.broadcast(mean)).join(F.broadcast(known))
+    return rows.select("draws", "from_edges", (F.abs(F.col("a") / F.col("plain") - 1) < 0.03).alias("even"), (F.abs(F.col("b") / F.col("weighted") - 1) < 0.03).alias("proportional"))
+
+
+@query()
 def hashed_uniform_valid(spark, d):
     u = spark.range(0, 100_000, 1, 7).select("id", rand.uniform(5, "id").alias("u"))
     again = spark.range(0, 100_000, 1, 3).select("id", rand.uniform(5, "id").alias("v"))
@@ -593,23 +700,24 @@ def event_windows(spark, d):
 # traversals
 
 
-@order_part_query(f"""with recursive {OP}, both_ as (select src, dst from op union select dst, src from op), s as (select min(src) v from op),
- walk as (select v, 0 level from s union select dst, level + 1 from walk join both_ on src = v where level < 40) select v vertex, min(level)::int level from walk group by 1""")
+@edge_query(f"""with recursive {OP}, both_ as (select src, dst from op union select dst, src from op),
+ walk(vertex, level) using key (vertex) as (select min(src), 0 from op union
+ select b.dst, min(w.level) + 1 from walk w join both_ b on b.src = w.vertex left join recurring.walk r on r.vertex = b.dst where r.level is null group by b.dst) select vertex, level from walk""")
 def bfs_levels(edges):
     return traversal.bfs_levels(edges, [edges.agg(F.min("src")).first()[0]])
 
 
-SS = f"ss as (select l_orderkey src, l_partkey + {OFFSET} dst, min(l_linenumber) weight from lineitem where l_quantity >= 50 and l_discount >= 0.09 group by 1, 2)"
+SS = f"ss as (select l_orderkey src, l_partkey + {OFFSET} dst, min(l_linenumber) weight from lineitem group by 1, 2)"
 
 
-def _steps(spark, d, whole=False):
-    items = graphs.order_part_items(spark, d, whole)
-    return items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), F.col("l_linenumber").cast("long").alias("weight"))
+def _steps(spark, d):
+    return graphs.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), F.col("l_linenumber").cast("long").alias("weight"))
 
 
-@order_part_query(f"""with recursive {SS}, both_ as (select src, dst, weight from ss union all select dst, src, weight from ss), s as (select min(src) v from ss),
- walk as (select v, 0::bigint distance, 0 hops from s union select dst, distance + weight, hops + 1 from walk join both_ on src = v where hops < 12)
- select (select v from s) source, v vertex, min(distance) distance from walk group by 1, 2""", _steps)
+@edge_query(f"""with recursive {SS}, both_ as (select src, dst, weight from ss union all select dst, src, weight from ss),
+ walk(vertex, distance) using key (vertex) as (select min(src), 0::bigint from ss union
+ select b.dst, min(w.distance + b.weight) from walk w join both_ b on b.src = w.vertex left join recurring.walk r on r.vertex = b.dst where r.distance is null or w.distance + b.weight < r.distance group by b.dst)
+ select (select min(src) from ss) source, vertex, distance::bigint distance from walk""", _steps)
 def sssp(edges):
     return traversal.shortest_paths(edges, [edges.agg(F.min("src")).first()[0]])
 
@@ -624,19 +732,19 @@ def pagerank_k(spark, d):
     return traversal.pagerank(graphs.nation_trade(spark, d), 3).select("vertex", F.round("rank", 6).alias("rank"))
 
 
-@order_part_query(f"with recursive {LABELS} select ((select count(*) from labels) - (select count(distinct component) from labels))::bigint edges, ((select count(*) from labels) - (select count(distinct component) from labels))::bigint weight")
+@edge_query(f"with recursive {LABELS} select ((select count(*) from labels) - (select count(distinct component) from labels))::bigint edges, ((select count(*) from labels) - (select count(distinct component) from labels))::bigint weight")
 def spanning_forest_weight(edges):
     return traversal.spanning_forest(edges).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
-@query("select true independent, true maximal")
+@query(f"with {OP} select count(*) vertices, true independent, true maximal from (select src from op union select dst from op)")
 def independent_set_valid(spark, d):
-    edges = graphs.order_parts(spark, d, whole=True)
+    edges = graphs.order_parts(spark, d)
     chosen = traversal.independent_set(edges)
     inside = edges.join(chosen, edges["src"] == chosen["vertex"], "left_semi").join(chosen, F.col("dst") == chosen["vertex"], "left_semi").agg((F.count("*") == 0).alias("independent"))
     near = E.symmetric(edges).join(chosen, F.col("src") == F.col("vertex"), "left_semi").select(F.col("dst").alias("vertex")).union(chosen).distinct()
     outside = E.vertices(edges).join(near, "vertex", "left_anti").agg((F.count("*") == 0).alias("maximal"))
-    return inside.join(F.broadcast(outside))
+    return E.vertices(edges).agg(F.count("*").alias("vertices")).join(F.broadcast(inside)).join(F.broadcast(outside))
 
 
 @query("select i vertex, (2.0 * i * (9 - i))::double score from (select unnest(range(10)) i)")

@@ -176,3 +176,68 @@ def test_statistics(spark):
     assert (got["a"].median, got["a"].ci_lo, got["a"].ci_hi) == (10.5, 5.0, 15.0)
     assert (got["b"].median, got["b"].ci_lo) == (1.5, None)
     assert stats.trend(spark.createDataFrame([(1.0, 3.0), (2.0, 5.0)], "x double, y double"), "x", "y").first() == (2.0, 1.0)
+
+
+def planted(rng, n, bridges):
+    """Two dense clusters of n vertices and so many edges of weight 1 between them."""
+    rows = [(c * n + i, c * n + j, rng.randint(5, 9)) for c in range(2) for i in range(n) for j in range(i) if rng.random() < 0.3]
+    return rows + [(i, n + i, 1) for i in range(bridges)]
+
+
+def test_shrinking_branching_trials_find_the_planted_side(spark):
+    rows = planted(random.Random(2), 160, 7)
+    for options in ({"broadcast_edges": 0, "task_vertices": 150}, {"broadcast_edges": 0}, {}):
+        for prune in (False, True):
+            got = mincut.minimum_cut(frame(spark, rows), exact_vertices=1, prune=prune, max_trials=2, **options).first()
+            assert (got.cut_value, got.side, got.variant) == (7, list(range(160)), "high" if options else "low"), options
+
+
+def test_small_world_cut_against_flows(spark):
+    """The exact cut is the least of the cuts between one vertex and each other."""
+    from graphloom.operators.flow import max_flow
+
+    import numpy as np
+
+    g = generators.small_world(spark, 60, 6, 0.3, seed=4)
+    rows = [tuple(r) for r in g.collect()]
+    names = sorted({v for a, b, _ in rows for v in (a, b)})
+    at = {v: i for i, v in enumerate(names)}
+    a, b, w = (np.array(x) for x in zip(*((at[x], at[y], z) for x, y, z in rows), strict=True))
+    want = min(max_flow(len(names), a, b, w, 0, t)[0] for t in range(1, len(names)))
+    assert mincut.minimum_cut(g).first().cut_value == want
+
+
+def test_components_by_weight_and_by_parts(spark):
+    rng = random.Random(6)
+    rows = random_graph(rng, 300, 240)
+    g = frame(spark, rows)
+    want = sorted(tuple(r) for r in connected_components(g).collect())
+    assert sorted(tuple(r) for r in connectivity.sampled_components(g, sample_edges=40, weight="weight").collect()) == want
+    for parts in (1, 3):
+        assert sorted(tuple(r) for r in connectivity.divided_components(g, parts, kernel_edges=0).collect()) == want
+    assert connectivity.divided_components(g.limit(0)).collect() == []
+
+
+def test_draws_with_replacement(spark):
+    from graphloom.operators import sampling
+
+    g = frame(spark, [(0, 1, 1), (1, 2, 0), (2, 3, 97), (3, 4, 2), (3, 4, 2), (5, 5, -4)])
+    drawn = sampling.with_replacement(g, 4000, 3, "weight", shards=3).collect()
+    assert sorted(r.draw for r in drawn) == list(range(4000))
+    count = lambda *edge: sum(tuple(r)[1:] == edge for r in drawn)
+    assert count(1, 2, 0) == count(5, 5, -4) == 0 and 3700 < count(2, 3, 97) < 3900 and 100 < count(3, 4, 2) < 220
+    again = sampling.with_replacement(g.repartition(5), 4000, 3, "weight", shards=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
+    even = sampling.with_replacement(g, 6000, 4).groupBy("src").count().collect()
+    assert all(800 < r["count"] < 1200 or r["src"] == 3 and 1700 < r["count"] < 2300 for r in even)
+    assert sampling.with_replacement(g.limit(0), 5, 1).collect() == []
+
+
+def test_kway_partition_keeps_its_bound(spark):
+    rows = [(c * 20 + i, c * 20 + j, 5) for c in range(4) for i in range(20) for j in range(i)] + [(20 * c, (20 * c + 20) % 80, 1) for c in range(4)]
+    parts = {r.vertex: r.part for r in traversal.kway_partition(frame(spark, rows), 4, 0.1, rounds=12).collect()}
+    sizes = [list(parts.values()).count(p) for p in range(4)]
+    assert len(parts) == 80 and max(sizes) <= 22
+    start = {r.vertex: r.part for r in traversal.kway_partition(frame(spark, rows), 4, 0.1, rounds=0).collect()}
+    cut = lambda of: sum(w for a, b, w in rows if of[a] != of[b])
+    assert cut(parts) < cut(start) and traversal.kway_partition(frame(spark, []), 4).collect() == []

@@ -30,7 +30,7 @@ from .mtree import groups
 #: Vectors a centre stands for, centres at most, vectors of a part.
 CELL, MAX_CENTRES, PART = 2048, 4096, 4096
 OVERLAP, PROBES = 2, 4
-DEGREE, NEAR, ALPHA, BEAM = 24, 64, 1.2, 24
+DEGREE, NEAR, ALPHA, BEAM = 24, 64, 1.2, 8
 #: Nodes of the audit's first and largest sample, nodes with links that it should hold, the recall it asks for.
 AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKED, AUDIT_RECALL = 64, 4096, 32, 0.98
 #: What single precision may lose; candidates this far below the threshold are verified.
@@ -103,45 +103,42 @@ def _connected(graph: np.ndarray, medoid: int) -> np.ndarray:
     return graph
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, query: np.ndarray, starts: list[int], least: float) -> list[int]:
-    """Nodes with a product of at least least that a greedy search from starts reaches; in range it expands every neighbour."""
+def range_search(x: np.ndarray, graph: np.ndarray, query: np.ndarray, starts: list[int], least: float) -> np.ndarray:
+    """Nodes with a product of at least least that a greedy search from starts reaches; in range it expands every neighbour, all new ones at a time."""
     visited = np.zeros(len(x), bool)
-    first = np.array(sorted(set(starts)))
-    visited[first] = True
-    found: list[int] = []
+    nodes = np.unique(np.array(starts))
+    found: list[np.ndarray] = []
     queue: list[tuple[float, int]] = []
     best: list[float] = []  # the BEAM best products so far, least first
-
-    def add(nodes: np.ndarray) -> None:
-        for s, i in zip((x[nodes] @ query).tolist(), nodes.tolist(), strict=True):
-            if s >= least:
-                found.append(i)
-            elif len(best) == BEAM and s <= best[0]:
+    while True:
+        visited[nodes] = True
+        products = x[nodes] @ query
+        hit = products >= least
+        inside = nodes[hit]
+        if len(inside):
+            found.append(inside)
+            for s in np.sort(products[hit])[-BEAM:].tolist():
+                heapq.heappush(best, s)
+                if len(best) > BEAM:
+                    heapq.heappop(best)
+        near = ~hit if len(best) < BEAM else ~hit & (products > best[0])
+        for s, i in zip(products[near].tolist(), nodes[near].tolist(), strict=True):
+            if len(best) == BEAM and s <= best[0]:
                 continue
             heapq.heappush(queue, (-s, i))
             heapq.heappush(best, s)
             if len(best) > BEAM:
                 heapq.heappop(best)
-
-    add(first)
-    while queue:
-        s, i = heapq.heappop(queue)
-        if -s < least and len(best) == BEAM and -s < best[0]:
-            break
-        nodes = graph[i]
-        nodes = nodes[nodes >= 0]
-        nodes = nodes[~visited[nodes]]
-        if len(nodes):
-            visited[nodes] = True
-            add(nodes)
-    return found
-
-
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+        following = graph[inside].reshape(-1) if len(inside) else np.zeros(0, np.int32)
+        while True:
+            following = following[following >= 0]
+            following = following[~visited[following]]
+            if len(following):
+                break
+            if not queue or len(best) == BEAM and -queue[0][0] < best[0]:
+                return np.concatenate(found) if found else np.zeros(0, np.int64)
+            following = graph[heapq.heappop(queue)[1]]
+        nodes = np.unique(following) if len(inside) > 1 else following
 
 
 class _Index:
@@ -233,7 +230,7 @@ class _Index:
 def _opened(rows: pa.Table, width: int, exact: bool = False) -> dict:
     names = rows.column("node").to_numpy()  # in order
     x = _matrix(rows.column("x"), width)
-    state = {"names": names, "x": x, "small": x.astype(np.float32), "n": rows.column("n").to_numpy(), "parent": list(range(len(names))), "linked": np.zeros(len(names), bool)}
+    state = {"names": names, "x": x, "small": x.astype(np.float32), "n": rows.column("n").to_numpy(), "label": np.arange(len(names)), "linked": np.zeros(len(names), bool), "seen": np.zeros((len(names), len(names)), bool)}
     if exact:
         return state
     lists = rows.column("near").combine_chunks()
@@ -262,25 +259,28 @@ def _answered(state: dict, asking: pa.RecordBatch, width: int, threshold: float)
         own = at if at < len(names) and names[at] == node else -1
         small = query.astype(np.float32)
         if "graph" in state:
-            found = range_search(state["small"], state["graph"], small, [state["medoid"]] + ([own] if own >= 0 else []), threshold - MARGIN)
+            found = np.asarray(range_search(state["small"], state["graph"], small, [state["medoid"]] + ([own] if own >= 0 else []), threshold - MARGIN), np.int64)
         else:
-            found = np.flatnonzero(state["small"] @ small >= threshold - MARGIN).tolist()
-        found = [i for i in found if i != own]
-        if not found:
-            continue
-        real = [i for i, s in zip(found, (x[found] @ query).tolist(), strict=True) if s >= threshold]
-        if not real:
+            found = np.flatnonzero(state["small"] @ small >= threshold - MARGIN)
+        found = found[found != own]
+        real = found[x[found] @ query >= threshold]
+        if not len(real):
             continue
-        base = own if own >= 0 else real[0]
-        for i in real:
-            state["parent"][_find(state["parent"], i)] = _find(state["parent"], base)
-            state["linked"][i] = True
-        if own >= 0:
-            state["linked"][own] = True
+        base = own if own >= 0 else int(real[0])
+        label = state["label"]
+        roots = np.unique(label[np.append(real, base)])
+        if len(roots) > 1:  # at most once for each node of the part
+            label[np.isin(label, roots)] = roots[0]
+        state["linked"][real] = state["linked"][base] = True
+        out.append(np.array([[node], [names[base]], [0], [0]]))
+        if own >= 0:  # a pair of the part's own nodes leaves it once
+            seen = state["seen"]
+            fresh = ~seen[own, real]
+            seen[own, real] = seen[real, own] = True
+            real = real[fresh]
         first = names[real] < node
         others, counts = names[real], n[real]
         out.append(np.array([np.where(first, others, node), np.where(first, node, others), np.where(first, counts, copies), np.where(first, copies, counts)]))
-        out.append(np.array([[node], [names[base]], [0], [0]]))
         rows += len(real) + 1
         if rows >= PAIRS:
             yield _edges(out)
@@ -297,9 +297,8 @@ def _joined(state: dict) -> Iterator[pa.RecordBatch]:
     """An edge from each linked node of a part to the root of its piece."""
     at = np.flatnonzero(state["linked"])
     if len(at):
-        roots = [_find(state["parent"], int(i)) for i in at]
         none = np.zeros(len(at), np.int64)
-        yield _edges([np.array([state["names"][at], state["names"][roots], none, none])])
+        yield _edges([np.array([state["names"][at], state["names"][state["label"][at]], none, none])])
 
 
 def link_counts(found: DataFrame) -> DataFrame:

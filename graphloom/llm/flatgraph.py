@@ -62,18 +62,15 @@ def pruned_graph(x: np.ndarray) -> np.ndarray:
         part = np.argpartition(-sims, near - 1, axis=1)[:, :near]
         order = np.argsort(-np.take_along_axis(sims, part, axis=1), axis=1, kind="stable")
         part = np.take_along_axis(part, order, axis=1)
-        for i, candidates in zip(rows, part, strict=True):
-            y = x[candidates]
-            # squared distances are 2 - 2 cos
-            own, between = 2 - 2 * (y @ x[i]), 2 - 2 * (y @ y.T)
-            alive, kept = np.ones(near, bool), 0
-            for c in range(near):
-                if alive[c]:
-                    out[i, kept] = candidates[c]
-                    kept += 1
-                    if kept == DEGREE:
-                        break
-                    alive &= ALPHA**2 * between[c] > own
+        y = x[part]
+        # squared distances are 2 - 2 cos
+        own, between = 2 - 2 * np.take_along_axis(sims, part, axis=1), 2 - 2 * (y @ y.transpose(0, 2, 1))
+        alive, kept = np.ones(part.shape, bool), np.zeros(len(rows), np.int64)
+        for c in range(near):
+            take = np.flatnonzero(alive[:, c] & (kept < DEGREE))
+            out[rows[take], kept[take]] = part[take, c]
+            kept[take] += 1
+            alive[take] &= ALPHA**2 * between[take, c] > own[take]
     return out
 
 

@@ -16,6 +16,7 @@ from ..operators.components import connected_components as star_components
 from ..operators.components import small_or_large as connected_components
 from ..sources import generators as G
 from ..sources import graph_io
+from ..session import Workspace
 from ..streaming.edges import window_counts
 from . import graphs
 
@@ -755,3 +756,138 @@ def betweenness_path(spark, d):
 @query("select 8 diameter")
 def diameter_grid(spark, d):
     return spark.createDataFrame([(traversal.diameter_estimate(G.grid(spark, 4, 6), 9),)], "diameter int")
+
+
+@query(f"""with recursive {NM}, both_ as (select src, dst, weight from nm union all select dst, src, weight from nm),
+ walk(source, vertex, distance) using key (source, vertex) as (select distinct src, src, 0::bigint from both_ union
+ select w.source, b.dst, min(w.distance + b.weight)::bigint from walk w join both_ b on b.src = w.vertex left join recurring.walk r on r.source = w.source and r.vertex = b.dst
+ where r.distance is null or w.distance + b.weight < r.distance group by w.source, b.dst)
+ select source, vertex, distance from walk""")
+def sssp_all_pairs(spark, d):
+    edges = E.without_loops(graphs.nation_trade(spark, d))
+    return traversal.shortest_paths(E.merged(edges), [r[0] for r in E.vertices(edges).collect()])  # nations, few
+
+
+# files, written and read back
+
+
+@query(f"with {SP} select src::bigint src, dst::bigint dst, count(*) weight from sp group by 1, 2")
+def edge_list_round_trip(spark, d):
+    edges, path = E.merged(graphs.supplier_parts(spark, d)), Workspace(spark, "edge-list").path
+    graph_io.write_edge_list(edges, path, E.vertices(edges).agg(F.max("vertex")).first()[0] + 1)
+    return graph_io.read_edge_list(spark, path)[0]
+
+
+@query(f"with {NT} select count(distinct v)::bigint vertices, (select count(*) from nt where src <> dst)::bigint edges from (select src v from nt union all select dst from nt)")
+def snap_file_counts(spark, d):
+    path = Workspace(spark, "snap").path
+    graphs.nation_trade(spark, d).select(F.concat_ws("\t", "src", "dst").alias("value")).write.text(path)
+    return graph_io.read_snap(spark, path).agg((F.greatest(F.max("src"), F.max("dst")) + 1).alias("vertices"), F.count("*").alias("edges"))
+
+
+@query(f"""with {SP}, both_ as (select src vertex, dst far from sp union select dst, src from sp)
+ select vertex::bigint vertex, count(*)::bigint degree, min(far)::bigint nearest, max(far)::bigint farthest from both_ group by 1""")
+def adjacency_file(spark, d):
+    path = Workspace(spark, "adjacency").path
+    graph_io.write_adjacency(E.merged(graphs.supplier_parts(spark, d)), path)
+    ends = F.col("neighbours.dst")
+    return spark.read.parquet(path).select("vertex", F.col("degree").cast("long").alias("degree"), F.array_min(ends).alias("nearest"), F.array_max(ends).alias("farthest"))
+
+
+def _written_results(spark, d, columns):
+    """The lines of a result table, with a row for each nation."""
+    path = Workspace(spark, "results").path
+    values = {"input": F.col("n_name"), "seed": F.col("n_nationkey"), "p": F.lit(4), "n": F.col("n_nationkey") + 100, "m": F.col("n_regionkey") + 1000, "time": F.lit(0.5), "comm_time": F.lit(0.25), "trials": F.lit(7), "weight": F.col("n_regionkey"), "kind": F.lit("cc"), "k": F.lit(3)}
+    graph_io.write_results(graphs.table(spark, d, "nation").select(*(values[c].alias(c) for c in columns)), path, columns)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("select concat_ws(',', n_name, n_nationkey, 4, n_nationkey + 100, n_regionkey + 1000, '0.5', '0.25', 7, n_regionkey) line from nation")
+def approx_results_written(spark, d):
+    return _written_results(spark, d, graph_io.APPROX_CUT)
+
+
+@query("select concat_ws(',', n_name, n_nationkey, 4, n_nationkey + 100, n_regionkey + 1000, '0.5', '0.25', 'cc', 3) line from nation")
+def component_results_written(spark, d):
+    return _written_results(spark, d, graph_io.COMPONENTS)
+
+
+@query("select '/' || n_name line, (n_nationkey + 1)::double c0, (2 * n_nationkey)::double c1 from nation")
+def logs_harvested(spark, d):
+    """A log for each region: for each nation a result line, noise, and two lines of counters."""
+    path, key = Workspace(spark, "logs").path, F.col("n_nationkey")
+    lines = F.array(F.concat(F.lit("/"), "n_name"), F.lit("srun: noise"), F.concat_ws(",", F.lit("PAPI"), key, key * 2), F.concat_ws(",", F.lit("PAPI"), key + 1, key))
+    rows = graphs.table(spark, d, "nation").select("n_regionkey", key, F.posexplode(lines).alias("at", "value"))
+    rows.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey", "at").select("value", "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return graph_io.harvest(spark, path + "/n_regionkey=*", 2).select("line", "c0", "c1")
+
+
+# parts of matrices and of ordered tables
+
+
+def _trade_matrix(spark, d):
+    return graphs.nation_trade(spark, d).toDF("row", "col", "value")
+
+
+@query(f"with {NT} select src::bigint as row, dst::bigint col, weight::bigint as value from nt where src <> dst")
+def matrix_zero_diagonal(spark, d):
+    return M.zero_diagonal(_trade_matrix(spark, d))
+
+
+@query(f"with {NT} select src::bigint as row, dst::bigint col, weight::bigint as value from nt where src = 7")
+def matrix_row(spark, d):
+    return M.row(_trade_matrix(spark, d), 7)
+
+
+@query(f"with {NT} select src::bigint as row, dst::bigint col, weight::bigint as value from nt")
+def matrix_from_dense(spark, d):
+    return M.from_rows(M.to_rows(_trade_matrix(spark, d), 25))
+
+
+@query(f"with {NT} select sum(weight)::bigint as value from nt where src between 5 and 9")
+def matrix_slice_weight(spark, d):
+    return M.total(_trade_matrix(spark, d).filter(F.col("row").between(5, 9)))
+
+
+@query("select o_orderkey::bigint as key, o_custkey::bigint as value, (sum(o_custkey) over (order by o_orderkey))::bigint as offset from orders")
+def prefix_sums_inclusive(spark, d):
+    orders = graphs.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("key"), F.col("o_custkey").cast("long").alias("value"))
+    return E.prefix_sums(orders, "key", "value", exclusive=False)
+
+
+@query("""select place, src, dst from (select row_number() over (order by o_orderkey) - 1 place, o_custkey::bigint src, o_orderkey::bigint dst, count(*) over () many from orders)
+ where place >= many // 4 and place < many // 2""")
+def edge_slice(spark, d):
+    """The second quarter of the edges from customers to orders, by the order's number."""
+    edges = graphs.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("src"), F.col("o_orderkey").cast("long").alias("dst"))
+    many = edges.count()
+    return E.ranked(edges, ["dst"], "place").filter((F.col("place") >= many // 4) & (F.col("place") < many // 2)).select("place", "src", "dst")
+
+
+@query("select o_orderkey <= (select quantile_cont(o_orderkey, 0.5) from orders) as first, count(*)::bigint edges from orders group by 1")
+def median_split_sizes(spark, d):
+    edges = graphs.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderkey").cast("double").alias("score"))
+    return sampling.median_split(edges).groupBy("first").agg(F.count("*").alias("edges"))
+
+
+# planning
+
+
+@query(f"""with {CO}, g as (select (select count(distinct v) from (select src v from co union all select dst from co)) n, (select count(*) from co) m)
+ select n::bigint vertices, m::bigint edges, least(m, ceil(power(n, 1.045) * 1.2))::bigint uniform, ceil(power(n, 1.05))::bigint weighted from g""")
+def sample_sizes(spark, d):
+    edges = graphs.customer_orders(spark, d)
+    n, m = E.vertices(edges).count(), edges.count()
+    return spark.createDataFrame([(n, m, theory.sample_size_unweighted(n, m), theory.sample_size_weighted(n))], "vertices long, edges long, uniform long, weighted long")
+
+
+@query("""with recursive g as (select count(*) n from (select distinct l_suppkey from lineitem union all select distinct l_partkey from lineitem)),
+ sizes(k, n) as (select 0, n from g union all select k + 1, greatest(ceil(n / sqrt(2)) + 1, 128)::bigint from sizes where n > 128),
+ chance(k, p) as (select 0, 1.0::double union all select k + 1, 1 - (1 - 0.5 * p) * (1 - 0.5 * p) from chance where k < (select max(k) from sizes)),
+ last as (select arg_max(p, k) p, max(k) depth from chance)
+ select (select n from g)::bigint vertices, depth::int depth, round(p, 9) chance, greatest(1, ceil(ln(1 - 0.9) / ln(1 - p)))::int trials, ceil(ln(1 - 0.9) / ln(1 - exp(-0.75)))::int thinnings from last""")
+def recursion_plan(spark, d):
+    """Depth, chance of success and trials of the recursion on the supplier-part graph, and thinnings of the approximate cut."""
+    n = E.vertices(graphs.supplier_parts(spark, d)).count()
+    row = (n, theory.recursion_depth(n), round(theory.success_of_recursion(n), 9), theory.recursion_trials(n, 0.9), theory.approximate_trials(0.9))
+    return spark.createDataFrame([row], "vertices long, depth int, chance double, trials int, thinnings int")

@@ -28,14 +28,18 @@ def read_edge_list(spark: SparkSession, path: str, check: bool = True) -> tuple[
 
     A missing weight is 1, blank lines do not count. With check, another count of rows than m, or an end outside [0, n), raises ValueError.
     """
-    lines = _lines(spark, path)
-    head = lines.filter(F.trim("line") != "").orderBy("at").limit(64).collect()  # the header is within the first lines
-    rest = [r for r in head[1:] if not r["line"].lstrip().startswith("#")]
+    # the files of a folder follow each other by name; Spark deals them out by size, so at does not order them
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).alias("place"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    filled = lines.filter(F.trim("line") != "")
+    free = F.broadcast(filled.agg(F.min("place").alias("free")))
+    # the first line that follows the free one and is no comment, however many comments come between
+    rest = filled.join(free, F.col("place") > F.col("free")).filter(~F.startswith(F.ltrim("line"), F.lit("#"))).orderBy("place").select("place", "line").limit(1).collect()
     if not rest:
         raise ValueError("no line with the counts of vertices and edges")
     n, m = (int(x) for x in rest[0]["line"].split()[:2])
     f = _fields(F.col("line"))
-    data = lines.filter((F.col("at") > rest[0]["at"]) & (F.trim("line") != "") & ~F.startswith(F.ltrim("line"), F.lit("#")))
+    header = F.struct(F.lit(rest[0]["place"]["file"]).alias("file"), F.lit(rest[0]["place"]["at"]).cast("long").alias("at"))
+    data = filled.filter((F.col("place") > header) & ~F.startswith(F.ltrim("line"), F.lit("#")))
     edges = data.select(F.get(f, F.lit(0)).try_cast("long").alias("src"), F.get(f, F.lit(1)).try_cast("long").alias("dst"), F.when(F.size(f) > 2, F.get(f, F.lit(2))).otherwise(F.lit("1")).try_cast("long").alias("weight"))
     if check:
         bad = (F.col("src") < 0) | (F.col("dst") < 0) | (F.greatest("src", "dst") >= n) | F.col("src").isNull() | F.col("dst").isNull() | F.col("weight").isNull()

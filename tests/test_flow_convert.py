@@ -45,3 +45,17 @@ def test_operators(spark, tmp_path):
     convert.partitioned(g, "src", 4, f"{tmp_path}/parts")
     assert spark.read.parquet(f"{tmp_path}/parts").count() == 4 and convert.cleaned_simple(g).count() == 3
     assert convert.with_constant_weight(g, 1).agg({"weight": "sum"}).first()[0] == 4
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_matching_of_a_graph_larger_than_a_task(spark, seed, monkeypatch):
+    """By joins, without a component in one task: sparse graphs, on which proposals alone fall short, and a chain that has one long augmenting path at most."""
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(30), 100 + rng.randrange(25)) for _ in range(45)}) + [(200 + i, 300 + i + j) for i in range(6) for j in (0, 1) if i + j < 6]
+    left, right = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
+    best = len(flow.matching(np.array([left.index(a) for a, _ in pairs]), np.array([right.index(b) for _, b in pairs])))
+    monkeypatch.setattr(flow, "matching", None)
+    rows = [(b, a) for a, b in pairs] if seed else pairs
+    g = spark.createDataFrame(rows + rows[:5], "src long, dst long").repartition(3)
+    found = [tuple(r) for r in flow.bipartite_matching(g, task_edges=0, broadcast_rows=0 if seed else 100).collect()]
+    assert set(found) <= set(rows) and len({a for a, _ in found}) == len({b for _, b in found}) == len(found) == best

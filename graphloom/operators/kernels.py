@@ -167,6 +167,45 @@ def forest_cut(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) ->
         labels, src, dst = dense[labels], dense[src], dense[dst]
 
 
+def inseparable(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, bound: int, most_classes: int = 32) -> np.ndarray:
+    """For each vertex the least of a group that no cut below bound separates, by what the edges at hand prove: in any larger graph that holds them it is so too.
+
+    Ends of an edge of weight bound belong together. Else edges are dealt at random into classes, a heavier edge into several; vertices that are connected within every class have as many
+    disjoint paths as there are classes, each of unit weight or more. What belongs together is contracted, again and again, until two drawings in a row join nothing.
+    """
+    labels, rng, idle = np.arange(n), np.random.default_rng(n), 0
+    while True:
+        low, high = np.minimum(src, dst), np.maximum(src, dst)
+        apart = low != high
+        size = int(labels.max()) + 1 if n else 0
+        key, where = np.unique(low[apart] * size + high[apart], return_inverse=True)
+        if not len(key):
+            break
+        summed = np.zeros(len(key), np.int64)
+        np.add.at(summed, where, weight[apart])
+        src, dst, weight = key // size, key % size, summed
+        strong = weight >= bound
+        if strong.any():
+            found = component_labels(size, src[strong], dst[strong])
+        else:
+            unit = -(-bound // most_classes)
+            classes = -(-bound // unit)
+            copies = np.minimum(weight // unit, classes)
+            row = np.repeat(np.arange(len(key)), copies)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            at = (rng.integers(classes, size=len(key))[row] + nth) % classes * size
+            group = np.zeros(size, np.int64)
+            for one in component_labels(classes * size, at + src[row], at + dst[row]).reshape(classes, size):
+                group = np.unique(group * (classes * size) + one, return_inverse=True)[1]
+            found = np.unique(group, return_index=True)[1][group]
+        names, dense = np.unique(found, return_inverse=True)
+        idle = idle + 1 if len(names) == size else 0
+        if idle == 2:
+            break
+        labels, src, dst = dense[labels], dense[src], dense[dst]
+    return np.unique(labels, return_index=True)[1][labels] if n else labels
+
+
 def contract_to(m: np.ndarray, target: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(matrix, labels) after random contraction, by weight, to target vertices (more, if the graph has more components).
 

@@ -20,10 +20,12 @@ from ..functions import rand, theory
 from ..session import Workspace, prepare
 from . import edges as E
 from .components import small_or_large as connected_components
-from .kernels import component_labels, cut_trial, dense_ids, forest_cut
+from .kernels import component_labels, cut_trial, dense_ids, forest_cut, inseparable
 
 #: Vertices and edges up to which a graph is solved exactly in one task; edges up to which it is broadcast (24 bytes each).
 EXACT_VERTICES, EXACT_EDGES, BROADCAST_EDGES = 500_000, 2_000_000, 2_000_000
+#: Edges that a task holds at a time when it joins what they prove inseparable.
+LOCAL_EDGES = 2_000_000
 #: Vertices of a shrunk trial that one task works off; the recursion of larger ones is dealt out branch by branch.
 TASK_VERTICES = 4096
 RESULT = "cut_value long, side array<long>, variant string, trials long, probability double"
@@ -31,40 +33,85 @@ RESULT = "cut_value long, side array<long>, variant string, trials long, probabi
 
 @dataclass
 class Prepared:
+    """The graph as it is cut, and what its vertices stand for: names (vertex, component); labels (vertex, component) of its connected components; bound and weakest: the least weighted degree of the input, and its least vertex."""
+
     edges: DataFrame
     vertices: int
     rows: int
     connected: bool
-    mapping: DataFrame | None
-
-
-def _prepared(edges: DataFrame, vertices: DataFrame | None, work: Workspace, prune: bool) -> Prepared:
-    clean = work.write(E.merged(edges.select("src", "dst", "weight").filter("weight > 0")), "merged")
-    known = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
-    n = known.count()
-    labelled = connected_components(clean)
-    roots = labelled.select("component").distinct().count()
-    outside = n - labelled.count()
-    if roots + outside != 1:
-        return Prepared(clean, n, clean.count(), False, None)
-    mapping = None
-    if prune:
-        mapping = heavy_contraction(clean, work)
-        if mapping is not None:
-            clean = work.write(E.contracted(clean, mapping), "pruned")
-    size = clean.agg(F.count("*")).first()[0]
-    return Prepared(clean, E.vertices(clean).count(), size, True, mapping)
-
-
-def heavy_contraction(edges: DataFrame, work: Workspace) -> DataFrame | None:
-    """A map (old, new) of the components of edges as heavy as the least weighted degree or heavier - no cut below that bound holds one -, or None if there are none or fewer than three vertices would be left."""
-    bound = E.least_degree(edges).first()[0]
-    strong = E.heavy(edges, bound) if bound is not None else edges.limit(0)
-    if bound is None or strong.isEmpty():
-        return None
-    mapping = work.write(connected_components(strong).toDF("old", "new"), "heavy")
-    left = E.vertices(edges).join(mapping, F.col("vertex") == F.col("old"), "left").select(F.coalesce("new", "vertex").alias("v")).distinct().count()
-    return mapping if left > 2 else None
+    names: DataFrame
+    labels: DataFrame
+    bound: int
+    weakest: int
+    contracted: bool
+
+
+def _merged(edges: DataFrame, vertices: DataFrame | None, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(edges, degrees): summed edges of positive weight, and (vertex, weight) of all vertices. Edges are dealt by one end, so that tasks that read them hold dense parts of the graph; a vertex without an edge is a row of weight 0."""
+    counts = F.when((F.col("src") != F.col("dst")) & (F.col("weight") > 0), F.col("weight")).otherwise(0)
+    rows = E.canonical(edges.select("src", "dst", counts.alias("weight")))
+    if vertices is not None:
+        rows = rows.union(vertices.select(F.col("vertex").alias("src"), F.col("vertex").alias("dst"), F.lit(0).cast("long").alias("weight")))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.sparkSession.sparkContext.defaultParallelism)
+    summed = rows.repartition(parts, "dst").groupBy("src", "dst").agg(F.sum("weight").cast("long").alias("weight")).sortWithinPartitions("dst", "src")
+    all_ = work.write(summed, "merged")
+    degrees = work.write(E.degrees(all_).select("vertex", "weight"), "degrees")
+    return all_.filter("weight > 0"), degrees
+
+
+def _by_task(edges: DataFrame, bound: int) -> DataFrame:
+    """(src, dst, weight): each task joins what its edges prove inseparable by cuts below bound (connected, for bound 1) and returns rows of weight 0 from a vertex to what it was joined to, and the edges that are left."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def joined() -> pd.DataFrame:
+            pdf = pd.concat(held)
+            held.clear()
+            a, b, names = dense_ids(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+            weight = pdf["weight"].to_numpy()
+            found = inseparable(len(names), a, b, weight, bound)
+            moved, left = np.flatnonzero(found != np.arange(len(names))), found[a] != found[b]
+            return pd.DataFrame({"src": np.append(names[moved], names[found[a[left]]]), "dst": np.append(names[found[moved]], names[found[b[left]]]), "weight": np.append(np.zeros(len(moved), np.int64), weight[left])})
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= LOCAL_EDGES:
+                yield joined()
+        if held:
+            yield joined()
+
+    return edges.mapInPandas(run, "src long, dst long, weight long")
+
+
+def _components(edges: DataFrame, rows: int, work: Workspace) -> DataFrame:
+    """connected_components; of many edges only a forest of each task's part goes through the rounds of joins."""
+    if rows > LOCAL_EDGES:
+        edges = work.write(_by_task(edges, 1).select("src", "dst").distinct(), "forest")
+    return connected_components(edges)
+
+
+def _prepared(clean: DataFrame, degrees: DataFrame, work: Workspace, prune: bool) -> Prepared:
+    n, weakest = degrees.agg(F.count("*"), F.min(F.struct("weight", "vertex"))).first()
+    names = degrees.select("vertex", F.col("vertex").alias("component"))
+    rows, i = clean.count(), 0
+    while prune and rows and weakest["weight"]:
+        found = work.write(_by_task(clean, weakest["weight"]), f"by-task-{i}")
+        joined = found.filter("weight = 0").select("src", "dst").distinct()
+        if joined.isEmpty():
+            break
+        mapping = work.write(connected_components(joined).toDF("old", "new"), f"joined-{i}")
+        clean, was = work.write(E.contracted(found.filter("weight > 0"), mapping), f"pruned-{i}"), rows
+        names, rows = work.write(E.composed(names, mapping), f"pruned-names-{i}"), clean.count()
+        for name in (f"by-task-{i}", f"joined-{i}", f"pruned-{i - 1}", f"pruned-names-{i - 1}"):
+            work.drop(name)
+        i += 1
+        if rows > 0.9 * was:
+            break
+    left = names.select("component").distinct().count() if i else n
+    labels = work.write(_components(clean, rows, work), "labels")
+    known, roots = labels.agg(F.count("*"), F.count_distinct("component")).first()
+    return Prepared(clean, left, rows, roots + left - known == 1, names, labels, weakest["weight"], weakest["vertex"], i > 0)
 
 
 def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None, sides: bool = True, task_vertices: int = TASK_VERTICES) -> DataFrame:
@@ -76,43 +123,44 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "mincut")
-    known = E.vertices(edges) if vertices is None else E.vertices(edges).union(vertices.select("vertex")).distinct()
-    n = known.count()
+    clean, degrees = _merged(edges, vertices, work)
+    n = degrees.count()
     if n < 2:
         return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
-    if n <= exact_vertices:
-        clean = work.write(E.merged(edges.select("src", "dst", "weight").filter("weight > 0")), "clean")
-        if clean.count() <= EXACT_EDGES:
-            return _exact(clean, known, sides)
-    graph = _prepared(edges, vertices, work, prune)
-    if graph.vertices < 2:
-        return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
+    if n <= exact_vertices and clean.count() <= EXACT_EDGES:
+        return _exact(clean, degrees.select("vertex"), sides)
+    graph = _prepared(clean, degrees, work, prune)
     if not graph.connected and not sides:
         return spark.createDataFrame([(0, None, "disconnected", 0, 1.0)], RESULT)
     if not graph.connected:
-        labelled = connected_components(edges.filter("weight > 0"))
-        whole = known.join(labelled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
+        of = graph.labels.toDF("old", "new")
+        whole = work.write(E.composed(graph.names, of), "whole")
         first = whole.agg(F.min("component").alias("component"))
         return whole.join(F.broadcast(first), "component").agg(F.sort_array(F.collect_list("vertex")).alias("side")).select(F.lit(0).cast("long").alias("cut_value"), "side", F.lit("disconnected").alias("variant"), F.lit(0).cast("long").alias("trials"), F.lit(1.0).alias("probability"))
+    weakest = spark.createDataFrame([(graph.bound, [graph.weakest] if sides else None, "exact", 1, 1.0)], RESULT)
+    if graph.vertices < 2:
+        return weakest
     trials = theory.cut_trials(graph.vertices, graph.rows, success)
     wanted = trials
     trials = min(trials, max_trials) if max_trials else trials
     reached = success if trials == wanted else 1.0 - (1.0 - success) ** (trials / wanted)
     size = theory.intermediate_size(graph.vertices, graph.rows)
     shrunk: list[Contraction] = []
-    if graph.rows <= broadcast_edges:
+    if graph.contracted and graph.vertices <= exact_vertices and graph.rows <= EXACT_EDGES:
+        result, variant, trials, reached = _exact(graph.edges, E.vertices(graph.edges), True).select(F.lit(0).cast("long").alias("trial"), "cut_value", "side"), "exact", 1, 1.0
+    elif graph.rows <= broadcast_edges:
         result, variant = _trials(graph.edges, size, trials, seed), "low"
     else:
         result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work, task_vertices, shrunk), "high"
     plan = [F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability")]
     if not sides:
-        return result.agg(F.min("cut_value").alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), *plan)
+        return result.agg(F.least(F.min("cut_value"), F.lit(graph.bound)).alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), *plan)
     best = work.write(result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.trial", "best.side"), "best")
     value, trial = best.select("cut_value", "trial").first()
+    if value >= graph.bound and graph.contracted:  # what was contracted keeps only the cuts below the bound
+        return weakest.select("cut_value", "side", *plan)
     # from vertices to what stands for them in the pruned graph, and for that in the best trial's shrunk one
-    names = E.vertices(edges).select("vertex", F.col("vertex").alias("component"))
-    if graph.mapping is not None:
-        names = E.composed(names, graph.mapping)
+    names = graph.names
     for i, step in enumerate(shrunk):
         names = E.composed(names, step.mapping.filter(F.col("trial") == trial >> step.branchings_after).select("old", "new"))
         if i % 8 == 7:
@@ -264,7 +312,7 @@ def approximate_cut(edges: DataFrame, vertices: DataFrame | None = None, success
     """
     spark = prepare(edges.sparkSession)
     work = Workspace(spark, "approximate")
-    graph = _prepared(edges, vertices, work, prune=False)
+    graph = _prepared(*_merged(edges, vertices, work), work, prune=False)
     schema = "weight long, level int, trials long, found boolean"
     if not graph.connected or graph.vertices < 2:
         return spark.createDataFrame([(0, 0, 0, True)], schema)

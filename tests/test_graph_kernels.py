@@ -134,3 +134,17 @@ def test_shares_of_trials_by_memory():
     assert sum(theory.trial_shares(1001, [7, 9, 30], 3)) == 1001
     with pytest.raises(ValueError):
         theory.trial_shares(1, [2], 3)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_inseparable_vertices_are_not_cut_below_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 9, 30
+    src, dst, weight = rng.integers(n, size=m), rng.integers(n, size=m), rng.integers(1, 4, size=m)
+    for bound in (1, 5, 9):
+        found = K.inseparable(n, src, dst, weight, bound, most_classes=4)
+        for mask in range(1, 1 << (n - 1)):
+            side = mask >> np.arange(n) & 1
+            if weight[side[src] != side[dst]].sum() < bound:
+                assert (side == side[found]).all()
+    assert (K.inseparable(n, src, dst, weight, 1) == K.component_labels(n, src, dst)).all()

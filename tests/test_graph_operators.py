@@ -266,3 +266,18 @@ def test_queries_of_files_and_slices_equal_their_sql(spark):
         found = con.execute(plans.ORACLES[name])
         columns = [c[0] for c in found.description]
         assert sorted(tuple(r) for r in rows.select(*columns).collect()) == sorted(found.fetchall()), name
+
+
+def test_exact_cut_of_a_graph_larger_than_a_task(spark, monkeypatch):
+    """Tasks contract what their edges prove inseparable, and what is left is solved exactly, without trials."""
+    from graphloom.operators import mincut
+    from graphloom.plans import graphs
+
+    monkeypatch.setattr(mincut, "EXACT_EDGES", 1000)
+    monkeypatch.setattr(mincut, "LOCAL_EDGES", 1500)
+    found = mincut.minimum_cut(graphs.linked_copies(spark, "/root/testdata/sf0.001")).first()
+    assert (found.cut_value, len(found.side), found.variant, found.probability) == (5, 210, "exact", 1.0)
+    # the least cut is the weakest vertex, which contraction would have joined
+    star = spark.createDataFrame([(0, i, 2 + (i > 1)) for i in range(1, 5)], "src long, dst long, weight long")
+    monkeypatch.setattr(mincut, "EXACT_EDGES", 1)
+    assert mincut.minimum_cut(star).first()[:2] == (2, [1])

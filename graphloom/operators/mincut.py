@@ -233,10 +233,71 @@ def shrink(edges: DataFrame, trials: int, vertices: int, size: int, seed: int, w
     All trials are one table keyed by trial. In a round each trial scores its edges and contracts the shortest prefix of a weighted sample that does not go below size.
     steps gets the contraction of each round.
     """
-    now = work.write(edges.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "src", "dst", "weight"), "trials-0")
+    now = _drawn_by_task(edges, trials, size, seed, work, steps) if edges.count() > LOCAL_EDGES else None
+    if now is None:
+        now = work.write(edges.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "src", "dst", "weight"), "trials-0")
     return _contracted(now, "trials", vertices, size, seed, work, rounds, steps)
 
 
+def _drawn_by_task(edges: DataFrame, trials: int, size: int, seed: int, work: Workspace, steps: list[Contraction] | None) -> DataFrame | None:
+    """A first round of shrink without a copy of all edges a trial: the edges whose scores lie below a limit are contracted, first within each task, which returns what is left for each trial.
+
+    The limit is the greatest of a series at which twice size vertices are expected to have no such edge, so that more than size vertices are left. None where there is no such limit, or trial and vertex do not fit a long.
+    """
+    degrees = work.write(E.degrees(edges).select("vertex", "weight"), "ends")
+    low, high, most = degrees.agg(F.min("vertex"), F.max("vertex"), F.max("weight")).first()
+    limits = [2.0 ** (-j / 4) * 64 for j in range(4 * (int(most).bit_length() + 12))]
+    alone = degrees.agg(*(F.sum(F.exp(-F.col("weight") * F.lit(x))).alias(f"x{j}") for j, x in enumerate(limits))).first()
+    fit = [x for j, x in enumerate(limits) if alone[j] >= 2 * size]
+    if not fit or low < 0 or high >= 2**62 // trials or alone[limits.index(fit[0])] > 0.5 * degrees.count():
+        return None
+    parts = []
+    for base in range(0, trials, 32):
+        group = range(base, min(trials, base + 32))
+        drawn = sum((F.when(rand.exponential(F.col("weight"), seed * 7919, F.lit(t), "src", "dst") <= fit[0], F.lit(1 << (t - base))).otherwise(F.lit(0)).cast("long") for t in group), F.lit(0).cast("long"))
+
+        def run(batches: Iterator[pd.DataFrame], group: range = group, base: int = base) -> Iterator[pd.DataFrame]:
+            def joined(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                pdf = pd.concat(held)
+                a, b, names = dense_ids(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+                weight, mask, n = pdf["weight"].to_numpy(), pdf["drawn"].to_numpy(), len(names)
+                for t in group:
+                    taken = mask >> (t - base) & 1 == 1
+                    found = component_labels(n, a[taken], b[taken])
+                    moved, low, high = np.flatnonzero(found != np.arange(n)), np.minimum(found[a], found[b]), np.maximum(found[a], found[b])
+                    apart = low != high
+                    key, where = np.unique(low[apart] * n + high[apart], return_inverse=True)
+                    summed = np.zeros(len(key), np.int64)
+                    np.add.at(summed, where, weight[apart])
+                    src, dst = np.append(names[moved], names[key // n]), np.append(names[found[moved]], names[key % n])
+                    yield pd.DataFrame({"trial": np.full(len(src), t, np.int32), "src": src, "dst": dst, "weight": np.append(np.zeros(len(moved), np.int64), summed)})
+
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(map(len, held)) >= LOCAL_EDGES:
+                    yield from joined(held)
+                    held = []
+            if held:
+                yield from joined(held)
+
+        parts.append(work.write(edges.select("src", "dst", "weight", drawn.alias("drawn")).mapInPandas(run, "trial int, src long, dst long, weight long"), f"drawn-{base}"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    one = lambda c: F.col(c) * trials + F.col("trial")
+    labels = connected_components(found.filter("weight = 0").select(one("src").alias("src"), one("dst").alias("dst")).distinct())
+    split = lambda c: F.expr(f"{c} div {trials}")
+    mapping = work.write(labels.filter("vertex <> component").select((F.col("vertex") % trials).cast("int").alias("trial"), split("vertex").cast("long").alias("old"), split("component").cast("long").alias("new")), "drawn-map")
+    if steps is not None:
+        steps.append(Contraction(mapping))
+    moved = found.filter("weight > 0").join(mapping.toDF("trial", "src", "__src"), ["trial", "src"], "left").join(mapping.toDF("trial", "dst", "__dst"), ["trial", "dst"], "left")
+    now = work.write(E.merged_by(moved.select("trial", F.coalesce("__src", "src").alias("src"), F.coalesce("__dst", "dst").alias("dst"), "weight"), ["trial"]), "trials-0")
+    for base in range(0, trials, 32):
+        work.drop(f"drawn-{base}")
+    return now
+
+
 def _contracted(now: DataFrame, name: str, vertices: int, size: int, seed: int, work: Workspace, rounds: int = 40, steps: list[Contraction] | None = None) -> DataFrame:
     """shrink of a table that is keyed by trial already, written as name-0."""
     sample = theory.sample_size_weighted(vertices)

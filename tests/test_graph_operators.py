@@ -281,3 +281,24 @@ def test_exact_cut_of_a_graph_larger_than_a_task(spark, monkeypatch):
     star = spark.createDataFrame([(0, i, 2 + (i > 1)) for i in range(1, 5)], "src long, dst long, weight long")
     monkeypatch.setattr(mincut, "EXACT_EDGES", 1)
     assert mincut.minimum_cut(star).first()[:2] == (2, [1])
+
+
+def test_trials_of_a_graph_larger_than_a_task_draw_by_task(spark, monkeypatch):
+    """No copy of all edges a trial is written: each task contracts the edges that a trial draws, and returns what is left."""
+    from graphloom.operators import edges as E
+    from graphloom.operators import mincut
+    from graphloom.plans import graphs
+    from graphloom.session import Workspace
+
+    monkeypatch.setattr(mincut, "LOCAL_EDGES", 1500)
+    clean, steps = E.merged(graphs.linked_copies(spark, "/root/testdata/sf0.001")), []
+    now = mincut._drawn_by_task(clean, 3, 40, 0, Workspace(spark, "test"), steps)
+    rows = now.collect()
+    mapping = {(r.trial, r.old): r.new for r in steps[0].mapping.collect()}
+    for t in range(3):
+        want = {}
+        for r in clean.collect():
+            a, b = sorted(mapping.get((t, v), v) for v in (r.src, r.dst))
+            if a != b:
+                want[a, b] = want.get((a, b), 0) + r.weight
+        assert {(r.src, r.dst): r.weight for r in rows if r.trial == t} == want and 40 <= len({v for e in want for v in e}) < 400

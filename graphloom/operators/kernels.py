@@ -178,11 +178,14 @@ def inseparable(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, bo
         low, high = np.minimum(src, dst), np.maximum(src, dst)
         apart = low != high
         size = int(labels.max()) + 1 if n else 0
-        key, where = np.unique(low[apart] * size + high[apart], return_inverse=True)
+        ends = low[apart] * size + high[apart]
+        del low, high  # of millions of edges each array counts
+        key, where = np.unique(ends, return_inverse=True)
         if not len(key):
             break
         summed = np.zeros(len(key), np.int64)
         np.add.at(summed, where, weight[apart])
+        del ends, where, apart
         src, dst, weight = key // size, key % size, summed
         strong = weight >= bound
         if strong.any():
@@ -194,8 +197,10 @@ def inseparable(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, bo
             row = np.repeat(np.arange(len(key)), copies)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
             at = (rng.integers(classes, size=len(key))[row] + nth) % classes * size
+            a, b = at + src[row], at + dst[row]
+            del copies, row, nth, at
             group = np.zeros(size, np.int64)
-            for one in component_labels(classes * size, at + src[row], at + dst[row]).reshape(classes, size):
+            for one in component_labels(classes * size, a, b).reshape(classes, size):
                 group = np.unique(group * (classes * size) + one, return_inverse=True)[1]
             found = np.unique(group, return_index=True)[1][group]
         names, dense = np.unique(found, return_inverse=True)

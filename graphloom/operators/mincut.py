@@ -1,6 +1,6 @@
 """Minimum cuts: exact for small graphs, by repeated random contraction for larger ones, approximate for the largest.
 
-The plan is chosen by size. Every path first sums parallel edges, checks connectivity (a graph of several components
+The plan is chosen by size. Trials run in waves: what no cut below the best so far separates is contracted after each, and how many trials are still wanted is planned anew for what is left. Every path first sums parallel edges, checks connectivity (a graph of several components
 has cut 0) and contracts edges that no minimum cut can hold. What is left is solved exactly in one task, or trials of random
 contraction run as tasks over one broadcast copy of the graph, whose size is checked, or - where it is too large for that - trials shrink it as one
 distributed graph keyed by trial before each is solved in a task.
@@ -8,8 +8,9 @@ distributed graph keyed by trial before each is solved in a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ EXACT_VERTICES, EXACT_EDGES, BROADCAST_EDGES = 500_000, 2_000_000, 2_000_000
 LOCAL_EDGES = 2_000_000
 #: Vertices of a shrunk trial that one task works off; the recursion of larger ones is dealt out branch by branch.
 TASK_VERTICES = 4096
+#: Trials of the first wave; each further one has twice as many.
+FIRST_WAVE = 4
 RESULT = "cut_value long, side array<long>, variant string, trials long, probability double"
 
 
@@ -91,27 +94,34 @@ def _components(edges: DataFrame, rows: int, work: Workspace) -> DataFrame:
     return connected_components(edges)
 
 
-def _prepared(clean: DataFrame, degrees: DataFrame, work: Workspace, prune: bool) -> Prepared:
-    n, weakest = degrees.agg(F.count("*"), F.min(F.struct("weight", "vertex"))).first()
-    names = degrees.select("vertex", F.col("vertex").alias("component"))
-    rows, i = clean.count(), 0
-    while prune and rows and weakest["weight"]:
-        found = work.write(_by_task(clean, weakest["weight"]), f"by-task-{i}")
+def _tightened(graph: Prepared, bound: int, work: Workspace, name: str) -> Prepared:
+    """graph with contracted what no cut below bound separates, as far as its tasks prove it; of LOCAL_EDGES or fewer by one task, so that partitions do not matter."""
+    clean, names, rows, i = graph.edges, graph.names, graph.rows, 0
+    while rows and bound:
+        found = work.write(_by_task(clean.coalesce(1) if rows <= LOCAL_EDGES else clean, bound), f"{name}-by-task-{i}")
         joined = found.filter("weight = 0").select("src", "dst").distinct()
         if joined.isEmpty():
             break
-        mapping = work.write(connected_components(joined).toDF("old", "new"), f"joined-{i}")
-        clean, was = work.write(E.contracted(found.filter("weight > 0"), mapping), f"pruned-{i}"), rows
-        names, rows = work.write(E.composed(names, mapping), f"pruned-names-{i}"), clean.count()
-        for name in (f"by-task-{i}", f"joined-{i}", f"pruned-{i - 1}", f"pruned-names-{i - 1}"):
-            work.drop(name)
+        mapping = work.write(connected_components(joined).toDF("old", "new"), f"{name}-joined-{i}")
+        clean, was = work.write(E.contracted(found.filter("weight > 0"), mapping), f"{name}-{i}"), rows
+        names, rows = work.write(E.composed(names, mapping), f"{name}-names-{i}"), clean.count()
+        for old in (f"by-task-{i}", f"joined-{i}", f"{i - 1}", f"names-{i - 1}"):
+            work.drop(f"{name}-{old}")
         i += 1
         if rows > 0.9 * was:
             break
-    left = names.select("component").distinct().count() if i else n
-    labels = work.write(_components(clean, rows, work), "labels")
+    return replace(graph, edges=clean, names=names, rows=rows, vertices=names.select("component").distinct().count(), contracted=True) if i else graph
+
+
+def _prepared(clean: DataFrame, degrees: DataFrame, work: Workspace, prune: bool) -> Prepared:
+    n, weakest = degrees.agg(F.count("*"), F.min(F.struct("weight", "vertex"))).first()
+    names = degrees.select("vertex", F.col("vertex").alias("component"))
+    graph = Prepared(clean, n, clean.count(), False, names, names, weakest["weight"], weakest["vertex"], False)
+    if prune:
+        graph = _tightened(graph, graph.bound, work, "pruned")
+    labels = work.write(_components(graph.edges, graph.rows, work), "labels")
     known, roots = labels.agg(F.count("*"), F.count_distinct("component")).first()
-    return Prepared(clean, left, rows, roots + left - known == 1, names, labels, weakest["weight"], weakest["vertex"], i > 0)
+    return replace(graph, connected=roots + graph.vertices - known == 1, labels=labels)
 
 
 def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: float = 0.95, seed: int = 0, prune: bool = True, exact_vertices: int = EXACT_VERTICES, broadcast_edges: int = BROADCAST_EDGES, max_trials: int | None = None, sides: bool = True, task_vertices: int = TASK_VERTICES) -> DataFrame:
@@ -120,6 +130,7 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
     edges (src, dst, weight): undirected, parallel ones add up, loops and weights that are not positive do not count. vertices (vertex) adds isolated
     ones. Of a graph that is not connected the value is 0 and side the component of the least vertex; with fewer than two vertices value and side are null.
     prune contracts what no cut below the least weighted degree separates before any trial; a graph of more than LOCAL_EDGES edges is so contracted in any case.
+    As many trials run as reach success together, in waves between which the graph is contracted by the best cut so far; where one vertex is left, that cut is proved. max_trials stops earlier, and lowers probability by that.
     Results depend on the seed, not on partitions. side lists the vertices of one side in one row; it is null without sides, which is what large graphs want.
     """
     spark = prepare(edges.sparkSession)
@@ -130,7 +141,8 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
         return spark.createDataFrame([(None, None, "none", 0, 1.0)], RESULT)
     if n <= exact_vertices and clean.count() <= EXACT_EDGES:
         return _exact(clean, degrees.select("vertex"), sides)
-    graph = _prepared(clean, degrees, work, prune or clean.count() > LOCAL_EDGES)
+    prune = prune or clean.count() > LOCAL_EDGES
+    graph = _prepared(clean, degrees, work, prune)
     if not graph.connected and not sides:
         return spark.createDataFrame([(0, None, "disconnected", 0, 1.0)], RESULT)
     if not graph.connected:
@@ -138,40 +150,47 @@ def minimum_cut(edges: DataFrame, vertices: DataFrame | None = None, success: fl
         whole = work.write(E.composed(graph.names, of), "whole")
         first = whole.agg(F.min("component").alias("component"))
         return whole.join(F.broadcast(first), "component").agg(F.sort_array(F.collect_list("vertex")).alias("side")).select(F.lit(0).cast("long").alias("cut_value"), "side", F.lit("disconnected").alias("variant"), F.lit(0).cast("long").alias("trials"), F.lit(1.0).alias("probability"))
-    weakest = spark.createDataFrame([(graph.bound, [graph.weakest] if sides else None, "exact", 1, 1.0)], RESULT)
-    if graph.vertices < 2:
-        return weakest
-    trials = theory.cut_trials(graph.vertices, graph.rows, success)
-    wanted = trials
-    trials = min(trials, max_trials) if max_trials else trials
-    reached = success if trials == wanted else 1.0 - (1.0 - success) ** (trials / wanted)
-    size = theory.intermediate_size(graph.vertices, graph.rows)
-    shrunk: list[Contraction] = []
-    if graph.contracted and graph.vertices <= exact_vertices and graph.rows <= EXACT_EDGES:
-        result, variant, trials, reached = _exact(graph.edges, E.vertices(graph.edges), True).select(F.lit(0).cast("long").alias("trial"), "cut_value", "side"), "exact", 1, 1.0
-    elif graph.rows <= broadcast_edges:
-        result, variant = _trials(graph.edges, size, trials, seed), "low"
-    else:
-        result, variant = _shrunk_trials(graph.edges, graph.vertices, size, trials, seed, work, task_vertices, shrunk), "high"
-    plan = [F.lit(variant).alias("variant"), F.lit(trials).cast("long").alias("trials"), F.lit(float(reached)).alias("probability")]
-    if not sides:
-        return result.agg(F.least(F.min("cut_value"), F.lit(graph.bound)).alias("cut_value")).select("cut_value", F.lit(None).cast("array<long>").alias("side"), *plan)
-    best = work.write(result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.trial", "best.side"), "best")
-    value, trial = best.select("cut_value", "trial").first()
-    if value >= graph.bound and graph.contracted:  # what was contracted keeps only the cuts below the bound
-        return weakest.select("cut_value", "side", *plan)
-    # from vertices to what stands for them in the pruned graph, and for that in the best trial's shrunk one
-    names = graph.names
-    for i, step in enumerate(shrunk):
-        names = E.composed(names, step.mapping.filter(F.col("trial") == trial >> step.branchings_after).select("old", "new"))
+    best: Wave | None = None  # none: the weakest vertex
+    bound, tried, waves, run, share, proved, variant = graph.bound, graph.bound if prune else None, 0, 0, 0.0, graph.vertices < 2, "exact"
+    while not proved and share < 1.0 - 1e-9 and (not max_trials or run < max_trials):
+        steps: list[Contraction] = []
+        if graph.contracted and graph.vertices <= exact_vertices and graph.rows <= EXACT_EDGES:
+            result, variant, proved, trials = _exact(graph.edges, E.vertices(graph.edges), True).select(F.lit(0).cast("long").alias("trial"), "cut_value", "side"), "exact", True, 1
+        else:
+            planned = max(1, theory.cut_trials(graph.vertices, graph.rows, success))
+            trials = max(1, min(FIRST_WAVE << waves, math.ceil((1.0 - share) * planned - 1e-9), max_trials - run if max_trials else planned))
+            size, drawn = theory.intermediate_size(graph.vertices, graph.rows), seed + 1_299_709 * waves
+            if graph.rows <= broadcast_edges:
+                result, kind = _trials(graph.edges, size, trials, drawn), "low"
+            else:
+                result, kind = _shrunk_trials(graph.edges, graph.vertices, size, trials, drawn, Workspace(spark, "mincut-wave"), task_vertices, steps), "high"
+            variant = variant if waves else kind
+            share += trials / planned
+        found = work.write(result.agg(F.min(F.struct("cut_value", "trial", "side")).alias("best")).select("best.cut_value", "best.trial", "best.side"), f"best-{waves}")
+        value, trial = found.select("cut_value", "trial").first()
+        # what was contracted keeps only the cuts below the bound
+        if value < bound or value == bound and best is None and not graph.contracted:
+            best, bound = Wave(found, trial, graph.names, steps), value
+        waves, run = waves + 1, run + trials
+        if not proved and share < 1.0 - 1e-9 and (not max_trials or run < max_trials) and bound != tried:
+            graph, tried = _tightened(graph, bound, work, f"wave-{waves}"), bound
+            proved = graph.vertices < 2
+    reached = 1.0 if proved else success if share >= 1.0 - 1e-9 else 1.0 - (1.0 - success) ** share
+    plan = [F.lit(variant).alias("variant"), F.lit(max(1, run)).cast("long").alias("trials"), F.lit(float(reached)).alias("probability")]
+    if best is None or not sides:
+        return spark.createDataFrame([(bound, [graph.weakest] if sides else None)], "cut_value long, side array<long>").select("cut_value", "side", *plan)
+    # from vertices to what stands for them in the graph that the wave saw, and for that in the best trial's shrunk one
+    names = best.names
+    for i, step in enumerate(best.steps):
+        names = E.composed(names, step.mapping.filter(F.col("trial") == best.trial >> step.branchings_after).select("old", "new"))
         if i % 8 == 7:
             names = work.write(names, f"names-{i}")
-    inside = best.select(F.explode("side").alias("component"), F.lit(1).alias("inside"))
+    inside = best.found.select(F.explode("side").alias("component"), F.lit(1).alias("inside"))
     names = work.write(names.join(inside, "component", "left").select("vertex", F.coalesce("inside", F.lit(0)).alias("inside")), "sides")
     sizes = names.groupBy("inside").agg(F.count("*").alias("size"), F.min("vertex").alias("least"))
     smaller = sizes.orderBy("size", "least").limit(1).select("inside")
     side = names.join(F.broadcast(smaller), "inside").agg(F.sort_array(F.collect_list("vertex")).alias("side"))
-    return side.select(F.lit(value).cast("long").alias("cut_value"), "side", *plan)
+    return side.select(F.lit(bound).cast("long").alias("cut_value"), "side", *plan)
 
 
 @dataclass
@@ -182,6 +201,16 @@ class Contraction:
     branchings_after: int = 0
 
 
+@dataclass
+class Wave:
+    """The best cut of a wave of trials: found (cut_value, trial, side), its trial, the names of the graph that the wave saw, and how its trials shrank."""
+
+    found: DataFrame
+    trial: int
+    names: DataFrame
+    steps: list[Contraction]
+
+
 _TRIAL = "trial long, cut_value long, side array<long>"
 
 
